@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm.embeddings import embedding_groups
+from docstrata.llm.language import identify_languages
+from docstrata.llm.media import text_media_report
 from docstrata.llm.packing import pack_documents
+from docstrata.llm.pii import pii_report
 from docstrata.llm.simhash import simhash_groups
 from docstrata.llm.storage import table
+from docstrata.llm.suffixes import remove_repeats
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,20 +26,33 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media_report(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_packing": op2_packing,
-        "op4_embedding_near_dedup": op4_embedding_near_dedup,
-        "op8_simhash_near_dedup": op8_simhash_near_dedup,
-    }
+    found = (op2_packing, op3_suffix_dedup, op4_embedding_near_dedup, op5_language_id, op8_simhash_near_dedup, op9_media_columns, op10_pii)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

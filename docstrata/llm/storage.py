@@ -66,7 +66,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def scan_blocks(df: DataFrame, block_bytes: int) -> int:
-    """How many blocks to deal ``df`` into: by its size, and a few for each shuffle partition."""
+    """How many blocks to deal ``df`` into: by its size, and two for each shuffle partition."""
     size = input_bytes(df)
     by_size = -(-size // block_bytes) if size < 1 << 60 else 0
-    return int(max(4 * shuffle_partitions(df.sparkSession), by_size))
+    return int(max(2 * shuffle_partitions(df.sparkSession), by_size))
