@@ -14,7 +14,9 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +36,23 @@ class Encoder:
     """Ids of whole texts by the tokenizer file, as little-endian unsigned 32-bit bytes.
 
     In the byte-level pre-tokenizer a boundary always stands before a single blank that a non-blank
-    follows, so a text without blank pairs is encoded word by word with a bounded memo; any other
-    text goes to the tokenizer whole.
+    follows, and between a letter and a full stop or comma, so a text without blank pairs is encoded
+    word by word with a memo of bounded size (two generations; words in use move to the young
+    one); any other text goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, memo: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo = memo
+        self.ends = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -55,17 +60,41 @@ class Encoder:
         if _BLANK_PAIR.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        found = list(map(self.words.get, rest))
+        found = list(map(self.young.get, rest))
         if None in found:
-            fresh = list({w for w, ids in zip(rest, found) if ids is None})
-            got = self.tokenizer.encode_batch_fast([f" {w}" for w in fresh], add_special_tokens=False)
-            if len(self.words) + len(fresh) > self.memo:
-                self.words.clear()
-            new = {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(fresh, got)}
-            self.words |= new
+            new = self._words([w for w, ids in zip(rest, found) if ids is None])
             found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
+            if len(self.young) > self.memo:
+                self.old, self.young = self.young, {}
         return (self.whole(first) if first else b"") + b"".join(found)
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        out, cores = {}, {}
+        for w in set(words):
+            if (ids := self.old.get(w)) is not None:
+                out[w] = ids
+            elif w[-1:] in self.ends and w[-2:-1].isalpha():
+                core = w[:-1]
+                ids = self.young.get(core) or self.old.get(core)
+                cores[w] = (core, ids)
+            else:
+                cores[w] = (w, None)
+        fresh = list({core for core, ids in cores.values() if ids is None})
+        got = dict(zip(fresh, (_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in fresh], add_special_tokens=False)))) if fresh else {}
+        for w, (core, ids) in cores.items():
+            ids = got[core] if ids is None else ids
+            self.young[core] = ids
+            out[w] = ids if core == w else ids + self.ends[w[-1]]
+        self.young |= out
+        return out
+
+
+def _bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
+
 
 _encoders: dict[str, Encoder] = {}
 
