@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docstrata.llm.storage import materialize, scan_blocks
 
@@ -88,7 +89,7 @@ class Block:
     """The documents of a block in id order, their pieces, and the distinct pieces in a fixed order."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], width: int, hot: int) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.width = np.asarray(ids, np.int64)[order], width
         self.texts = [texts[i] for i in order]
         size = np.array([len(t) for t in self.texts], np.int64)
@@ -363,12 +364,11 @@ def _covered(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _finish(width: int, hot: int, buckets: int, keep_text: bool):
-    schema = RESULT + (", kept binary" if keep_text else "")
-
+def _finish(width: int, hot: int, buckets: int, keep_text: bool, carry: list[str]):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = RESULT + (", text string" if keep_text else "")
         if not docs.num_rows:
-            return _table([], schema)
+            return _carried(_table([], schema), docs, carry, [])
         block = _block(docs, width, hot)
         gone, rows = _covered(block, answers, buckets), []
         for i, doc in enumerate(block.ids.tolist()):
@@ -376,17 +376,25 @@ def _finish(width: int, hot: int, buckets: int, keep_text: bool):
             removed = int(own.sum())
             spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if removed else 0
             kept = block.data[block.begin[i] : block.begin[i + 1]][~own].tobytes() if removed else block.texts[i]
-            rows.append((doc, len(own), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
-        return _table(rows, schema)
+            rows.append((doc, len(own), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else [])))
+        return _carried(_table(rows, schema), docs, carry, block.order)
 
     return run
 
 
+def _carried(out: pa.Table, docs: pa.Table, carry: list[str], order: list[int]) -> pa.Table:
+    for i, name in enumerate(carry):
+        out = out.append_column(name, docs[f"carry_{i}"].take(pa.array(order, pa.int64())))
+    return out
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes: int = 2_500_000, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, the kept bytes, for each document.
+def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes: int = 2_500_000, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document; with keep_text, the text that is left.
+
+    A character of which only some bytes go is left out of that text whole. ``carry``: columns to add.
 
     ``block_bytes``: stored bytes of documents in a block, from which the numbers of blocks and buckets
     follow. ``hot``: how many different pieces of a key a block or a bucket takes before the key's
@@ -394,11 +402,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes:
     """
     blocks = scan_blocks(docs, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     by_block: Callable = lambda df: df.groupBy("block")
-    keys = rows.groupBy("block").applyInArrow(_send_keys(width, hot, blocks), KEYS)
+    lean = rows.select("doc_id", "bytes", "block")
+    keys = by_block(lean).applyInArrow(_send_keys(width, hot, blocks), KEYS)
     first = materialize(keys.groupBy("bucket").applyInArrow(_answer_keys(hot), ANSWERS), "suffix-keys")
-    pieces = by_block(rows).cogroup(by_block(first)).applyInArrow(_send_pieces(width, hot, blocks), PIECES)
+    pieces = by_block(lean).cogroup(by_block(first)).applyInArrow(_send_pieces(width, hot, blocks), PIECES)
     second = materialize(pieces.groupBy("bucket").applyInArrow(_answer_pieces(width), ANSWERS), "suffix-pieces")
-    schema = RESULT + (", kept binary" if keep_text else "")
-    return by_block(rows).cogroup(by_block(first.unionByName(second))).applyInArrow(_finish(width, hot, blocks, keep_text), schema)
+    schema = T._parse_datatype_string(RESULT + (", text string" if keep_text else ""))
+    schema = T.StructType([*schema, *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
+    return by_block(rows).cogroup(by_block(first.unionByName(second))).applyInArrow(_finish(width, hot, blocks, keep_text, list(carry)), schema)

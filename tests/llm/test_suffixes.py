@@ -55,4 +55,4 @@ def test_as_by_definition(spark, tmp_path, seed, hot, block_bytes):
 
 def test_empty_table(spark):
     got = remove_repeats(spark.createDataFrame([], "doc_id long, text string"), keep_text=True)
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] and got.count() == 0
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"] and got.count() == 0
