@@ -304,12 +304,34 @@ def earlier_match(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _window_starts(count: np.ndarray, width: int) -> np.ndarray:
+    """Where the windows of concatenated pieces start."""
+    begin = np.concatenate([[0], np.cumsum(count + width - 1)[:-1]])
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
+
+def may_repeat(h: np.ndarray) -> np.ndarray:
+    """False only for values that occur once: two tables of counts by different bits."""
+    bits = U(max(8, int(len(h)).bit_length() + 3))
+    mask = (U(1) << bits) - U(1)
+    low, high = (h & mask).astype(np.int64), (h >> (U(64) - bits)).astype(np.int64)
+    return (np.bincount(low)[low] > 1) & (np.bincount(high)[high] > 1)
+
+
 def answer_pieces(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
-    """For each window of the concatenated pieces: does an earlier document hold it?"""
-    size = count.astype(np.int64) + width - 1
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    return earlier_match(suffix_ranks(data, width)[at], np.repeat(doc, count))
+    """For each window of the concatenated pieces: does an earlier document hold it?
+
+    Pieces in which no window's hash occurs again cannot match and are left out of the suffix order.
+    """
+    count = count.astype(np.int64)
+    out = np.zeros(int(count.sum()), bool)
+    again = may_repeat(rolling(data, width)[_window_starts(count, width)])
+    held = np.logical_or.reduceat(again, np.concatenate([[0], np.cumsum(count)[:-1]]))
+    if held.any():
+        part = data[np.repeat(held, count + width - 1)]
+        at = _window_starts(count[held], width)
+        out[np.repeat(held, count)] = earlier_match(suffix_ranks(part, width)[at], np.repeat(doc[held], count[held]))
+    return out
 
 
 def _answer_pieces(width: int):
