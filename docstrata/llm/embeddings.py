@@ -26,7 +26,8 @@ from docstrata.llm.storage import materialize, shuffle_partitions
 
 
 def _unit(lists: pa.Array) -> np.ndarray:
-    x = np.asarray(lists.values if not lists.offset else lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
+    x = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -88,7 +89,7 @@ def _cells(centres: dict, margin: float):
     return run
 
 
-CELL_SCHEMA = "rep long, label long, weight long, embedding array<float>, dim int, cell int, home int, visits array<int>"
+CELL_SCHEMA = "rep long, label long, weight long, embedding array<{}>, dim int, cell int, home int, visits array<int>"
 
 
 def _cell_links(threshold: float, block: int = 512):
@@ -147,15 +148,16 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
     label that the sample lacks is one cell. Cells of more than ``tile`` rows are cut into slices.
     """
     spark = vectors.sparkSession
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     base = base.withColumn("k1", F.xxhash64(F.lit(1), "label", "embedding")).withColumn("k2", F.xxhash64(F.lit(2), "embedding", "label"))
     distinct = base.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     reps = materialize(distinct, "vectors")
     centres = fit_centres(reps.withColumnRenamed("rep", "vec_id"), sample, per_cell, most_cells)
     margin = math.sqrt(2 - 2 * threshold) / 2
-    cells = materialize(reps.mapInArrow(_cells(centres, margin), CELL_SCHEMA), "cells")
+    cells = materialize(reps.mapInArrow(_cells(centres, margin), CELL_SCHEMA.format(kind)), "cells")
     keys = ["label", "dim", "cell"]
     tiles = in_tiles(cells, keys, "rep", tile).repartition(shuffle_partitions(spark), *keys, "cell_a", "cell_b")
     found = materialize(tiles.mapInArrow(_cell_links(threshold), "rep long, links long, root long"), "vector-links")
