@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.functions.text import squeeze
 
 
-def percentile_nearest(values: Column, p: float) -> Column:
-    """The nearest-rank percentile of an array (half ranks to even); 0 for none."""
-    ordered = F.sort_array(values)
-    at = F.least(F.size(ordered) - 1, F.bround(F.lit(p / 100) * (F.size(ordered) - 1)).cast("int"))
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, at + 1)).otherwise(0.0)
+def percentiles_nearest(rows: DataFrame, by: str, value: str, **percents: float) -> DataFrame:
+    """Nearest-rank percentiles of a column (half ranks to even), one column for each name.
+
+    Values are ranked by a sort that may spill, not gathered in one row.
+    """
+    w = Window.partitionBy(by).orderBy(value)
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
+    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w).alias("_at")).join(sizes, by)
+    place = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1)).cast("int") + 1
+    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("_at") == place(p), F.col(value))).alias(name) for name, p in percents.items()))
 
 
 def first_ranks(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -49,12 +49,6 @@ def page_ranges(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.where("page_start < 1 OR page_end < page_start OR page_end > n_pages").select("chunk_id")
 
 
-def _check(rows: DataFrame, name: str, severity: str, failed: Column) -> DataFrame:
-    """One row: passed, and the keys that failed (sorted)."""
-    keys = F.sort_array(F.collect_list(F.when(failed, F.col("record_key"))))
-    return rows.agg(keys.alias("failed_records")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), (F.size("failed_records") == 0).alias("passed"), "failed_records")
-
-
 def required_fields(fields: list[str] | None = None) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNull() | (F.col(c).cast("string") == "") for c in fields or REQUIRED))
 
@@ -110,30 +104,56 @@ def volume(reports: DataFrame, ratio: float = 0.3, trailing: int = 10, least: in
     return out.withColumn("passed", passed).withColumn("mean_before", F.round("mean_before", 6))
 
 
-def batch_report(rows: DataFrame, now: Column, fetch_errors: int = 0, stale_days: int = 14) -> DataFrame:
-    """All checks of a batch, one row each; ``content`` holds the stored bytes as text.
+# The checks of a batch and their severity.
+CHECKS = {
+    "required_fields_not_null": "error",
+    "unique_source_id": "error",
+    "object_hash_matches_manifest": "error",
+    "file_signature_matches_extension": "warn",
+    "size_within_bounds": "warn",
+    "download_size_matches_source": "warn",
+    "fetch_error_rate": "error",
+    "freshness": "warn",
+}
+
+
+def failed_records(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(name, record_key) for each check that a record fails; ``content`` holds the stored bytes as text.
 
-    The failed keys of a check are data for the quarantine list and stay a distributed aggregate; use
-    ``batch_status`` for the verdict.
+    One pass over the batch: the checks of a row are one array, and only repeated ids need a shuffle.
     """
-    checks = [
-        _check(rows, "required_fields_not_null", "error", required_fields(["source", "source_id", "sha256"])),
-        _check(repeated_ids(rows, ["record_key"]), "unique_source_id", "error", F.lit(True)),
-        _check(rows, "object_hash_matches_manifest", "error", hash_differs()),
-        _check(rows.withColumn("head", F.col("content")), "file_signature_matches_extension", "warn", signature_differs()),
-        _check(rows, "size_within_bounds", "warn", size_outside()),
-        _check(rows, "download_size_matches_source", "warn", size_differs()),
-    ]
-    none = F.array().cast("array<string>").alias("failed_records")
-    counts = rows.agg(F.count("*").alias("n_ok")).withColumn("n_err", F.lit(fetch_errors))
-    checks.append(fetch_error_rate(counts).select(F.lit("fetch_error_rate").alias("name"), F.lit("error").alias("severity"), "passed", none))
-    checks.append(freshness(rows, now, stale_days).select(F.lit("freshness").alias("name"), F.lit("warn").alias("severity"), "passed", none))
-    return reduce(DataFrame.unionByName, checks)
+    w = Window.partitionBy("source", "source_id").orderBy(*order)
+    tests = {
+        "required_fields_not_null": required_fields(["source", "source_id", "sha256"]),
+        "unique_source_id": F.col("_n") > 1,
+        "object_hash_matches_manifest": hash_differs(),
+        "file_signature_matches_extension": signature_differs("content"),
+        "size_within_bounds": size_outside(),
+        "download_size_matches_source": size_differs(),
+    }
+    failed = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
+    return rows.withColumn("_n", F.row_number().over(w)).select(F.explode(failed).alias("name"), "record_key")
+
+
+def batch_report(rows: DataFrame, order: list[str], now: Column, fetch_errors: int = 0, stale_days: int = 14) -> DataFrame:
+    """name, severity, n_failed, passed for each check."""
+    spark = rows.sparkSession
+    counts = failed_records(rows, order).groupBy("name").agg(F.count("*").alias("n"))
+    rate = fetch_error_rate(rows.agg(F.count("*").alias("n_ok")).withColumn("n_err", F.lit(fetch_errors))).select(F.lit("fetch_error_rate").alias("name"), (~F.col("passed")).cast("long").alias("n"))
+    stale = freshness(rows, now, stale_days).select(F.lit("freshness").alias("name"), (~F.col("passed")).cast("long").alias("n"))
+    values = ", ".join(f"('{n}', '{s}')" for n, s in CHECKS.items())
+    checks = spark.sql(f"SELECT * FROM VALUES {values} AS checks(name, severity)")
+    joined = checks.join(counts.unionByName(rate).unionByName(stale), "name", "left")
+    n = F.coalesce("n", F.lit(0))
+    return joined.select("name", "severity", n.alias("n_failed"), (n == 0).alias("passed"))
 
 
 def batch_status(report: DataFrame) -> DataFrame:
-    """status and the keys to quarantine: those that failed any check."""
+    """failed if an error failed, else warn if a warning did, else passed."""
     failed = lambda s: F.coalesce(F.bool_or(~F.col("passed") & (F.col("severity") == s)), F.lit(False))
-    keys = F.sort_array(F.array_distinct(F.flatten(F.collect_list("failed_records"))))
-    grouped = report.agg(failed("error").alias("e"), failed("warn").alias("w"), keys.alias("quarantine"))
-    return grouped.select(F.when(F.col("e"), "failed").when(F.col("w"), "warn").otherwise("passed").alias("status"), F.size("quarantine").cast("long").alias("n_quarantine"), "quarantine")
+    return report.agg(F.when(failed("error"), "failed").when(failed("warn"), "warn").otherwise("passed").alias("status"))
+
+
+def to_quarantine(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The records that fail any check."""
+    return failed_records(rows, order).select("record_key").distinct()

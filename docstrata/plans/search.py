@@ -279,8 +279,7 @@ def eval_answer_hits(spark, d):
 
 @query("SELECT o_orderpriority AS kind, list_sort(list(o_totalprice))[least(count(*), round_even(0.5::DOUBLE * (count(*) - 1), 0)::BIGINT + 1)] AS p50, list_sort(list(o_totalprice))[least(count(*), round_even(0.95::DOUBLE * (count(*) - 1), 0)::BIGINT + 1)] AS p95 FROM orders GROUP BY 1")
 def eval_percentiles(spark, d):
-    values = F.collect_list("o_totalprice")
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(evaluation.percentile_nearest(values, 50).alias("p50"), evaluation.percentile_nearest(values, 95).alias("p95"))
+    return evaluation.percentiles_nearest(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "kind"), "kind", "o_totalprice", p50=50, p95=95)
 
 
 @query(f"WITH {DF}, n AS (SELECT count(*) AS n FROM documents) SELECT greatest(25, floor(n * 0.005))::BIGINT AS threshold, count(*) AS terms, count(*) FILTER (df <= greatest(25, floor(n * 0.005))) AS rare FROM df, n GROUP BY 1")
