@@ -41,14 +41,16 @@ def route(records: DataFrame, bad_keys: DataFrame, existing: DataFrame | None =
     In this order: failed a check at intake; same bytes as an earlier record; too little text; same text
     but for case, digits and blanks as a document that is kept; ok.
     """
-    marked = records.join(bad_keys.select("record_key", F.lit(True).alias("_failed")).distinct(), "record_key", "left")
+    # hash and length come first, so that the text itself takes part in no join unless the caller asks for it
+    text = F.coalesce("text", F.lit(""))
+    narrow = records.withColumn("text_hash", text_hash(text)).withColumn("_size", F.length(text))
+    marked = narrow.join(bad_keys.select("record_key", F.lit(True).alias("_failed")).distinct(), "record_key", "left")
     usable = marked.where("_failed IS NULL")
-    bytes_first = usable.groupBy("sha256").agg(F.min("record_key").alias("bytes_keeper"))
-    hashed = marked.join(bytes_first, "sha256", "left").withColumn("text_hash", text_hash(F.coalesce("text", F.lit(""))))
-    same_bytes = F.col("record_key") != F.col("bytes_keeper")
-    short = F.length(F.coalesce("text", F.lit(""))) < min_text
-    candidates = hashed.where(F.col("_failed").isNull() & ~same_bytes & ~short)
-    joined = hashed.join(keepers(candidates, existing), "text_hash", "left")
+    # equal bytes have equal hashes and lengths: one row for each content serves both kinds of duplicates
+    contents = usable.groupBy("sha256").agg(F.min("record_key").alias("bytes_keeper"), F.min("text_hash").alias("_hash"), F.min("_size").alias("_length"))
+    candidates = contents.where(F.col("_length") >= min_text).select(F.col("bytes_keeper").alias("record_key"), F.col("_hash").alias("text_hash"))
+    same_bytes, short = F.col("record_key") != F.col("bytes_keeper"), F.col("_size") < min_text
+    joined = marked.join(contents.select("sha256", "bytes_keeper"), "sha256", "left").join(keepers(candidates, existing), "text_hash", "left")
     same_text = F.col("record_key") != F.col("keeper")
     case = lambda bad, same, few, near, ok: F.when(F.col("_failed"), bad).when(same_bytes, same).when(short, few).when(same_text, near).otherwise(ok)
     null = F.lit(None).cast("string")
@@ -57,8 +59,8 @@ def route(records: DataFrame, bad_keys: DataFrame, existing: DataFrame | None =
         .withColumn("status", case(F.lit("quarantined"), F.lit("duplicate"), F.lit("quarantined"), F.lit("duplicate"), F.lit("ok")))
         .withColumn("duplicate_of", case(null, F.col("bytes_keeper"), null, F.col("keeper"), null))
         .withColumn("stage", case(F.lit("bronze_validation"), null, F.lit("parse"), null, null))
-        .withColumn("reason", case(F.lit("failed a check at intake"), null, F.concat(F.lit("only "), F.length(F.coalesce("text", F.lit(""))), F.lit(" characters")), null, null))
-        .drop("_failed", "bytes_keeper", "keeper")
+        .withColumn("reason", case(F.lit("failed a check at intake"), null, F.concat(F.lit("only "), F.col("_size"), F.lit(" characters")), null, null))
+        .drop("_failed", "_size", "bytes_keeper", "keeper")
     )
 
 

@@ -67,8 +67,9 @@ MANIFEST = """manifest AS (SELECT source || ':' || doc_id AS record_key, source,
 def silver(spark: SparkSession, d: str) -> DataFrame:
     """All records with their status; ``n_pages`` counts ten lines to a page."""
     rows = manifest(spark, d)
+    rows = rows.withColumn("n_pages", F.ceil(F.size(F.split("text", "\n")) / 10))
     routed = route(rows, rows.where("bad").select("record_key")).drop("doc_id")
-    return routed.withColumn("doc_id", F.col("source_id")).withColumn("n_pages", F.ceil(F.size(F.split("text", "\n")) / 10))
+    return routed.withColumn("doc_id", F.col("source_id"))
 
 
 SILVER = (

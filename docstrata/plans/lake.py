@@ -28,9 +28,9 @@ def normalized_text_hash(spark, d):
 
 @query(f"WITH {SILVER} SELECT text_hash, keeper FROM text_keepers")
 def near_dup_keepers(spark, d):
-    rows = silver_rows(spark, d)
-    firsts = accepted(rows).groupBy("sha256").agg(F.min("record_key").alias("record_key"), F.first("text_hash").alias("text_hash"), F.first("text").alias("text"))
-    return silver.keepers(firsts.where(F.length("text") >= silver.MIN_TEXT))
+    rows = silver_rows(spark, d).withColumnRenamed("size_hint", "n_chars")
+    firsts = accepted(rows).groupBy("sha256").agg(F.min("record_key").alias("record_key"), F.first("text_hash").alias("text_hash"), F.first("n_chars").alias("n_chars"))
+    return silver.keepers(firsts.where(F.col("n_chars") >= silver.MIN_TEXT))
 
 
 @query(f"WITH {SILVER} SELECT record_key, duplicate_of FROM silver WHERE status = 'duplicate'")
