@@ -64,6 +64,19 @@ def test_failed_batches_are_not_published(spark, tmp_path):
     assert p.run(listed(spark), "run-2", NOW)["bronze"]["landed"] == 5
 
 
+def test_command_line(spark, tmp_path):
+    from docstrata.cli import main
+
+    listed(spark).drop("record_type", "size_hint").write.parquet(str(tmp_path / "listed"))
+    lake = str(tmp_path / "lake")
+    (made,) = main([lake, "--run-id", "r1", "run", str(tmp_path / "listed")], spark)
+    assert made["silver"]["documents_ok"] == 2
+    (version,) = main([lake, "versions"], spark)
+    assert main([lake, "activate", version["index_version"]], spark)[0]["is_active"]
+    assert "rate order" in main([lake, "ask", "What about the rate order?"], spark)[0]["answer"]
+    assert main([lake, "sql", "SELECT count(*) AS n FROM silver_documents", "silver/documents"], spark) == [{"n": 3}]
+
+
 def test_settings():
     env = {"HOME_DIR": "/h"}
     assert interpolate({"a": ["${HOME_DIR}/x", "${NONE:-d}"], "b": "${secret:s/k:-none}", "c": 3}, env) == {"a": ["/h/x", "d"], "b": "none", "c": 3}
