@@ -18,7 +18,7 @@ equal keys and texts get equal samples; an empty table gives an empty one; furth
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import math
 import random
 import re
@@ -36,7 +36,7 @@ _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 class Lattice:
     """``unit(text)``: for each position the steps (next position, ids, log probability given the position)."""
 
-    def __init__(self, path: str, alpha: float = 1.0, memo: int = 100_000) -> None:
+    def __init__(self, path: str, alpha: float = 1.0, memo: int = 80_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -87,39 +87,44 @@ class Lattice:
         if not text:
             return [([], 0.0, 1.0)]
         units = [self.unit(u) for u in _UNITS.findall(BLANK + text.replace(" ", BLANK))]
-        draw = random.Random(seed).random
-        gumbel = lambda: -math.log(-math.log(draw() or 1e-300))
-        frontier = [(-gumbel(), 0, 0.0, 0, 0, None)]  # (-bound, number, log probability, unit, position, path)
+        draw, log = random.Random(seed).random, math.log
+        # states by rising bound: (bound, number, log probability, unit, position, path)
+        frontier = [(-log(-log(draw() or 1e-300)), 0, 0.0, 0, 0, None)]
         number, found = 0, []
         while frontier and len(found) < k:
-            bound, _, phi, u, at, path = heapq.heappop(frontier)
-            bound = -bound
+            bound, _, phi, u, at, path = frontier.pop()
+            room = k - len(found)  # every state holds a path as good as its bound: others than the best ones are never reached
+            cut = frontier[0][0] if len(frontier) >= room else -math.inf
             while u < len(units):
                 steps = units[u][at]
                 if len(steps) == 1:
                     j, ids, w = steps[0]
-                    phi, path = phi + w, (path, ids)
                 else:
-                    perturbed = [phi + w + gumbel() for _, _, w in steps]
+                    perturbed = [phi + w - log(-log(draw() or 1e-300)) for _, _, w in steps]
                     most = max(perturbed)
                     lead = perturbed.index(most)
-                    for i, (j, ids, w) in enumerate(steps):
-                        if i != lead:
+                    least = -math.inf if cut == -math.inf else bound - _logaddexp(_logexpm1(bound - cut), bound - most)
+                    for i, p in enumerate(perturbed):
+                        if p > least and i != lead:
                             # the draw, given that the largest of the siblings is the bound
-                            v = bound - perturbed[i] + _log1mexp(perturbed[i] - most)
+                            v = bound - p + _log1mexp(p - most)
                             value = bound - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                            number += 1
+                            j, ids, w = steps[i]
+                            number -= 1
                             nu, nj = (u + 1, 0) if j == len(units[u]) else (u, j)
-                            heapq.heappush(frontier, (-value, number, phi + w, nu, nj, (path, ids)))
+                            bisect.insort(frontier, (value, number, phi + w, nu, nj, (path, ids)))
+                            if len(frontier) > room:
+                                del frontier[0]
+                            cut = frontier[0][0] if len(frontier) == room else -math.inf
                     j, ids, w = steps[lead]
-                    phi, path = phi + w, (path, ids)
+                phi, path = phi + w, (path, ids)
                 u, at = (u + 1, 0) if j == len(units[u]) else (u, j)
             parts = []
             while path is not None:
                 path, ids = path
                 parts.append(ids)
             found.append(([i for ids in reversed(parts) for i in ids], phi))
-        threshold = -frontier[0][0] if frontier else -math.inf
+        threshold = frontier[-1][0] if frontier else -math.inf
         return [(ids, phi, -math.expm1(-math.exp(min(700.0, phi - threshold))) if frontier else 1.0) for ids, phi in found]
 
     def decode(self, ids: list[int]) -> str:
@@ -133,6 +138,16 @@ def _log1mexp(x: float) -> float:
     return math.log(-math.expm1(x)) if x > -0.693 else math.log1p(-math.exp(x))
 
 
+def _logexpm1(x: float) -> float:
+    """log(exp(x) - 1) for x >= 0."""
+    return -math.inf if x <= 0 else x if x > 40 else math.log(math.expm1(x))
+
+
+def _logaddexp(a: float, b: float) -> float:
+    a, b = max(a, b), min(a, b)
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 _lattices: dict[tuple, Lattice] = {}
 
 
