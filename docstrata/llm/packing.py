@@ -41,7 +41,7 @@ class Encoder:
     one); any other text goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, memo: int = 500_000) -> None:
+    def __init__(self, path: str, memo: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,33 +59,49 @@ class Encoder:
             return b""
         if _BLANK_PAIR.search(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        found = list(map(self.young.get, rest))
-        if None in found:
-            new = self._words([w for w, ids in zip(rest, found) if ids is None])
-            found = [new[w] if ids is None else ids for w, ids in zip(rest, found)]
+        words = text.split(" ")
+        found = list(map(self.young.get, words))
+        found[0] = self.whole(words[0]) if words[0] else b""  # the first word has no blank before it
+        at, missing = -1, []
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        except ValueError:
+            pass
+        if missing:
+            new = self._words({words[i] for i in missing})
+            for i in missing:
+                found[i] = new[words[i]]
+            self.young |= new
             if len(self.young) > self.memo:
                 self.old, self.young = self.young, {}
-        return (self.whole(first) if first else b"") + b"".join(found)
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        out, cores = {}, {}
-        for w in set(words):
-            if (ids := self.old.get(w)) is not None:
-                out[w] = ids
-            elif w[-1:] in self.ends and w[-2:-1].isalpha():
-                core = w[:-1]
-                ids = self.young.get(core) or self.old.get(core)
-                cores[w] = (core, ids)
-            else:
-                cores[w] = (w, None)
-        fresh = list({core for core, ids in cores.values() if ids is None})
-        got = dict(zip(fresh, (_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in fresh], add_special_tokens=False)))) if fresh else {}
-        for w, (core, ids) in cores.items():
-            ids = got[core] if ids is None else ids
-            self.young[core] = ids
-            out[w] = ids if core == w else ids + self.ends[w[-1]]
-        self.young |= out
+        return b"".join(found)
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words with a blank before each: from the old generation, or a known core and its end, or fresh."""
+        out, pending, old, young, ends = {}, [], self.old.get, self.young.get, self.ends.get
+        for w in words:
+            ids = old(w)
+            if ids is None:
+                end = ends(w[-1:])
+                if end is not None and w[-2:-1].isalpha():
+                    core = w[:-1]
+                    ids = young(core) or old(core)
+                    if ids is None:
+                        pending.append((w, core, end))
+                        continue
+                    ids += end
+                else:
+                    pending.append((w, w, b""))
+                    continue
+            out[w] = ids
+        if pending:
+            fresh = list({core for _, core, _ in pending})
+            got = dict(zip(fresh, [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in fresh], add_special_tokens=False)]))
+            out.update(got)
+            for w, core, end in pending:
+                out[w] = got[core] + end
         return out
 
 
