@@ -250,7 +250,9 @@ def _expected(spark, d):
     terms = items.select("item_id", F.col("text").alias("needle"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     counted = terms.join(retrieval.document_frequency(docs), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = counted.groupBy("item_id", "needle").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = docs.withColumn("term", F.explode(F.array_distinct(T.terms(F.col("text"))))).join(rarest, "term").where(F.contains("text", F.col("needle")))
+    # the text stays out of the exploded rows and joins only the candidates
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(rarest, "term").select("item_id", "needle", "doc_id")
+    found = pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle")))
     return found.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("source_id"))
 
 
