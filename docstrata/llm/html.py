@@ -34,6 +34,9 @@ ZONE_WORDS = frozenset(
     "sidebar footer header masthead topbar toolbar comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription "
     "popup modal overlay login signup search searchbox pagination pager widget complementary contentinfo".split()
 )
+# Words that an article element carries for the layout around it, and first words of names that only tell about it.
+LAYOUT_WORDS = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation share sharing sidebar social topbar toolbar".split())
+TELLING = frozenset("has no with without".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +49,7 @@ CLOSES_P = BLOCKS - {"br"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_ON_ARTICLE, _IN_ARTICLE = ZONE_WORDS - LAYOUT_WORDS, ZONE_WORDS - {"header"}
 
 
 @dataclass
@@ -89,7 +93,8 @@ class _Stripper:
             self.link = True
         if name in VOID:
             return
-        marked = name in ZONES or name == "header" and not self.inside or bool(attributes) and name not in ("html", "body") and _marked(attributes)
+        words = _ON_ARTICLE if name in ARTICLES else _IN_ARTICLE if self.inside else ZONE_WORDS
+        marked = name in ZONES or name == "header" and not self.inside or bool(attributes) and name not in ("html", "body") and _marked(attributes, words)
         if name in ARTICLES and not marked and (not self.zone or not self.inside):
             if self.zone:  # a zone that was never closed
                 self.zone = []
@@ -126,10 +131,12 @@ class _Stripper:
             self.border()
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, words: frozenset[str]) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
-        if not ZONE_WORDS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _WORD.findall(name)
+            if parts and parts[0] not in TELLING and not words.isdisjoint(parts):
+                return True
     return False
 
 

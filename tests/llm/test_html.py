@@ -23,6 +23,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<article><script>if (a) { '</article>' }</script><p>İx</p><SCRIPT>z</SCRIPT><p>end", "İx\nend"),
         ("<article><p>main main main main</p></article><article class='comment'><p>reply reply reply reply reply</p></article>", "main main main main"),
         ("<article><p class=notice>Note<p>Kept text</p></article>", "Kept text"),
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>Body text</p></article><div class='header'>Site</div>", "Title\nBody text"),
+        ("<div class='site has-sidebar no-menu'><main class='content sidebar-left'><p>Body text</p><div class=sidebar>x</div></main></div>", "Body text"),
     ],
 )
 def test_pages(page, text):
