@@ -100,21 +100,36 @@ def cut_windows(data: bytes, window: int) -> np.ndarray:
 
 
 def _predict(net: ByteNet | None, most_rows: int = 512):
+    def answers(parts: list[np.ndarray]) -> tuple[list[str], list[float]]:
+        x = np.concatenate(parts)
+        logs = np.concatenate([net.log_probabilities(x[a : a + most_rows]) for a in range(0, len(x), most_rows)])
+        begin = np.cumsum([0, *(len(p) for p in parts[:-1])])
+        mean = np.add.reduceat(logs.astype(np.float64), begin) / np.array([len(p) for p in parts])[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return [net.languages[i] for i in p.argmax(axis=1)], p.max(axis=1).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if t and net is not None and _LETTER.search(t)]
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            parts = [cut_windows(texts[i].encode("utf-8", "surrogatepass"), net.window) for i in known]
-            if known:
-                x = np.concatenate(parts)
-                logs = np.concatenate([net.log_probabilities(x[a : a + most_rows]) for a in range(0, len(x), most_rows)])
-                begin = np.cumsum([0, *(len(p) for p in parts[:-1])])
-                mean = np.add.reduceat(logs.astype(np.float64), begin) / np.array([len(p) for p in parts])[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                for i, best, row in zip(known, p.argmax(axis=1).tolist(), p):
-                    pred[i], score[i] = net.languages[best], float(row[best])
+            pred, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            waiting, parts, held = [], [], 0
+
+            def settle() -> None:
+                for i, name, value in zip(waiting, *answers(parts)):
+                    pred[i], score[i] = name, value  # noqa: B023
+
+            # texts in groups of a bounded number of windows (or one long text), so that no batch is held twice
+            for i, value in enumerate(batch.column("text")):
+                text = value.as_py()
+                if text and net is not None and _LETTER.search(text):
+                    waiting.append(i)
+                    parts.append(cut_windows(text.encode("utf-8", "surrogatepass"), net.window))
+                    held += len(parts[-1])
+                    if held >= 4 * most_rows:
+                        settle()
+                        waiting, parts, held = [], [], 0
+            if parts:
+                settle()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
