@@ -43,26 +43,41 @@ NONE, WHOLE, BYTES, SPREAD = 0, 1, 2, 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * _MIX[1]
-    x = (x ^ (x >> U(27))) * _MIX[2]
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= _MIX[1]
+    x ^= x >> U(27)
+    x *= _MIX[2]
+    x ^= x >> U(31)
+    return x
+
+
+_BYTES = _mixed((np.arange(256, dtype=U) + U(1)) * _MIX[0])
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each ``width``-byte string of data, by doubling over the bits of width."""
     if len(data) < width:
         return np.zeros(0, U)
-    power, part = 1, _mixed((data.astype(U) + U(1)) * _MIX[0])
+    power, part = 1, _BYTES[data]
     out, done = None, 0
     while True:
         if width & power:
             n = len(data) - (done + power) + 1
-            out = part[:n].copy() if out is None else (out[:n] * _MIX[1]) + part[done : done + n]
+            if out is None:
+                out = part[:n].copy()
+            else:
+                out = out[:n]
+                out *= _MIX[1]
+                out += part[done : done + n]
             done += power
         if done == width:
+            del part
             return _mixed(out)
         n = len(data) - 2 * power + 1
-        part = part[:n] * _MIX[power % 3] + part[power : power + n]
+        longer = part[:n] * _MIX[power % 3]
+        longer += part[power : power + n]
+        part = longer
+        del longer
         part ^= part >> U(29)
         power *= 2
 
@@ -76,13 +91,25 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-_powers: dict[str, np.ndarray] = {}
+SPAN = 4096
+_UP, _DOWN = (np.cumprod(np.concatenate([[U(1)], np.full(SPAN - 1, base, U)]), dtype=U) for base in (_STEP, _STEP_BACK))
+
+
+def _running_total(x: np.ndarray) -> None:
+    """In place: the sums of x[0..i] times powers of the step, without an array of powers."""
+    far, leap = 1, pow(int(_STEP), SPAN, 1 << 64)
+    for a in range(0, len(x), SPAN):
+        part = x[a : a + SPAN]
+        part *= _UP[: len(part)] * U(far)
+        far = far * leap % (1 << 64)
+    np.cumsum(x, out=x)
 
 
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        _powers[name] = np.cumprod(np.concatenate([[U(1)], np.full(n, base, U)]), dtype=U)
-    return _powers[name][:n]
+def _stepped_back(at: np.ndarray) -> np.ndarray:
+    """The inverses of the step's powers ``at``."""
+    leaps = int(at.max()) // SPAN if len(at) else 0
+    far = np.cumprod(np.concatenate([[U(1)], np.full(leaps, pow(int(_STEP_BACK), SPAN, 1 << 64), U)]), dtype=U)
+    return far[at // SPAN] * _DOWN[at % SPAN]
 
 
 class Block:
@@ -112,10 +139,12 @@ class Block:
             real = stop > self.start
             self.start, self.stop, self.doc = self.start[real], stop[real], self.doc[real]
             key = least[self.start]
-            total = np.concatenate([[U(0)], np.cumsum(grams * _power(_STEP, "up", len(grams)), dtype=U)])
-            mark = (total[self.stop + width - GRAM] - total[self.start]) * _power(_STEP_BACK, "down", len(grams))[self.start]
+            del least
+            _running_total(grams)
+            before = np.where(self.start > 0, grams[self.start - 1], U(0))
+            mark = (grams[self.stop + width - GRAM - 1] - before) * _stepped_back(self.start)
             mark = _mixed(mark ^ (self.stop - self.start).astype(U))
-            del grams, least, total
+            del grams
         # distinct pieces by key and hash; the first of each in id order stands for all
         by = np.lexsort((mark, key))
         k, m = key[by], mark[by]
