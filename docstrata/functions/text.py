@@ -61,7 +61,7 @@ def terms(text: Column) -> Column:
 
 def exact_terms(text: Column) -> Column:
     """Codes, amounts, years and acronyms: lower case, sorted, each once."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(EXACT_TERM), F.lit(0)), lambda t: ~F.upper(t).isin("OEB", "THE"))
+    found = F.filter(F.regexp_extract_all(text, F.lit("(?U)" + EXACT_TERM), F.lit(0)), lambda t: ~F.upper(t).isin("OEB", "THE"))
     tidy = F.transform(found, lambda t: F.lower(F.regexp_replace(t, r"^[.,]+|[.,]+$", "")))
     return F.array_sort(F.array_distinct(F.filter(tidy, lambda t: t != "")))
 

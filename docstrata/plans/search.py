@@ -20,6 +20,12 @@ def clean_text(spark, d):
     return ascii_documents(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
+@query()
+def clean_text_all(spark, d):
+    """clean_text over every document; SQL's patterns cannot follow beyond ASCII."""
+    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
 @query(f"WITH {MANIFEST} SELECT record_key, nullif(regexp_extract(title, 'EB-[0-9]{{4}}-[0-9]{{4}}'), '') AS in_title, coalesce(nullif(regexp_extract(substr(text, 1, 5000), 'EB-[0-9]{{4}}-[0-9]{{4}}'), ''), '12345') AS in_text FROM manifest")
 def find_docket(spark, d):
     rows = manifest(spark, d)
@@ -31,6 +37,12 @@ def normalize_question(spark, d):
     return ascii_documents(spark, d).select("doc_id", T.normalize_question(F.substring("text", 1, 300)).alias("q"))
 
 
+@query()
+def normalize_question_all(spark, d):
+    """normalize_question over every document."""
+    return table(spark, d, "documents").select("doc_id", T.normalize_question(F.substring("text", 1, 300)).alias("q"))
+
+
 @query("SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS name FROM pages")
 def safe_name(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
@@ -60,7 +72,16 @@ def citation_parse(spark, d):
 
 @query("SELECT count(DISTINCT (lower(regexp_replace(trim(text), '[^A-Za-z0-9_\\s.-]', '', 'g')), conv_id % 2)) AS keys FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]|\\s\\s')")
 def cache_key(spark, d):
-    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]|\s\s"))
+    return _distinct_keys(table(spark, d, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]|\s\s")))
+
+
+@query()
+def cache_key_all(spark, d):
+    """cache_key over every turn."""
+    return _distinct_keys(table(spark, d, "conversations"))
+
+
+def _distinct_keys(rows):
     key = T.cache_key(F.concat(F.lit(" "), F.upper("text"), F.lit("?")), v=F.col("conv_id") % 2, k=F.lit(6))
     return rows.agg(F.countDistinct(key).alias("keys"))
 
@@ -106,6 +127,12 @@ def exact_terms(spark, d):
     return ascii_documents(spark, d).select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
 
 
+@query()
+def exact_terms_all(spark, d):
+    """exact_terms over every document."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
+
+
 BM25 = f"""{DF}, words AS (SELECT doc_id AS chunk_id, {sql_terms('text')} AS terms FROM documents), stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM words),
 tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM words) GROUP BY ALL),
 scores AS (SELECT a.query_id, t.chunk_id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))), 6) AS score
