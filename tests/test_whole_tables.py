@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
+from docstrata.operators.chunking import Chunking, Packer, Words
 from docstrata.plans.catalogue import queries
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,17 @@ def test_every_document(spark, name, plain):
 def test_every_turn(spark):
     want = {(normalized(f" {r['text'].upper()}?"), r["conv_id"] % 2) for r in whole("conversations")}
     assert QUERIES["cache_key_all"](spark, SF).first().keys == len(want)
+
+
+def test_chunk_tables_hold_every_order(spark, tmp_path):
+    orders = [(k, k * k % 7, f"{k % 5}-URGENT", k + 0.5) for k in range(1, 201)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    want = set()
+    for customer in {o[1] for o in orders}:
+        packer = Packer(Chunking(max_table_tokens=100), Words())
+        body = [f"| {k} | {p} | {x} |" for k, c, p, x in orders if c == customer]
+        packer.page(1, "", {}, ["\n".join(["| key | priority | price |", "|---|---|---|", *body])])
+        want |= {(str(customer), c["ordinal"], c["text"]) for c in packer.finish()}
+    got = QUERIES["chunk_tables"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.ordinal, r.text) for r in got} == want
+    assert sum(r.text.count("\n") - 1 for r in got) == len(orders)
