@@ -39,8 +39,8 @@ def normalize_question(spark, d):
 
 @query()
 def normalize_question_all(spark, d):
-    """normalize_question over every document."""
-    return table(spark, d, "documents").select("doc_id", T.normalize_question(F.substring("text", 1, 300)).alias("q"))
+    """normalize_question over every document, whole."""
+    return table(spark, d, "documents").select("doc_id", T.normalize_question(F.col("text")).alias("q"))
 
 
 @query("SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS name FROM pages")
