@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.licence_texts import KNOWN
+from docstrata.llm.licence_texts import KNOWN, LONG, TITLES, VARIANTS
 
 # Equivalent spellings, (pattern, spelling), applied in this order to lower-case text.
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|[(]c[)]|©)[^a-z0-9\n]*([(]c[)]|©|[0-9]{4}|by |the )[^\n]*"
@@ -85,9 +85,15 @@ def known_digests() -> list[tuple[str, str]]:
     return [(name, hashlib.sha256(canonical_text(text).encode()).hexdigest()) for name, text in KNOWN.items()]
 
 
+def all_digests() -> list[tuple[str, str]]:
+    """Those, other wordings, the same under the usual titles, and long licences; the SQL knows only the first."""
+    forms = {canonical_text(f"{title}\n\n{text}"): name for name, text in VARIANTS for title in ("", *TITLES[name])}
+    return [*((name, hashlib.sha256(form.encode()).hexdigest()) for form, name in forms.items()), *LONG]
+
+
 def scan_licences(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words and digest of the canonical form, licence (null: none known)."""
-    values = ", ".join(f"('{name}', '{digest}')" for name, digest in (known_digests() if known is None else known))
+    values = ", ".join(f"('{name}', '{digest}')" for name, digest in (all_digests() if known is None else known))
     table = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS known(licence, digest)")
     form = canonical(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), form.alias("form"))

@@ -1,5 +1,7 @@
-from docstrata.llm.licence_texts import KNOWN
-from docstrata.llm.licences import canonical_text, known_digests, scan_licences
+from pathlib import Path
+
+from docstrata.llm.licence_texts import KNOWN, UNLICENSE
+from docstrata.llm.licences import all_digests, canonical_text, known_digests, scan_licences
 
 
 def test_scan(spark):
@@ -10,3 +12,22 @@ def test_scan(spark):
     assert all(got[k].n_words == len(canonical_text(t).split()) for k, t in rows)
     assert len({d for _, d in known_digests()}) == len(KNOWN)
     assert scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_usual_files(spark):
+    year = "Copyright (c) 2020 Some One\n\n"
+    apache = Path("/usr/share/common-licenses/Apache-2.0")
+    texts = {
+        "MIT": "MIT License\n\n" + year + KNOWN["MIT"],
+        "BSD-3-Clause": "BSD 3-Clause License\n\n" + year + "All rights reserved.\n\n" + KNOWN["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "),
+        "BSD-2-Clause": "The 2-Clause BSD License\n" + KNOWN["BSD-2-Clause"],
+        "ISC": "ISC License\n\n" + year + KNOWN["ISC"].replace("and/or", "and"),
+        "MIT-0": "MIT No Attribution\n\n" + year + KNOWN["MIT-0"],
+        "Unlicense": UNLICENSE.format(url="https://unlicense.org"),
+        **({"Apache-2.0": apache.read_text().replace("[yyyy] [name of copyright owner]", "2021 Some One")} if apache.exists() else {}),
+    }
+    rows = [*enumerate(texts.values()), (100, "MIT License"), (101, "MIT License\n" + KNOWN["ISC"])]
+    got = {r.doc_id: r.licence for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(texts)), 100: None, 101: None}
+    digests = all_digests()
+    assert len({d for _, d in digests}) == len(digests) and set(known_digests()) <= set(digests)
