@@ -1,12 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block. A line that stands in a zone which is never main text
-(menus, footers, adverts, forms, reader comments and the like, by tag or by class, id and role
-words) has length 0, and so has each border of a zone or of an article element, several times
-over. The lengths of ``window`` neighbouring lines are summed; where the sums rise from zero is a
-surge, where they fall back to it a dive, and the lines between belong together. The block with
-the most text outside links wins, with the other blocks of its article element if it is in one,
-else with those of at least a fraction of its text.
+Markup is stripped to one line per block. Lines in a zone which is never main text (menus,
+footers, adverts, forms, reader comments and the like, by tag or by class, id and role words) have
+length 0; the lines between them, and between the ends of article elements, are a block. If there
+are article elements, all blocks of the one with the most text outside links are the main text,
+else all blocks that have text outside links.
 
 Defined results: a null or empty page gives the empty text; a page without any text outside such zones
 gives the empty text; repeated rows are extracted alike; an empty table gives an empty one; further
@@ -168,33 +166,29 @@ def lines_of(page: str) -> list[Line | None]:
     return out.lines
 
 
-def extract_main_text(page: str | None, window: int = 3, fraction: float = 0.3) -> str:
-    lines = lines_of(page or "")
-    rows: list[Line | None] = []
-    for x in lines:
-        rows.extend([None] * window if x is None or x.noise else [x])
-    size = [0 if x is None else len(x.text) for x in rows]
-    blocks: list[list[int]] = []
-    total = sum(size[:window])  # of the lines i .. i + window - 1
-    for i in range(1 - window, len(rows)):  # windows may reach over either end
-        total = sum(size[max(0, i) : i + window])
-        if total:  # between surge and dive
-            if not blocks or blocks[-1][1] < i:
-                blocks.append([max(0, i), i + window])
-            blocks[-1][1] = max(blocks[-1][1], i + window)
-    kept = [[x for x in rows[a:b] if x is not None] for a, b in blocks]
-    if not kept:
-        return ""
-    mass = [sum(max(0, len(x.text) - x.linked) for x in block) for block in kept]
-    within: dict[int, int] = {}
-    for block, m in zip(kept, mass):
-        within[block[0].article] = within.get(block[0].article, 0) + m
-    articles = {a: m for a, m in within.items() if a}
+def extract_main_text(page: str | None) -> str:
+    blocks: list[list[Line]] = []
+    open_ = False
+    for x in lines_of(page or ""):
+        if x is None:  # a border alone parts nothing that has the same article on both sides
+            continue
+        if x.noise:
+            open_ = False
+            continue
+        if not open_ or blocks[-1][-1].article != x.article:
+            blocks.append([])
+            open_ = True
+        blocks[-1].append(x)
+    mass = [sum(max(0, len(x.text) - x.linked) for x in block) for block in blocks]
+    articles: dict[int, int] = {}
+    for block, m in zip(blocks, mass):
+        if block[0].article:
+            articles[block[0].article] = articles.get(block[0].article, 0) + m
     if articles:
         best = max(articles, key=lambda a: (articles[a], -a))
-        chosen = [b for b in kept if b[0].article == best]
+        chosen = [b for b in blocks if b[0].article == best]
     else:
-        chosen = [b for b, m in zip(kept, mass) if m and m >= fraction * max(mass)]
+        chosen = [b for b, m in zip(blocks, mass) if m]
     return "\n".join(x.text for b in chosen for x in b)
 
 

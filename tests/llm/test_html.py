@@ -37,3 +37,18 @@ def test_long_page_and_table(spark):
     got = sorted(extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect())
     assert [r.page_id for r in got] == [1, 2, 2, 3, 4] and got[0].text.count("\n") == 19_999 and got[0].n_chars == len(got[0].text)
     assert got[1].text == "" and extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>Skip to content</p><article><p>p1</p><div class=ad>x</div><p>p2</p></article>", "p1\np2"),
+        ("<p>Skip to content</p><main><p>Body text</p></main><p>after</p>", "Body text"),
+        ("<article><p>first one</p></article><article><p>second, longer</p></article>", "second, longer"),
+        ("<div><p>" + "long " * 50 + "</p><div class=ad>x</div><p>End.</p></div>", ("long " * 50).strip() + "\nEnd."),
+        ("<div><p>Text</p><div class=ad></div><p><a href=x>linked end</a></p></div>", "Text\nlinked end"),
+        ("<p>Text</p><nav>x</nav><ul><li><a href=x>only links</a></ul>", "Text"),
+    ],
+)
+def test_blocks_end_with_their_article_and_are_not_lost_to_zones(page, text):
+    assert extract_main_text(page) == text
