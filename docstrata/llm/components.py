@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.storage import materialize
+from docstrata.llm.storage import materialize, release
 
 
 def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -51,8 +55,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct())
-        seen = mark
-        now = materialize(_stars(now), "links")
+        seen, before = mark, now
+        now = materialize(_stars(before), "links")
+        release(before)
     raise RuntimeError(f"links have not settled after {most_rounds} rounds")
 
 
@@ -74,3 +79,41 @@ def in_tiles(keyed: DataFrame, keys: list[str], row: str, tile: int) -> DataFram
         .withColumn("cell_b", F.greatest("part", "other"))
         .drop("n", "slices", "other")
     )
+
+
+def gathered(cells: DataFrame, keys: list[str], partitions: int, *order: str) -> DataFrame:
+    """Rows of a cell side by side in one partition, for ``whole_cells``; Spark's sort spills, so a partition need not fit in memory."""
+    by = [*keys, "cell_a", "cell_b"]
+    return cells.repartition(partitions, *by).sortWithinPartitions(*by, *order)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 65_536) -> Iterator[pa.Table]:
+    """The sorted rows of a partition in tables of whole cells: about ``rows`` rows at a time are held, and one cell at least."""
+    by, held, n = [*keys, "cell_a", "cell_b"], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = cell_starts(table, by)
+        last = int(new[-1])
+        if last:
+            yield table.slice(0, last)
+            # a copy, so that the rest does not hold on to all that was read
+            rest = table.slice(last)
+            held, n = rest.take(pa.array(np.arange(rest.num_rows))).to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def cell_starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Where a new cell begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in by:
+        column = table[name].combine_chunks()
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)

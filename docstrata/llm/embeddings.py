@@ -6,9 +6,11 @@ most, so one of them is within half of the threshold's chord of the plane. A vec
 plane also visits the cell behind it, which makes the search exact: no pair is lost at a border. A
 pair is counted in one cell only. Equal vectors of a label are one vertex with a weight.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
-with a null label, have no links and are kept; vectors of different lengths never link; repeated
-rows count as vectors of their own; an empty table gives an empty one; further columns are ignored.
+Defined results: labels of any type are compared as text; vectors that are null, empty, zero or hold null or
+non-finite components, and rows with a null label, have no links and are kept; vectors of different lengths never
+link; a cosine equal to the threshold links; a repeated row is a vector of its own; rows that share an id but
+not the vector stand together, each with the links of all of them; an empty table gives an empty one; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.components import connected, in_tiles, local_roots
-from docstrata.llm.storage import materialize, shuffle_partitions
+from docstrata.llm.components import cell_starts, connected, gathered, in_tiles, local_roots, whole_cells
+from docstrata.llm.storage import materialize, partitions_for
 
 
 def _unit(lists: pa.Array) -> np.ndarray:
@@ -43,12 +45,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
     return centres
 
 
-def fit_centres(rows: DataFrame, sample: int, per_cell: int, most_cells: int) -> dict[tuple[int, int], np.ndarray]:
-    """Centres for each (label, dimension) in a sample of about ``sample`` rows, chosen by a hash of the id."""
+def fit_centres(rows: DataFrame, sample: int, per_cell: int, most_cells: int) -> dict[tuple[str, int], np.ndarray]:
+    """Centres for each (label, dimension) in a sample of about ``sample`` rows, chosen by a hash of the id; twice as many at most, the first by another hash."""
     n = rows.count()
     cells = max(1, min(most_cells, n // per_cell))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // sample)))) == 0).select("label", "embedding", "vec_id").limit(2 * sample).toArrow().sort_by("vec_id")
-    out, labels = {}, picked["label"].to_numpy() if picked.num_rows else np.zeros(0)
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // sample)))) == 0).select("label", "embedding", "vec_id")
+    picked = chosen.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id", F.xxhash64("embedding")).limit(2 * sample).toArrow().sort_by([("vec_id", "ascending"), ("label", "ascending")])
+    out, labels = {}, np.array(picked["label"].to_pylist(), object)
     sizes = np.array([len(v) for v in picked["embedding"]], int)
     for label, dim in sorted({*zip(labels.tolist(), sizes.tolist())}):
         own = np.flatnonzero((labels == label) & (sizes == dim))
@@ -71,7 +74,7 @@ def assign(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarra
 def _cells(centres: dict, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims = batch.column("label").to_numpy(), np.array([len(v) for v in batch.column("embedding")], int)
+            labels, dims = np.array(batch.column("label").to_pylist(), object), np.array([len(v) for v in batch.column("embedding")], int)
             for label, dim in sorted({*zip(labels.tolist(), dims.tolist())}):
                 own = np.flatnonzero((labels == label) & (dims == dim))
                 rows = batch.take(pa.array(own))
@@ -89,77 +92,90 @@ def _cells(centres: dict, margin: float):
     return run
 
 
-CELL_SCHEMA = "rep long, label long, weight long, embedding array<{}>, dim int, cell int, home int, visits array<int>"
-
-
-def _cell_links(threshold: float, block: int = 512):
-    def links(t: pa.Table) -> pa.RecordBatch | None:
-        x = _unit(t["embedding"].combine_chunks())
-        cell, home, weight, part = t["cell"][0].as_py(), t["home"].to_numpy(), t["weight"].to_numpy(), t["part"].to_numpy()
-        across = t["cell_a"][0].as_py() != t["cell_b"][0].as_py()
-        others = np.unique(home)
-        at = np.searchsorted(others, home)
-        sees = np.zeros((len(x), len(others)), bool)  # which of the cells that visitors come from a row visits itself
-        for i, seen in enumerate(t["visits"].to_pylist()):
-            if seen:
-                sees[i, np.flatnonzero(np.isin(others, seen))] = True
-        counts, us, vs = np.zeros(len(x), np.int64), [], []
-        for a in range(0, len(x), block):
-            near = x[a : a + block] @ x.T >= threshold
-            ha, own = home[a : a + block, None], home[a : a + block] == cell
-            at_home = home == cell
-            # of two rows that meet in both homes, the smaller home counts; two visitors count nowhere
-            by_row = own[:, None] & ~at_home[None] & ((cell < home[None]) | ~sees[a : a + block][:, at])
-            by_col = ~own[:, None] & at_home[None] & ((cell < ha) | ~sees[:, at[a : a + block]].T)
-            near &= own[:, None] & at_home[None] | by_row | by_col
-            if across:
-                near &= part[a : a + block, None] != part[None]
-            near[np.arange(len(ha)), np.arange(a, a + len(ha))] = False
-            counts[a : a + block] += near @ weight
-            i, j = np.nonzero(near)
-            us.append(i + a)
-            vs.append(j)
-        if not counts.any():
-            return None
-        # the smallest id becomes the root: rows are in id order
-        root = local_roots(len(x), np.concatenate(us), np.concatenate(vs))
-        i, rep = np.flatnonzero(counts), t["rep"].to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(counts[i]), pa.array(rep[root[i]])], names=["rep", "links", "root"])
+CELL_SCHEMA = "rep long, label string, weight long, embedding array<{}>, dim int, cell int, home int, visits array<int>"
 
+
+CELL = ["label", "dim", "cell"]
+
+
+def cell_links(t: pa.Table, threshold: float, block: int = 512) -> pa.RecordBatch | None:
+    """Links of the rows of one cell, in id order: for each row that has any, how many (by weight) and the smallest row that it reaches here.
+
+    Only rows at home here are multiplied with the others: two visitors are counted where one of them is at home. A row at
+    home and a visitor are counted here unless the row also visits the visitor's home and that one is the smaller cell.
+    """
+    home, weight, part, rep = t["home"].to_numpy(), t["weight"].to_numpy(), t["part"].to_numpy(), t["rep"].to_numpy()
+    cell, across = t["cell"][0].as_py(), t["cell_a"][0].as_py() != t["cell_b"][0].as_py()
+    at_home = home == cell
+    own, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+    if not len(own):
+        return None
+    order = np.concatenate([own, guest])
+    x = _unit(t["embedding"].combine_chunks())[order]
+    weight, part, home, m = weight[order], part[order], home[order], len(own)
+    # which of the guests' homes the rows at home visit
+    others, at = np.unique(home[m:], return_inverse=True)
+    sees = np.zeros((m, len(others)), bool)
+    lists = t["visits"].combine_chunks().take(pa.array(own))
+    rows, cells = np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    if len(others) and len(cells):
+        place = np.minimum(np.searchsorted(others, cells), len(others) - 1)
+        known = others[place] == cells
+        sees[rows[known], place[known]] = True
+    elsewhere = (sees & (others < cell))[:, at]
+    counts, us, vs = np.zeros(len(x), np.int64), [], []
+    for a in range(0, m, block):
+        near = x[a : min(a + block, m)] @ x.T >= threshold
+        if across:
+            near &= part[a : a + len(near), None] != part[None]
+        near[:, m:] &= ~elsewhere[a : a + len(near)]
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+        i, j = np.nonzero(near)
+        i += a
+        # rows at home find each other from both sides, a guest is told
+        np.add.at(counts, i, weight[j])
+        told = j >= m
+        np.add.at(counts, j[told], weight[i[told]])
+        us.append(order[i])
+        vs.append(order[j])
+    if not counts.any():
+        return None
+    # the smallest id becomes the root: rows are in id order
+    root = local_roots(len(x), np.concatenate(us), np.concatenate(vs))
+    links = np.zeros(len(x), np.int64)
+    links[order] = counts
+    i = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(links[i]), pa.array(rep[root[i]])], names=["rep", "links", "root"])
+
+
+def _cell_links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (held := list(batches)):
-            return
-        table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("label", "dim", "cell", "cell_a", "cell_b", "rep")])
-        if not table.num_rows:
-            return
-        keys = [table[c].to_numpy() for c in ("label", "dim", "cell", "cell_a", "cell_b")]
-        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        for a, b in zip([0, *new], [*new, table.num_rows]):
-            if b - a > 1 and (out := links(table.slice(a, b - a))) is not None:
-                yield out
+        for table in whole_cells(batches, CELL, 16_384):
+            starts = cell_starts(table, [*CELL, "cell_a", "cell_b"]).tolist()
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                if b - a > 1 and (out := cell_links(table.slice(a, b - a), threshold)) is not None:
+                    yield out
 
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int = 16_384, per_cell: int = 400, most_cells: int = 1024, tile: int = 1024) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int = 16_384, per_cell: int = 400, most_cells: int = 1024, tile: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label).
 
     The fit sees about ``sample`` rows (twice that at most) and makes up to ``most_cells`` cells, one for ``per_cell`` rows; a
-    label that the sample lacks is one cell. Cells of more than ``tile`` rows are cut into slices.
+    label that the sample lacks is one cell. Cells of more than ``tile`` rows, guests included, are cut into slices.
     """
-    spark = vectors.sparkSession
     kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     base = base.withColumn("k1", F.xxhash64(F.lit(1), "label", "embedding")).withColumn("k2", F.xxhash64(F.lit(2), "embedding", "label"))
     distinct = base.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     reps = materialize(distinct, "vectors")
     centres = fit_centres(reps.withColumnRenamed("rep", "vec_id"), sample, per_cell, most_cells)
     margin = math.sqrt(2 - 2 * threshold) / 2
     cells = materialize(reps.mapInArrow(_cells(centres, margin), CELL_SCHEMA.format(kind)), "cells")
-    keys = ["label", "dim", "cell"]
-    tiles = in_tiles(cells, keys, "rep", tile).repartition(shuffle_partitions(spark), *keys, "cell_a", "cell_b")
+    tiles = gathered(in_tiles(cells, CELL, "rep", tile), CELL, partitions_for(vectors.sparkSession, cells.count(), 200_000), "rep")
     found = materialize(tiles.mapInArrow(_cell_links(threshold), "rep long, links long, root long"), "vector-links")
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

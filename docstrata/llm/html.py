@@ -1,14 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block. Lines in a zone which is never main text (menus,
-footers, adverts, forms, reader comments and the like, by tag or by class, id and role words) have
-length 0; the lines between them, and between the ends of article elements, are a block. If there
-are article elements, all blocks of the one with the most text outside links are the main text,
-else all blocks that have text outside links.
-
-Defined results: a null or empty page gives the empty text; a page without any text outside such zones
-gives the empty text; repeated rows are extracted alike; an empty table gives an empty one; further
-columns are ignored.
+Markup is stripped to rows, one for each block of text (a line break inside a block is white space). A row's length is that
+of its text less the text of links. Zones that are never main text (menus, footers, adverts, forms, reader
+comments and the like, by tag or by class, id and role words) have length 0: a row where the zone begins, and one for each block in it.
+
+Lengths are summed over a sliding window of rows. The page's own distribution of these sums sets the threshold: a share
+of the largest one. A block surges at the first window that reaches it and dives after the last one that
+does so without a break; the rows of its windows are its text, with short lines, titles say, next to long ones. An article
+or main element around such a block is known by its author to begin and end there, so its borders take the place of
+the surge and the dive; of several, the one with the largest sum between them is the page's text, and what
+lies outside of it is not.
+
+Defined results: a null or empty page gives the empty text; so does a page without a row that has a length, except
+that an article of nothing but links has its links; of articles with equal sums the first is
+taken; pages of any length are read whole, in time that grows with their length; a tag that the page's end cuts off
+is no text; from a tag on that quotes keep from ending, they are ordinary characters; repeated rows are extracted alike; an empty table gives an empty
+one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,36 +44,65 @@ ZONE_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation share sharing sidebar social topbar toolbar".split())
 TELLING = frozenset("has no with without".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ARTICLES = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # A start of these ends an open paragraph.
-CLOSES_P = BLOCKS - {"br"}
+CLOSES_P = BLOCKS
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?", re.S)
+# Window of rows, and share of the largest window sum that a block has to reach.
+WINDOW, SHARE = 3, 0.01
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+# The rest of a tag; an attribute's value may hold > in quotes.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _ON_ARTICLE, _IN_ARTICLE = ZONE_WORDS - LAYOUT_WORDS, ZONE_WORDS - {"header"}
 
 
 @dataclass
-class Line:
+class Row:
     text: str
     noise: bool
     article: int  # number of the outermost article element around it, 0 for none
     linked: int
 
 
+class _Open:
+    """Open elements from the outermost inwards, with a count of each name, so that an end tag without a start costs nothing."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def close(self, name: str) -> bool:
+        """End the innermost element of that name and all in it; False if none is open."""
+        if not self.count.get(name):
+            return False
+        while (inner := self.names.pop()) != name:
+            self.count[inner] -= 1
+        self.count[name] -= 1
+        return True
+
+    def clear(self) -> None:
+        self.names, self.count = [], {}
+
+
 @dataclass
 class _Stripper:
-    lines: list[Line | None] = field(default_factory=list)  # None: a border
+    rows: list[Row] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    zone: list[str] = field(default_factory=list)  # open elements from the outermost zone inwards
+    zone: _Open = field(default_factory=_Open)  # from the outermost zone inwards
     articles: int = 0
-    inside: list[str] = field(default_factory=list)  # open article elements
+    inside: _Open = field(default_factory=_Open)  # article elements
     link: bool = False
 
     def text(self, part: str) -> None:
@@ -77,56 +114,50 @@ class _Stripper:
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            self.lines.append(Line(text, bool(self.zone), self.articles if self.inside else 0, self.linked))
+            self.rows.append(Row(text, bool(self.zone.names), self._article(), self.linked))
         self.parts, self.linked = [], 0
 
-    def border(self) -> None:
-        if not self.lines or self.lines[-1] is not None:
-            self.lines.append(None)
+    def _article(self) -> int:
+        return self.articles if self.inside.names else 0
 
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self.flush()
-        if name == "a":
+        elif name == "br":
+            self.parts.append(" ")
+        elif name == "a":
             self.link = True
         if name in VOID:
             return
-        words = _ON_ARTICLE if name in ARTICLES else _IN_ARTICLE if self.inside else ZONE_WORDS
-        marked = name in ZONES or name == "header" and not self.inside or bool(attributes) and name not in ("html", "body") and _marked(attributes, words)
-        if name in ARTICLES and not marked and (not self.zone or not self.inside):
-            if self.zone:  # a zone that was never closed
-                self.zone = []
-            self.border()
-            if not self.inside:
-                self.articles += 1
-            self.inside.append(name)
+        words = _ON_ARTICLE if name in ARTICLES else _IN_ARTICLE if self.inside.names else ZONE_WORDS
+        marked = name in ZONES or name == "header" and not self.inside.names or bool(attributes) and name not in ("html", "body") and _marked(attributes, words)
+        if name in ARTICLES and not marked and not (self.zone.names and self.inside.names):
+            self.flush()
+            self.zone.clear()  # a zone that was never closed
+            self.articles += not self.inside.names
+            self.inside.push(name)
             return
-        if self.zone:
-            if self.zone[-1] == "p" and name in CLOSES_P:
-                self.zone.pop()
-                if not self.zone:
-                    self.border()
-            if self.zone or marked:
-                self.zone.append(name)
+        if self.zone.names and self.zone.names[-1] == "p" and name in CLOSES_P:
+            self.zone.close("p")
+        if self.zone.names:
+            self.zone.push(name)
         elif marked:
-            self.border()
-            self.zone.append(name)
+            self.flush()
+            self.zone.push(name)
+            self.rows.append(Row("", True, self._article(), 0))
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        if name == "a":
+        elif name == "a":
             self.link = False
-        if name in self.zone:
-            while self.zone.pop() != name:
-                pass
-            if not self.zone:
-                self.border()
-        elif name in self.inside:
-            while self.inside.pop() != name:
-                pass
-            self.zone = []
-            self.border()
+        if self.zone.count.get(name):
+            if self.zone.names[0] == name and self.zone.count[name] == 1:
+                self.flush()  # what is pending belongs to the zone
+            self.zone.close(name)
+        elif self.inside.count.get(name):
+            self.inside.close(name)
+            self.zone.clear()
 
 
 def _marked(attributes: str, words: frozenset[str]) -> bool:
@@ -138,58 +169,85 @@ def _marked(attributes: str, words: frozenset[str]) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[Line | None]:
-    """The page's blocks in order; None stands for a border between zones."""
-    out, at, low = _Stripper(), 0, None
-    while m := _TAG.search(page, at):
-        out.text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+def rows_of(page: str) -> list[Row]:
+    """The page's blocks of text in order, and a row without text where a zone begins."""
+    out, at, low, last, quotes = _Stripper(), 0, None, page.rfind(">"), True
+    while (begin := page.find("<", at)) >= 0:
+        out.text(page[at:begin])
+        at = begin + 1
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
             continue
-        if m[1] or m[4]:
-            out.end(name)
+        found = _NAME.match(page, at)
+        if not found and page[at : at + 1] not in ("!", "?", "/"):
+            out.text("<")
             continue
-        attributes = m[3] if m[2] else m[6]
-        if name in RAW:
-            if not attributes.endswith("/"):
-                low = page.lower() if low is None else low
-                close = low.find(f"</{name}", at) if len(low) == len(page) else -1
-                if close < 0 and len(low) != len(page):  # lower-casing moved the characters
-                    found = re.compile(f"</{name}", re.I).search(page, at)
-                    close = found.start() if found else -1
-                at = len(page) if close < 0 else close
+        if begin > last:  # a tag that the page's end cuts off
+            at = len(page)
+            break
+        if not found:
+            at = page.index(">", begin) + 1
             continue
-        out.start(name, attributes)
+        end = _REST.match(page, found.end()) if quotes else None
+        quotes = quotes and end is not None
+        at = end.end() if end else page.index(">", found.end()) + 1
+        name, attributes = found[0].lower(), page[found.end() : at - 1]
+        if name[0] == "/":
+            out.end(name[1:])
+        elif name not in RAW:
+            out.start(name, attributes)
+        elif not attributes.endswith("/"):
+            low = page.lower() if low is None else low
+            close = low.find(f"</{name}", at) if len(low) == len(page) else -1
+            if close < 0 and len(low) != len(page):  # lower-casing moved the characters
+                moved = re.compile(f"</{name}", re.I).search(page, at)
+                close = moved.start() if moved else -1
+            at = len(page) if close < 0 else close
     out.text(page[at:])
     out.flush()
-    return out.lines
+    return out.rows
 
 
-def extract_main_text(page: str | None) -> str:
-    blocks: list[list[Line]] = []
-    open_ = False
-    for x in lines_of(page or ""):
-        if x is None:  # a border alone parts nothing that has the same article on both sides
-            continue
-        if x.noise:
-            open_ = False
-            continue
-        if not open_ or blocks[-1][-1].article != x.article:
-            blocks.append([])
-            open_ = True
-        blocks[-1].append(x)
-    mass = [sum(max(0, len(x.text) - x.linked) for x in block) for block in blocks]
-    articles: dict[int, int] = {}
-    for block, m in zip(blocks, mass):
-        if block[0].article:
-            articles[block[0].article] = articles.get(block[0].article, 0) + m
-    if articles:
-        best = max(articles, key=lambda a: (articles[a], -a))
-        chosen = [b for b in blocks if b[0].article == best]
+def surges(lengths: list[int], window: int = WINDOW, share: float = SHARE) -> list[tuple[int, int]]:
+    """(begin, end) of the blocks: runs of windows whose sums reach the share of the largest one, with all their rows."""
+    total = [0, *accumulate(lengths)]
+    sums = [total[min(i + window, len(lengths))] - total[i] for i in range(len(lengths))]
+    least, out = max([1.0, *(s * share for s in sums)]), []
+    for i, s in enumerate(sums):
+        if s >= least:
+            end = min(i + window, len(lengths))
+            if out and i <= out[-1][1] and sums[i - 1] >= least:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((i, end))
+    return out
+
+
+def extract_main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+    rows = rows_of(page or "")
+    plain = [0 if x.noise else max(0, len(x.text) - x.linked) for x in rows]
+    if not any(n for n, x in zip(plain, rows) if x.article) and any(x.article and x.text and not x.noise for x in rows):
+        # articles of nothing but links: those are their text
+        plain = [len(x.text) if x.article and not x.noise else 0 for x in rows]
+    blocks = surges(plain, window, share)
+    mass: dict[int, int] = {}
+    seen = 0  # blocks may share rows at their ends
+    for a, b in blocks:
+        for i in range(max(a, seen), b):
+            if rows[i].article:
+                mass[rows[i].article] = mass.get(rows[i].article, 0) + plain[i]
+        seen = b
+    if mass := {article: n for article, n in mass.items() if n}:
+        best = max(mass, key=lambda article: (mass[article], -article))
+        kept = [x for x in rows if x.article == best]
     else:
-        chosen = [b for b, m in zip(blocks, mass) if m]
-    return "\n".join(x.text for b in chosen for x in b)
+        inside, end = [], 0
+        for a, b in blocks:
+            inside += rows[max(a, end) : b]
+            end = b
+        kept = inside
+    return "\n".join(x.text for x in kept if x.text and not x.noise)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@ The fit sees a bounded sample (``sample`` windows aimed at, twice that at most)
 the only input. Every text is predicted whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if no labelled row is
-there to learn from, so is every text; repeated rows are predicted alike; an empty table gives an
-empty one; further columns are ignored.
+there to learn from, so is every text; of languages with equal probabilities the first by name is the answer;
+repeated rows are predicted alike, also where they share an id; an empty table gives an empty one; further
+columns are ignored, and those of ``keep`` come along.
 """
 
 from __future__ import annotations
@@ -22,10 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A letter of any script; superscript digits, fractions and Roman numerals are none."""
+    return any(m[0].isalpha() for m in _LIKELY.finditer(text))
 
 
 @dataclass
@@ -99,7 +106,7 @@ def cut_windows(data: bytes, window: int) -> np.ndarray:
     return np.frombuffer(data.ljust(rows * window, b"\0"), np.uint8).reshape(rows, window)
 
 
-def _predict(net: ByteNet | None, most_rows: int = 512):
+def _predict(net: ByteNet | None, kept: int = 0, most_rows: int = 512):
     def answers(parts: list[np.ndarray]) -> tuple[list[str], list[float]]:
         x = np.concatenate(parts)
         logs = np.concatenate([net.log_probabilities(x[a : a + most_rows]) for a in range(0, len(x), most_rows)])
@@ -121,7 +128,7 @@ def _predict(net: ByteNet | None, most_rows: int = 512):
             # texts in groups of a bounded number of windows (or one long text), so that no batch is held twice
             for i, value in enumerate(batch.column("text")):
                 text = value.as_py()
-                if text and net is not None and _LETTER.search(text):
+                if text and net is not None and has_letter(text):
                     waiting.append(i)
                     parts.append(cut_windows(text.encode("utf-8", "surrogatepass"), net.window))
                     held += len(parts[-1])
@@ -130,19 +137,25 @@ def _predict(net: ByteNet | None, most_rows: int = 512):
                         waiting, parts, held = [], [], 0
             if parts:
                 settle()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            along = range(2, 2 + kept)
+            names = ["doc_id", "held_out", "lang_pred", "score", *(batch.schema.names[i] for i in along)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *(batch.column(i) for i in along)], names=names)
 
     return run
 
 
 def learn(docs: DataFrame, sample: int = 4_000, window: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """Fit on one window of each sampled labelled row; None if there is none."""
-    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~_held_out(id_col))
+    text, lang = F.col(text_col), F.col(lang_col)
+    labelled = docs.where(text.isNotNull() & lang.isNotNull() & ~_held_out(id_col))
     n = labelled.select(id_col).count()
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(max(1, -(-n // sample)))) == 0)
-    start = 1 + F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.greatest(F.length(text_col) - window, F.lit(0)) + 1)
-    got = chosen.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).substr(start.cast("int"), F.lit(window)).alias("part")).limit(2 * sample).toArrow().sort_by([("i", "ascending"), ("part", "ascending")])
-    rows = [(p.encode("utf-8", "surrogatepass")[:window], lang) for p, lang in zip(got["part"].to_pylist(), got["lang"].to_pylist()) if _LETTER.search(p)]
+    # by id and text, so that rows which share an id are not all chosen or all left out
+    turn = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), text), F.lit(max(1, -(-n // sample))))
+    start = 1 + F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.greatest(F.length(text) - window, F.lit(0)) + 1)
+    parts = labelled.where(turn == 0).select(F.col(id_col).cast("long").alias("i"), lang.cast("string").alias("lang"), text.substr(start.cast("int"), F.lit(window)).alias("part"))
+    # should more be chosen than twice the sample, the first by a hash are taken, the same in any run
+    got = parts.withColumn("h", F.xxhash64(F.lit(7), "i", "part", "lang")).orderBy("h", "i", "part", "lang").limit(2 * sample).toArrow().sort_by([("i", "ascending"), ("part", "ascending"), ("lang", "ascending")])
+    rows = [(p.encode("utf-8", "surrogatepass")[:window], v) for p, v in zip(got["part"].to_pylist(), got["lang"].to_pylist()) if has_letter(p)]
     return ByteNet.fit([t for t, _ in rows], [v for _, v in rows], window) if rows else None
 
 
@@ -150,8 +163,11 @@ def _held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def identify_languages(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+def identify_languages(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and the columns ``keep`` of the same row, as kept_<name>."""
     net = learn(docs, sample, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(_held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(_held_out(id_col), F.lit(False)).alias("held_out"), *kept, F.col(text_col).cast("string").alias("text"))
+    schema = T._parse_datatype_string("doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*schema, *(T.StructField(f"kept_{c}", docs.schema[c].dataType) for c in keep)])
+    return rows.mapInArrow(_predict(net, len(keep)), schema)

@@ -5,9 +5,9 @@ number of bytes, several samples make a chunk, and the first sample of each chun
 ``read_container`` knows any file of this family with sample tables: it walks the nested boxes, decodes
 the tables of the first track, and says where each sample is, without touching the payload.
 
-Defined results: a null text counts as empty and is stored as blanks; a file that cannot be read gives
-nulls and an ``error``; equal texts give equal values; an empty table gives an empty one; further
-columns are ignored.
+Defined results: a null text counts as empty and is stored as blanks; texts of any length are stored whole; a
+file that cannot be read, or whose boxes nest deeper than any real file's, gives nulls and an ``error``; equal
+texts, and so repeated rows, give equal values; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RATE = 8000
 PER_CHUNK = 16
 # Boxes that hold other boxes.
 NESTS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta")
+# A track's tables are six boxes deep.
+DEEPEST = 32
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -73,10 +75,13 @@ def write_container(payload: bytes, unit: int = UNIT, per_chunk: int = PER_CHUNK
     return head(front) + data + payload
 
 
-def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, begin, end) of the content of every box, nested ones after the one that holds them."""
-    end = len(data) if end is None else end
-    while begin + 8 <= end:
+def walk(data: bytes, begin: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, begin, end) of the content of every box, nested ones after the one that holds them; boxes may nest ``DEEPEST`` deep."""
+    open_ = [((), begin, len(data) if end is None else end)]
+    while open_:
+        path, begin, end = open_.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         head = 8
         if size == 1:
@@ -87,10 +92,13 @@ def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - begin
         if size < head or begin + size > end:
             raise ValueError(f"box {kind!r} does not fit")
-        yield (*path, kind), begin + head, begin + size
+        if len(path) >= DEEPEST:
+            raise ValueError(f"boxes nest more than {DEEPEST} deep")
+        inner = (*path, kind)
+        yield inner, begin + head, begin + size
+        open_.append((path, begin + size, end))
         if kind in NESTS:
-            yield from walk(data, begin + head, begin + size, (*path, kind))
-        begin += size
+            open_.append((inner, begin + head, begin + size))
 
 
 @dataclass

@@ -6,8 +6,9 @@ window is opened while fewer than the fixed number are open; otherwise the fulle
 with the head of the piece (documents may be cut freely) and emitted. What is left open at the end
 of the partitions is merged, without cutting, in groups of bounded size.
 
-Defined results: a null text counts as empty and gives the single end token; every row is packed, so
-repeated rows (and repeated ids) give pieces each; an empty table gives no piece; further columns are
+Defined results: a null text counts as empty and gives the single end token; texts of any length are packed
+whole; every row is packed, so repeated rows (and repeated ids) give pieces each; of equally good
+windows the one opened first is taken; an empty table gives no piece; further columns are
 ignored, whatever their names.
 """
 
@@ -38,14 +39,15 @@ class Encoder:
     In the byte-level pre-tokenizer a boundary always stands before a single blank that a non-blank
     follows, and between a letter and a full stop or comma, so a text without blank pairs is encoded
     word by word with a memo of bounded size (two generations; words in use move to the young
-    one); any other text goes to the tokenizer whole.
+    one); any other text goes to the tokenizer whole, and so does a text that holds an added token of
+    the file, such as the end of a text, which the tokenizer reads as that token.
     """
 
     def __init__(self, path: str, memo: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
@@ -57,7 +59,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _BLANK_PAIR.search(text):
+        if _BLANK_PAIR.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         words = text.split(" ")
         found = list(map(self.young.get, words))

@@ -4,10 +4,13 @@ Fingerprints are compared in tiles with exclusive-or and bit counts; a tile pair
 differ by more than the radius is skipped. To keep the comparison from growing with the square of the
 corpus, the tiles are cut from cells in which two of five bit blocks agree: with at most three
 differing bits, at least two blocks always do, so no link is lost. Equal fingerprints are one
-vertex. Hot cells are cut into slices that meet pairwise. Only forest links leave a task.
+vertex. Hot cells are cut into slices that meet pairwise. Only forest links leave a task. Cells hold 26 bits, so
+their size, and the work on each fingerprint, begins to grow beyond 2**26 distinct fingerprints.
 
-Defined results: a null or blank text has fingerprint zero and is linked like any other; repeated rows
-stay one row each in the result; an empty table gives an empty one; further columns are ignored.
+Defined results: a null or blank text has fingerprint zero and is linked like any other; texts of any length are
+read whole; a bit set in exactly half of the hashes is 0; repeated rows stay one row each in the result,
+and rows that share an id have that id's smallest component; an empty table gives an empty one; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.components import connected, in_tiles, local_roots
-from docstrata.llm.storage import materialize, shuffle_partitions
+from docstrata.llm.components import cell_starts, connected, gathered, in_tiles, local_roots, whole_cells
+from docstrata.llm.storage import materialize, partitions_for
 
 SEED = 42
 
@@ -59,61 +62,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "doc_id long, print long")
 
 
-def _tile_links(prints: np.ndarray, part: np.ndarray, across: bool, radius: int, tile: int = 512) -> tuple[list, list]:
-    """Links inside one cell, by tiles over rows in order of their bit counts. across: only between slices."""
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    x, bits, p = prints[order], np.bitwise_count(prints[order]).astype(np.int16), part[order]
-    us, vs = [], []
-    for a in range(0, len(x), tile):
-        for b in range(a, len(x), tile):
-            if bits[b] - bits[min(a + tile, len(x)) - 1] > radius:
-                break
-            near = np.bitwise_count(x[a : a + tile, None] ^ x[None, b : b + tile]) <= radius
-            if across:
-                near &= p[a : a + tile, None] != p[None, b : b + tile]
-            i, j = np.nonzero(near)
-            us.append(order[i + a])
-            vs.append(order[j + b])
+def _tile_links(prints: np.ndarray, part: np.ndarray, across: bool | np.ndarray, radius: int, tile: int = 64, cell: np.ndarray | None = None, most: int = 256) -> tuple[list, list]:
+    """Links inside cells, by tiles over rows in order of cell and bit count. across: only between slices (said of all rows, or of each).
+
+    A tile is compared with itself and with the tiles after it, as long as its last row and the other's first one are of one
+    cell and their bit counts differ by at most the radius. ``most`` tile pairs are compared at once.
+    """
+    n = len(prints)
+    cell = np.zeros(n, np.int64) if cell is None else cell
+    bits = np.bitwise_count(prints).astype(np.int16)
+    order = np.lexsort((bits, cell))
+    tiles = -(-n // tile)
+    fill = tiles * tile - n
+    # rows that fill up the last tile are of no cell
+    x = np.pad(prints[order], (0, fill)).reshape(tiles, tile)
+    c = np.pad(cell[order], (0, fill), constant_values=-1).reshape(tiles, tile)
+    p = np.pad(part[order], (0, fill)).reshape(tiles, tile)
+    s = np.pad(np.broadcast_to(across, n)[order], (0, fill)).reshape(tiles, tile)
+    first, last = order[np.arange(tiles) * tile], order[np.minimum(np.arange(1, tiles + 1) * tile, n) - 1]
+    us, vs, left = [], [], np.arange(tiles)
+    for step in range(tiles):
+        left = left[left + step < tiles]
+        if step:  # tiles are in order, so a tile that is too far off is followed by none that is near
+            a, b = last[left], first[left + step]
+            left = left[(cell[a] == cell[b]) & (bits[b] - bits[a] <= radius)]
+        if not len(left):
+            break
+        for chunk in np.array_split(left, -(-len(left) // most)):
+            a, b = chunk, chunk + step
+            near = np.bitwise_count(x[a][:, :, None] ^ x[b][:, None, :]) <= radius
+            near &= c[a][:, :, None] == c[b][:, None, :]
+            near &= ~s[a][:, :, None] | (p[a][:, :, None] != p[b][:, None, :])
+            t, i, j = np.nonzero(near)
+            i, j = a[t] * tile + i, b[t] * tile + j
+            real = (i < n) & (j < n) & (i != j)
+            us.append(order[i[real]])
+            vs.append(order[j[real]])
     return us, vs
 
 
-def _cell_links(radius: int, small: int = 48):
+CELL = ["block", "key"]
+
+
+def _cell_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        cols = [table[n].to_numpy() for n in ("block", "key", "cell_a", "cell_b")]
-        prints, part = table["print"].to_numpy().view(np.uint64), table["part"].to_numpy()
-        order = np.lexsort((prints, *cols[::-1]))
-        cols, prints, part = [c[order] for c in cols], prints[order], part[order]
-        new = np.ones(len(prints), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(prints)))
-        group, sizes = np.cumsum(new) - 1, size[np.cumsum(new) - 1]
-        us, vs = [], []
-        few = np.flatnonzero(sizes <= small)
-        g, x, p = group[few], prints[few], part[few]
-        across = (cols[2] != cols[3])[few]
-        for step in range(1, min(small, int(size.max()))):
-            near = (g[step:] == g[:-step]) & (np.bitwise_count(x[step:] ^ x[:-step]) <= radius) & (~across[step:] | (p[step:] != p[:-step]))
-            i = np.flatnonzero(near)
-            us.append(few[i])
-            vs.append(few[i + step])
-        for k in np.flatnonzero(size > small):
-            a, b = begin[k], begin[k] + size[k]
-            i, j = _tile_links(prints[a:b], part[a:b], bool(cols[2][a] != cols[3][a]), radius)
-            i, j = np.concatenate(i), np.concatenate(j)
-            root = local_roots(b - a, i, j)
-            i = np.flatnonzero(root != np.arange(b - a))
-            us.append(a + i)
-            vs.append(a + root[i])
-        if not us:
-            return
-        vertex, at = np.unique(prints, return_inverse=True)
-        root = local_roots(len(vertex), at[np.concatenate(us)], at[np.concatenate(vs)])
-        i = np.flatnonzero(root != np.arange(len(vertex)))
-        yield pa.RecordBatch.from_arrays([pa.array(vertex[i].view(np.int64)), pa.array(vertex[root[i]].view(np.int64))], names=["a", "b"])
+        for table in whole_cells(batches, CELL):
+            prints, part = table["print"].to_numpy().view(np.uint64), table["part"].to_numpy()
+            across = table["cell_a"].to_numpy() != table["cell_b"].to_numpy()
+            cell = np.zeros(len(prints), np.int64)
+            cell[cell_starts(table, [*CELL, "cell_a", "cell_b"])[1:]] = 1
+            us, vs = _tile_links(prints, part, across, radius, cell=np.cumsum(cell))
+            vertex, at = np.unique(prints, return_inverse=True)
+            root = local_roots(len(vertex), at[np.concatenate(us)], at[np.concatenate(vs)])
+            i = np.flatnonzero(root != np.arange(len(vertex)))
+            yield pa.RecordBatch.from_arrays([pa.array(vertex[i].view(np.int64)), pa.array(vertex[root[i]].view(np.int64))], names=["a", "b"])
 
     return run
 
@@ -132,16 +134,17 @@ def _signed(x: int) -> int:
 
 def near_links(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
     """Forest links (a, b) between distinct fingerprints at most ``radius`` bits apart. prints: distinct ``print``."""
-    keys = F.array(*(F.struct(F.lit(i).cast("int").alias("block"), F.col("print").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(block_masks(radius))))
+    masks = block_masks(radius)
+    keys = F.array(*(F.struct(F.lit(i).cast("int").alias("block"), F.col("print").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)))
     keyed = prints.select("print", F.explode(keys).alias("k")).select("print", "k.block", "k.key")
-    cells = in_tiles(keyed, ["block", "key"], "print", tile)
-    return cells.repartition(shuffle_partitions(prints.sparkSession), "block", "key", "cell_a", "cell_b").mapInArrow(_cell_links(radius), "a long, b long")
+    cells = in_tiles(keyed, CELL, "print", tile)
+    return gathered(cells, CELL, partitions_for(prints.sparkSession, len(masks) * prints.count())).mapInArrow(_cell_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable, its own included)."""
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    vertices = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    vertices = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
     roots = connected(near_links(vertices.select("print"), radius))
     placed = vertices.join(roots, vertices["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
