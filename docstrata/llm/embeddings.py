@@ -184,3 +184,16 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
     usable_rows = base.where("usable").select("vec_id", "k1", "k2").join(stats, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = base.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable_rows.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def oracle(threshold: float = 0.98) -> str:
+    """DuckDB: the same by a plain join on the label."""
+    return f"""WITH RECURSIVE usable AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+unit AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM usable),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {threshold}),
+reach AS (SELECT DISTINCT a AS v, a AS r FROM links UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT v, min(r) AS r FROM reach GROUP BY 1), counted AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(l.r, e.vec_id) AS component_id, coalesce(l.r, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least l ON l.v = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import licences
+from docstrata.llm import embeddings, licences
 from docstrata.llm.embeddings import embedding_groups
 from docstrata.llm.html import extract_pages
 from docstrata.llm.language import identify_languages
@@ -88,5 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The licence scan is SQL; the others are held against brute force, round trips or held-out rows in tests/llm."""
-    return {"op6_licence_scan": licences.oracle()}
+    """The licence scan and the comparison of vectors are SQL; the others are held against brute force, round trips or held-out rows in tests/llm."""
+    return {"op4_embedding_near_dedup": embeddings.oracle(), "op6_licence_scan": licences.oracle()}
