@@ -21,7 +21,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.components import cell_starts, connected, gathered, in_tiles, local_roots, whole_cells
@@ -53,13 +53,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "print"])
+
+
+def text_key(text_col: str = "text") -> Column:
+    """Tells rows with one id but different texts apart."""
+    return F.xxhash64(F.lit(11), F.col(text_col))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, print long")
+    """doc_id, text_key, print (the fingerprint as a signed number)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, print long")
 
 
 def _tile_links(prints: np.ndarray, part: np.ndarray, across: bool | np.ndarray, radius: int, tile: int = 64, cell: np.ndarray | None = None, most: int = 256) -> tuple[list, list]:
@@ -141,12 +147,23 @@ def near_links(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFram
     return gathered(cells, CELL, partitions_for(prints.sparkSession, len(masks) * prints.count())).mapInArrow(_cell_links(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable, its own included)."""
+def _rooted(docs: DataFrame, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The prints of all rows; and for each distinct print its component's root, and the smallest (doc_id, text_key) that has the print."""
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    vertices = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "vertices")
+    vertices = materialize(prints.groupBy("print").agg(F.min(F.struct("doc_id", "text_key")).alias("least")), "vertices")
     roots = connected(near_links(vertices.select("print"), radius))
-    placed = vertices.join(roots, vertices["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, vertices.join(roots, vertices["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+
+
+def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable, its own included)."""
+    prints, placed = _rooted(docs, radius, id_col, text_col)
+    smallest = placed.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
     named = placed.join(smallest, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keepers(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kept_id, kept_key: one row of each component, that with the smallest id and, of the texts under that id, the smallest ``text_key``."""
+    _, placed = _rooted(docs, radius, id_col, text_col)
+    return placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
