@@ -9,7 +9,7 @@ pair is counted in one cell only. Equal vectors of a label are one vertex with a
 Defined results: labels of any type are compared as text; vectors that are null, empty, zero or hold null or
 non-finite components, and rows with a null label, have no links and are kept; vectors of different lengths never
 link; a cosine equal to the threshold links; a repeated row is a vector of its own; rows that share an id but
-not the vector stand together, each with the links of all of them; an empty table gives an empty one; further
+not the vector stand together, each with the links of all of them; a null id is smaller than any other; an empty table gives an empty one; further
 columns are ignored, whatever their names.
 """
 
@@ -92,6 +92,7 @@ def _cells(centres: dict, margin: float):
     return run
 
 
+NO_ID = -(1 << 63)
 CELL_SCHEMA = "rep long, label string, weight long, embedding array<{}>, dim int, cell int, home int, visits array<int>"
 
 
@@ -168,7 +169,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
     kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0)
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    # a null id is smaller than any other
+    base = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     base = base.withColumn("k1", F.xxhash64(F.lit(1), "label", "embedding")).withColumn("k2", F.xxhash64(F.lit(2), "embedding", "label"))
     distinct = base.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     reps = materialize(distinct, "vectors")
@@ -183,7 +185,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
     stats = stats.select("k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     usable_rows = base.where("usable").select("vec_id", "k1", "k2").join(stats, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = base.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return usable_rows.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rows = usable_rows.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return rows.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("vec_id", "component_id")})
 
 
 def oracle(threshold: float = 0.98) -> str:

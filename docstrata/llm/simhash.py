@@ -9,7 +9,8 @@ their size, and the work on each fingerprint, begins to grow beyond 2**26 distin
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; texts of any length are
 read whole; a bit set in exactly half of the hashes is 0; repeated rows stay one row each in the result,
-and rows that share an id have that id's smallest component; an empty table gives an empty one; further columns
+those that share an id each in the component of its text; a null id is the smallest of its component only
+if there is no other; an empty table gives an empty one; further columns
 are ignored, whatever their names.
 """
 
@@ -57,14 +58,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "print"])
 
 
-def text_key(text_col: str = "text") -> Column:
-    """Tells rows with one id but different texts apart."""
-    return F.xxhash64(F.lit(11), F.col(text_col))
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows with one id but different texts apart, and no id from any."""
+    return F.xxhash64(F.lit(11), F.col(id_col).isNull(), F.col(text_col))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, print (the fingerprint as a signed number)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("text_key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, print long")
 
 
@@ -150,7 +151,8 @@ def near_links(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFram
 def _rooted(docs: DataFrame, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The prints of all rows; and for each distinct print its component's root, and the smallest (doc_id, text_key) that has the print."""
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    vertices = materialize(prints.groupBy("print").agg(F.min(F.struct("doc_id", "text_key")).alias("least")), "vertices")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    vertices = materialize(prints.groupBy("print").agg(least.alias("least")), "vertices")
     roots = connected(near_links(vertices.select("print"), radius))
     return prints, vertices.join(roots, vertices["print"] == roots["vertex"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
 
@@ -164,6 +166,6 @@ def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", tex
 
 
 def keepers(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """kept_id, kept_key: one row of each component, that with the smallest id and, of the texts under that id, the smallest ``text_key``."""
+    """kept_id, kept_key: one row of each component, that with the smallest id (none comes last) and, of the texts under that id, the smallest ``text_key``."""
     _, placed = _rooted(docs, radius, id_col, text_col)
     return placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))

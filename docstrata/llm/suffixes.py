@@ -16,9 +16,10 @@ one key ("pieces") are what travels, and one bucket of keys holds all copies of
 A key with many different pieces in a block or bucket (text around a passage that very many documents
 share) would make one bucket hot: its windows travel one by one and are dealt by their own hash.
 
-Defined results: a null text counts as empty; texts shorter than ``width`` lose nothing; repeats inside
-a document stay; documents with equal ids count as one position in the order (copies among them stay);
-an empty table gives an empty one; further columns are ignored.
+Defined results: a null text counts as empty; texts shorter than ``width`` lose nothing; texts of any length are
+read whole, each in one task; repeats inside a document stay; documents with equal ids, repeated rows for one, count
+as one position in the order (copies among them stay); a null id is smaller than any other; an empty table gives an
+empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)]
 _STEP = U(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2**64
 _STEP_BACK = U(pow(int(_STEP), -1, 1 << 64))
+# Stands for a null id: smaller than any other but the one that marks a crowded key.
+NO_ID = -(1 << 63) + 1
 NONE, WHOLE, BYTES, SPREAD = 0, 1, 2, 3
 
 
@@ -453,7 +456,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes:
     """
     blocks = scan_blocks(docs, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("bytes"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("bytes"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     by_block: Callable = lambda df: df.groupBy("block")
     lean = rows.select("doc_id", "bytes", "block")
     keys = by_block(lean).applyInArrow(_send_keys(width, hot, blocks), KEYS)
@@ -462,4 +465,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes:
     second = materialize(pieces.groupBy("bucket").applyInArrow(_answer_pieces(width), ANSWERS), "suffix-pieces")
     schema = T._parse_datatype_string(RESULT + (", text string" if keep_text else ""))
     schema = T.StructType([*schema, *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
-    return by_block(rows).cogroup(by_block(first.unionByName(second))).applyInArrow(_finish(width, hot, blocks, keep_text, list(carry)), schema)
+    done = by_block(rows).cogroup(by_block(first.unionByName(second))).applyInArrow(_finish(width, hot, blocks, keep_text, list(carry)), schema)
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
