@@ -13,7 +13,7 @@ from docstrata.sources import listings
 @query()
 def html_pages(spark, d):
     files = table(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("content"), F.when(F.col("page_id") % 10 == 0, "pdf").otherwise("html").alias("extension"))
-    return pages.parse_files(files)
+    return pages.parse_files(files).select("key", "page_no", "text", "error")
 
 
 def _pseudo_pages(spark, d):

@@ -22,11 +22,11 @@ EXTRA = {
     "bronze/objects": "object_uri string, content binary, run_id string",
     "bronze/reports": "source string, status string, listed long, landed long, fetch_errors long, validated_at string, run_id string",
     "bronze/failed": "record_key string, name string, run_id string",
-    "staging/pages": "record_key string, page_no int, text string, error string, run_id string",
+    "staging/pages": "record_key string, page_no int, text string, tables array<string>, n_pages_total int, raw boolean, error string, run_id string",
     "gold/chunks": "index_version string, chunk_id string, doc_id string, ordinal int, chunk_type string, page_start int, page_end int, text string, context string, source string, docket string, published_at string, embedding array<double>, run_id string",
     "gold/versions": "index_version string, chunk_config_version string, model string, created_at string, activated_at string, is_active boolean, n_chunks long, run_id string",
 }
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<double>": T.ArrayType(T.DoubleType())}
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType())}
 lakes.SCHEMAS |= {k: T.StructType([T.StructField(n, _KINDS[t]) for n, t in map(str.split, v.split(", "))]) for k, v in EXTRA.items()}
 lakes.PARTITIONS["gold/chunks"] = ["index_version", "run_id"]
 
