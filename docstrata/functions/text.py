@@ -117,12 +117,13 @@ def table_to_markdown(rows: Column) -> Column:
     """array<array<string>> to a markdown table; null below two rows or two columns. Null cells are empty."""
     cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " "), "[ \t ]+", " "))
     tidy = F.filter(F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(tidy, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), F.array_max(F.transform(tidy, F.size)) - F.size(r))), " | "), F.lit(" |"))
-    lines = F.transform(tidy, line)
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---|"), width), ""))
-    whole = F.concat_ws("\n", F.element_at(lines, 1), rule, F.array_join(F.slice(lines, 2, F.size(lines) - 1), "\n"))
-    return F.when((F.size(tidy) >= 2) & (width >= 2), whole)
+    # the width is found once, in a struct with the rows
+    sized = F.transform(F.array(tidy), lambda t: F.struct(t.alias("rows"), F.array_max(F.transform(t, F.size)).alias("width")))
+    line = lambda r, width: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = lambda width: F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---|"), width), ""))
+    lines = F.transform(sized, lambda t: F.struct(t["width"].alias("width"), F.transform(t["rows"], lambda r: line(r, t["width"])).alias("lines")))
+    whole = lambda t: F.concat_ws("\n", F.element_at(t["lines"], 1), rule(t["width"]), F.array_join(F.slice(t["lines"], 2, F.size(t["lines"]) - 1), "\n"))
+    return F.element_at(F.transform(lines, lambda t: F.when((F.size(t["lines"]) >= 2) & (t["width"] >= 2), whole(t))), 1)
 
 
 def is_heading(line: Column) -> Column:

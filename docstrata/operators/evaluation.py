@@ -7,17 +7,26 @@ from pyspark.sql import functions as F
 
 from docstrata.functions.text import squeeze
 
+RANGES = 1024
+
 
 def percentiles_nearest(rows: DataFrame, by: str, value: str, **percents: float) -> DataFrame:
     """Nearest-rank percentiles of a column (half ranks to even), one column for each name.
 
-    Values are ranked by a sort that may spill, not gathered in one row.
+    Equal values of a group are counted first, and the counts are added up in ranges of values: a group of any size is
+    dealt out, and what is gathered for it is one row for each range.
     """
-    w = Window.partitionBy(by).orderBy(value)
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(w).alias("_at")).join(sizes, by)
-    place = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1)).cast("int") + 1
-    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("_at") == place(p), F.col(value))).alias(name) for name, p in percents.items()))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    # some ranges of equal width for each group, of its own least and greatest value
+    ends = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"))
+    share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
+    ranged = counts.join(ends, by).withColumn("_range", F.coalesce(F.floor(share * RANGES), F.lit(0)))
+    below = ranged.groupBy(by, "_range").agg(F.sum("_c").alias("_sum")).withColumn("_before", F.sum("_sum").over(Window.partitionBy(by).orderBy("_range")) - F.col("_sum")).drop("_sum")
+    within = F.sum("_c").over(Window.partitionBy(by, "_range").orderBy(value))
+    ranked = ranged.withColumn("_upto", within).join(below, [by, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    place = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1)).cast("long") + 1
+    holds = lambda p: (place(p) <= F.col("_upto")) & (place(p) > F.col("_upto") - F.col("_c"))
+    return ranked.groupBy(by).agg(*(F.max(F.when(holds(p), F.col(value))).alias(name) for name, p in percents.items()))
 
 
 def first_ranks(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -42,3 +51,42 @@ def summary(ranks: DataFrame, k: int = 6) -> DataFrame:
     within = lambda n: F.round(F.avg(F.coalesce(F.col("first") <= n, F.lit(False)).cast("double")), 6)
     mrr = F.round(F.avg(F.coalesce(1 / F.when(F.col("first") <= k, F.col("first")), F.lit(0.0))), 6)
     return ranks.agg(F.count("*").alias("n_questions"), within(1).alias("hit_1"), within(3).alias("hit_3"), within(k).alias("hit_k"), mrr.alias("mrr"))
+
+
+def report(rows: DataFrame, k: int = 6) -> DataFrame:
+    """One row of an evaluation. rows: one for each question, with first, answer_rank, retrieval_ms, total_ms, and where there is an answer: answer_right, cited_expected,
+    read_tokens, written_tokens, input_tokens; ``error`` where the question failed, which counts for nothing else."""
+    done = F.col("error").isNull()
+    rate = lambda c: F.round(F.avg(F.when(done, F.coalesce(c, F.lit(False)).cast("double"))), 6)
+    known = lambda c: F.round(F.avg(F.when(done & F.col(c).isNotNull(), F.col(c).cast("double"))), 6)
+    tokens = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long")
+    first, read, written, fresh = F.col("first"), tokens("read_tokens"), tokens("written_tokens"), tokens("input_tokens")
+    one = rows.agg(
+        F.count_if(done).alias("n_questions"),
+        F.count_if(~done).alias("n_errors"),
+        rate(first <= 1).alias("hit_1"),
+        rate(first <= 3).alias("hit_3"),
+        rate(first <= k).alias("hit_k"),
+        rate(F.col("answer_rank") <= k).alias("answer_hit_k"),
+        F.round(F.avg(F.when(done, F.coalesce(1 / F.when(first <= k, first), F.lit(0.0)))), 6).alias("mrr"),
+        F.round(F.avg(F.when(done, F.col("retrieval_ms"))), 6).alias("retrieval_ms_mean"),
+        known("answer_right").alias("answer_acc"),
+        known("cited_expected").alias("cited_expected_rate"),
+        read.alias("read_tokens"),
+        written.alias("written_tokens"),
+        fresh.alias("uncached_input_tokens"),
+        F.round(read / F.greatest(F.lit(1), read + written + fresh), 6).alias("cache_hit_ratio"),
+    )
+    timed = rows.where(done).select(F.lit(1).alias("all"), "retrieval_ms", "total_ms")
+    for name in ("retrieval_ms", "total_ms"):
+        one = one.join(percentiles_nearest(timed, "all", name, **{f"{name}_p50": 50, f"{name}_p95": 95}).drop("all"), how="left")
+    return one
+
+
+def to_markdown(summary: dict, rows: list[dict], title: str = "Evaluation") -> str:
+    """The report as a page: the rates, then a line for each question."""
+    shown = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = [f"# {title}", "", "| metric | value |", "|---|---|", *(f"| {name} | {shown(v)} |" for name, v in summary.items())]
+    lines += ["", "| question | first | answer found | ms |", "|---|---|---|---|"]
+    lines += [f"| {r['question_id']} | {r['first'] or 'miss'} | {'yes' if r['answer_rank'] else 'no'} | {shown(r.get('retrieval_ms'))} |" for r in rows]
+    return "\n".join(lines) + "\n"

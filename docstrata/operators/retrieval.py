@@ -1,18 +1,23 @@
 """Dense, lexical and fused search over chunks; neighbours, reranking and extractive answers.
 
-``chunks`` have chunk_id, text and, as needed, context, embedding, doc_id and ordinal; ``queries`` have query_id.
+``chunks`` have chunk_id, text and, as needed, context, embedding, doc_id and ordinal; ``queries`` have query_id, qtext and qvec.
 All searches take many queries at once. Ties are broken by id, so results are the same on every run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docstrata.functions.text import terms
+from docstrata.functions.text import exact_terms, terms
+from docstrata.storage import materialize
 
 RRF_K = 60
 CANDIDATES = 50
@@ -44,22 +49,61 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b) + F.lit(1e-9))
 
 
-def dense_top(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = 1000) -> DataFrame:
+def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of one query: the highest scores, equal ones by id."""
+    if len(scores) > n:
+        least = np.partition(scores, len(scores) - n)[len(scores) - n]
+        near = scores >= least  # with all that tie with the last one
+        ids, scores = ids[near], scores[near]
+    order = np.lexsort((ids, -scores))[:n]
+    return ids[order], scores[order]
+
+
+def _dense(asked: pa.Table, n: int):
+    """Per task, the n best chunks of each query: one matrix product for each batch, and what was best so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(asked["qvec"].to_pylist(), dtype=np.float64)
+        norm = np.sqrt((q * q).sum(axis=1))
+        kept: list[tuple[np.ndarray, np.ndarray]] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            scores = (q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9)
+            scores = np.round(scores, 6)
+            new = [_best(ids, s, n) for s in scores]
+            kept = new if kept is None else [_best(np.concatenate([a, c]), np.concatenate([b, d]), n) for (a, b), (c, d) in zip(kept, new)]
+        if kept is not None:
+            sizes = [len(a) for a, _ in kept]
+            query = asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(kept)), sizes)))
+            found = pa.array(np.concatenate([a for a, _ in kept]), batch.column("chunk_id").type)
+            yield pa.RecordBatch.from_arrays([query, found, pa.array(np.concatenate([b for _, b in kept]))], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def dense_top(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = 4096) -> DataFrame:
     """query_id, chunk_id, score, rank by cosine similarity, exact. queries: query_id, qvec; a stated query set.
 
-    Every chunk meets every query once, in the task that holds the chunk. The queries are counted, and
-    sent around in blocks of at most ``block`` as one array row each; only the n best of a task for
-    a query leave it.
+    Queries are counted and go to the tasks in blocks of about ``block``; a block costs one scan of the chunks, one matrix
+    product for each Arrow batch, and only the n best of a task for a query leave it. Chunks without a vector, or with one of another
+    length than the first query's, are not found.
     """
-    blocks = max(1, -(-queries.count() // block))
-    of = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
+    spark = chunks.sparkSession
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    asked = queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec")
+    blocks, parts = max(1, -(-asked.count() // block)), []
     for b in range(blocks):
-        packed = of.where(F.col("_block") == b).agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs"))
-        pairs = chunks.select("chunk_id", "embedding").join(F.broadcast(packed)).select("chunk_id", "embedding", F.explode("qs").alias("q"))
-        scored = pairs.select("q.query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q.qvec")), 6).alias("score"))
-        parts.append(top(scored, n, F.desc("score"), F.asc("chunk_id")))
-    return reduce(DataFrame.unionByName, parts)
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if not own.num_rows:
+            continue
+        dim = len(own["qvec"][0])
+        usable = chunks.select("chunk_id", "embedding").where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
+        parts.append(usable.mapInArrow(_dense(own, n), schema))
+    scored = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return top(scored, n, F.desc("score"), F.asc("chunk_id"))
 
 
 def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -69,29 +113,87 @@ def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def rare_terms(queries: DataFrame, df: DataFrame, n_chunks: Column | int, share: float = 0.005, floor: int = 25) -> DataFrame:
     """Terms of the queries (query_id, qtext) that few chunks have, but at least one."""
-    limit = F.greatest(F.lit(floor), F.floor((n_chunks if isinstance(n_chunks, Column) else F.lit(n_chunks)) * F.lit(share)))
+    limit = rare_limit(n_chunks, share, floor)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("qtext")))).alias("term"))
     return asked.join(df, "term").where((F.col("df") > 0) & (F.col("df") <= limit)).select("query_id", "term", "df")
 
 
-def bm25_top(chunks: DataFrame, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
-    """query_id, chunk_id, score, rank. asked: distinct (query_id, term).
+@dataclass
+class Postings:
+    """Where asked terms occur (chunk_id, dl, term, tf), read from the texts once; ``stats`` has one row: n, avgdl."""
+
+    rows: DataFrame
+    stats: DataFrame
+
+    def frequency(self) -> DataFrame:
+        """term, df of the asked terms that occur."""
+        return self.rows.groupBy("term").agg(F.count("*").alias("df"))
+
+    def rare(self, asked: DataFrame, n_chunks: Column | int, share: float = 0.005, floor: int = 25) -> DataFrame:
+        """The asked (query_id, term) that occur, but in no more chunks than the threshold, which is a share of ``n_chunks``: of all chunks, filtered or not."""
+        return asked.join(self.frequency().where(F.col("df") <= rare_limit(n_chunks, share, floor)), "term").select("query_id", "term")
 
-    Statistics are those of the given chunks. Texts are read as terms once; only postings of asked terms
-    are shuffled, and scores are summed map-side first.
+
+def rare_limit(n_chunks: Column | int, share: float = 0.005, floor: int = 25) -> Column:
+    return F.greatest(F.lit(floor).cast("long"), F.floor((n_chunks if isinstance(n_chunks, Column) else F.lit(n_chunks)) * F.lit(share)))
+
+
+def postings(chunks: DataFrame, asked: DataFrame, text: str = "text") -> Postings:
+    """Texts are scanned and cut into terms once, whatever is asked of the postings; those of asked terms only are written.
+
+    Each chunk also has a posting of the empty term, which no text has: their number and lengths are the statistics.
     """
-    words = chunks.select("chunk_id", terms(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    postings = words.select("chunk_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    words = chunks.select("chunk_id", terms(F.col(text)).alias("terms"))
+    wanted = asked.select("term").unionByName(chunks.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    found = words.select("chunk_id", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    held = materialize(found.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
+    return Postings(held.where("term <> ''"), held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def question_terms(queries: DataFrame, mode: str = "all") -> DataFrame:
+    """Distinct (query_id, term) of the queries: all their terms, or with mode ``exact`` those of codes, amounts, years and acronyms."""
+    if mode == "exact":
+        # a code may be several terms
+        words = F.flatten(F.transform(exact_terms(F.col("qtext")), terms))
+    else:
+        words = terms(F.col("qtext"))
+    return queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
+
+
+def bm25(found: Postings, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, score, rank. asked: distinct (query_id, term), all of them asked of the postings. Scores are summed map-side first."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = postings.join(df, "term").join(F.broadcast(stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
+    # the statistics are one row
+    weighted = found.rows.join(found.frequency(), "term").join(F.broadcast(found.stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
     scores = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scores, n, F.desc("score"), F.desc("chunk_id"))
 
 
+def bm25_top(chunks: DataFrame, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
+    """query_id, chunk_id, score, rank. asked: distinct (query_id, term). Statistics are those of the given chunks."""
+    return bm25(postings(chunks, asked, text), asked, n, k1, b)
+
+
+def search(pool: DataFrame, queries: DataFrame, k: int, lexical: str | None = None, n_chunks: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """query_id, chunk_id, score, rank: the dense list, alone or fused with a lexical one.
+
+    pool: chunk_id, embedding and ``lexical`` (the searched text), filtered as wanted; queries: query_id, qtext, qvec. ``lexical``: ``exact``
+    for the codes of a question, ``rare`` for its terms that few of ``n_chunks`` chunks have (all of the index; of the pool, if not told).
+    """
+    if lexical not in (None, "exact", "rare"):
+        raise ValueError(f"lexical must be exact, rare or None, not {lexical!r}")
+    most = max(candidates, k)
+    lists = [dense_top(pool, queries, most)]
+    if lexical:
+        asked = question_terms(queries, "exact" if lexical == "exact" else "all")
+        found = postings(pool, asked, "lexical")
+        if lexical == "rare":
+            asked = found.rare(asked, pool.count() if n_chunks is None else n_chunks)
+        lists.append(bm25(found, asked, most))
+    return fuse(lists, k)
+
+
 def fuse(rankings: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, chunk_id, rank) lists; ties by the rank in the first list, then the next."""
     tagged = [r.select("query_id", "chunk_id", *(F.col("rank").alias(f"r{j}") if i == j else F.lit(None).cast("int").alias(f"r{j}") for j in range(len(rankings)))) for i, r in enumerate(rankings)]
@@ -175,11 +277,14 @@ def source_rows(hits: DataFrame) -> DataFrame:
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """A stand-in embedder without a model: counts of terms by hash, scaled to length 1."""
-    counts = lambda i: F.size(F.filter(terms(text), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dim)) == i)).cast("double")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), counts)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """A stand-in embedder without a model: counts of terms by hash, scaled to length 1. The text is cut into terms once."""
+    place = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(dim))
+    # an array of one array, so that what is made of the terms has a name and is not made anew for each place
+    once = F.array(F.transform(terms(text), place))
+    counts = F.transform(once, lambda of: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(of, lambda x: x == i)).cast("double")))
+    unit = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = F.transform(F.transform(counts, lambda raw: F.struct(raw.alias("raw"), unit(raw).alias("norm"))), lambda r: F.transform(r["raw"], lambda x: F.when(r["norm"] > 0, x / r["norm"]).otherwise(0.0)))
+    return F.element_at(scaled, 1)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:

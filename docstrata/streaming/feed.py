@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstrata.storage import scratch  # noqa: F401
+
 OVERLAP_DAYS = 1
 FIRST_DAYS = 7
 
@@ -53,9 +54,3 @@ def micro_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], s
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", state)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared folder of the cluster."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/docstrata-streams/{name}-{uuid.uuid4().hex}"
