@@ -1,103 +1,16 @@
-"""Lineage cuts for the training-data operators.
+"""Lineage cuts for the training-data operators, tables, and how many partitions and blocks to deal rows to.
 
 An intermediate result is cut from its lineage by writing it as Parquet into the folder that the
-cluster shares (``spark.checkpoint.dir``), so that a lost executor never loses the only copy. What was
-written goes when its reader is done: inside ``intermediates``, at its end; a table of a round of iteration, after
-the next round; the rest, which a result that has not been read yet may still need, with the application.
+cluster shares (``spark.checkpoint.dir``), so that a lost executor never loses the only copy.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[str, str] = {}
-_written: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Where it is unset, a temporary folder, on one machine only: elsewhere executors would write to disks of their own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="docstrata-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system it is; one that is gone is no error."""
-    _written.pop(path, None)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def _drop_rest() -> None:
-    for path, spark in list(_written.items()):
-        with contextlib.suppress(Exception):  # the application may have ended before
-            if spark.sparkContext._jsc is not None:
-                drop(spark, path)
-
-
-def note(spark: SparkSession, path: str) -> str:
-    """Remember a folder for deletion."""
-    if not _written:
-        atexit.unregister(_drop_rest)
-        atexit.register(_drop_rest)
-    _written[path] = spark
-    return path
-
-
-@contextlib.contextmanager
-def intermediates():
-    """What is materialized inside goes at the end: for work whose result has been written by then."""
-    before = set(_written)
-    try:
-        yield
-    finally:
-        for path, spark in list(_written.items()):
-            if path not in before:
-                drop(spark, path)
-
-
-@contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Shuffle files of what runs inside go once it has run; its result is on shared storage by then."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema (empty tables too)."""
-    spark = df.sparkSession
-    path = note(spark, f"{shared_dir(spark)}/docstrata/{name}-{uuid.uuid4().hex}")
-    with _shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from docstrata.storage import _written, drop, intermediates, materialize, note, release, shared_dir
 
-def release(df: DataFrame) -> None:
-    """Delete a materialized table that no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        known = [p for p in _written if path.endswith(p.split(":", 1)[-1].lstrip("/"))]
-        for p in known:
-            drop(df.sparkSession, p)
+__all__ = ["_written", "drop", "input_bytes", "intermediates", "materialize", "note", "partitions_for", "release", "scan_blocks", "shared_dir", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
