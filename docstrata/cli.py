@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.operators.chunking import Chunking
-from docstrata.plans.pipeline import Pipeline
+from docstrata.plans.pipeline import MODES, Pipeline
 from docstrata.session import get_session
-from docstrata.sources.lake import Lake
+from docstrata.sources.lake import Lake, latest_report
+from docstrata.sources.listings import questions
 
 
 def records(spark, path: str) -> DataFrame:
@@ -33,19 +34,33 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("ingest", "run"):
         sub.add_parser(name).add_argument("listed", help="Parquet of listed records with their bytes")
-    for name in ("silver", "rechunk", "gate", "gold", "versions", "health", "watermark"):
+    for name in ("silver", "rechunk", "gate", "gold", "versions", "health", "watermark", "status", "validation", "quarantine"):
         sub.add_parser(name)
+    watch = sub.add_parser("watch")
+    watch.add_argument("listed", help="Parquet that listed records are added to")
+    watch.add_argument("--every", type=float, default=900.0, help="seconds between polls")
+    watch.add_argument("--once", action="store_true")
+    golden = sub.add_parser("eval")
+    golden.add_argument("questions", help="golden questions as JSON lines")
+    golden.add_argument("--name", default="dev")
+    golden.add_argument("--mode", choices=sorted(MODES), default="rerank")
+    found = sub.add_parser("documents")
+    found.add_argument("contains", nargs="?", default="")
+    found.add_argument("--limit", type=int, default=100)
     sub.add_parser("activate").add_argument("version")
     ask = sub.add_parser("ask")
     ask.add_argument("question")
     ask.add_argument("--filter", type=json.loads, default={})
+    ask.add_argument("--mode", choices=sorted(MODES), default="rerank")
+    ask.add_argument("--fresh", action="store_true", help="no answer from the cache")
     sql = sub.add_parser("sql")
     sql.add_argument("text")
     sql.add_argument("tables", nargs="+")
     return p
 
 
-def main(argv: list[str] | None = None, spark=None, most: int = 1000) -> list[dict]:
+def main(argv: list[str] | None = None, spark=None) -> list[dict]:
+    """Run a command and print all its rows, one at a time; the rows are returned too."""
     args = parser().parse_args(argv)
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     run_id = args.run_id or f"run-{now}"
@@ -62,13 +77,20 @@ def main(argv: list[str] | None = None, spark=None, most: int = 1000) -> list[di
         "health": p.health,
         "watermark": p.watermark,
         "activate": lambda: p.activate(args.version, now) or p.versions(),
-        "ask": lambda: p.answer(lake.spark.createDataFrame([(1, args.question)], "query_id long, qtext string"), **args.filter),
+        "ask": lambda: p.answer(lake.spark.createDataFrame([(1, args.question)], "query_id long, qtext string"), now, args.mode, use_cache=not args.fresh, **args.filter),
+        "status": p.status,
+        "validation": lambda: latest_report(lake.read("bronze/reports")),
+        "quarantine": p.quarantine,
+        "documents": lambda: p.documents(args.contains, args.limit),
+        "watch": lambda: {"polls": p.watch(lambda: records(lake.spark, args.listed), args.every, args.once)},
+        "eval": lambda: p.evaluate(questions(lake.spark, args.questions), args.mode, args.name, now),
         "sql": lambda: lake.sql(args.text, args.tables),
     }
-    out = steps[args.command]()
-    rows = [json.loads(r) for r in out.limit(most).toJSON().collect()] if isinstance(out, DataFrame) else [out]
-    for row in rows:
-        print(json.dumps(row, ensure_ascii=False))
+    out, rows = steps[args.command](), []
+    # rows come one partition at a time
+    for row in (json.loads(r) for r in out.toJSON().toLocalIterator()) if isinstance(out, DataFrame) else [out]:
+        print(json.dumps(row, ensure_ascii=False, default=str))
+        rows.append(row)
     return rows
 
 

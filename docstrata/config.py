@@ -13,6 +13,7 @@ DEFAULTS: dict = {
     "silver": {"min_text_chars": 200, "max_pages": 400},
     "gate": {"max_quarantine_rate": 0.25, "max_chunk_tokens": 800},
     "search": {"k": 6, "candidates": 20, "window": 1},
+    "answers": {"ttl_seconds": 86_400},
 }
 
 

@@ -40,6 +40,7 @@ def documents_without_chunks(documents: DataFrame, chunks: DataFrame) -> DataFra
     cross join of tables: their number is that of configurations, not of rows.
     """
     versions = chunks.select("chunk_config_version").distinct().agg(F.sort_array(F.collect_list("chunk_config_version")).alias("versions"))
+    # one row with a name for each configuration
     pairs = documents.where("status = 'ok'").join(F.broadcast(versions)).select("doc_id", F.explode("versions").alias("chunk_config_version"))
     return pairs.join(chunks.select("doc_id", "chunk_config_version"), ["doc_id", "chunk_config_version"], "left_anti")
 
@@ -114,10 +115,11 @@ CHECKS = {
     "download_size_matches_source": "warn",
     "fetch_error_rate": "error",
     "freshness": "warn",
+    "volume_vs_trailing": "warn",
 }
 
 
-def failed_records(rows: DataFrame, order: list[str]) -> DataFrame:
+def failed_records(rows: DataFrame, order: list[str], least: int = 1024, most: int = 52_428_800) -> DataFrame:
     """(name, record_key) for each check that a record fails; ``content`` holds the stored bytes as text.
 
     One pass over the batch: the checks of a row are one array, and only repeated ids need a shuffle.
@@ -128,22 +130,34 @@ def failed_records(rows: DataFrame, order: list[str]) -> DataFrame:
         "unique_source_id": F.col("_n") > 1,
         "object_hash_matches_manifest": hash_differs(),
         "file_signature_matches_extension": signature_differs("content"),
-        "size_within_bounds": size_outside(),
+        "size_within_bounds": size_outside(least, most),
         "download_size_matches_source": size_differs(),
     }
     failed = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
     return rows.withColumn("_n", F.row_number().over(w)).select(F.explode(failed).alias("name"), "record_key")
 
 
-def batch_report(rows: DataFrame, order: list[str], now: Column, fetch_errors: int = 0, stale_days: int = 14) -> DataFrame:
-    """name, severity, n_failed, passed for each check."""
+def volume_now(listed: Column, reports: DataFrame, ratio: float = 0.3, trailing: int = 10, least: int = 3) -> DataFrame:
+    """One row, passed: is ``listed`` no less than a share of the mean of the last reports? Those that listed nothing do not count; few reports pass."""
+    last = reports.orderBy(F.desc("validated_at"), F.desc("run_id")).limit(trailing).where("listed > 0")
+    return last.agg(((F.count("*") < least) | (listed >= F.avg("listed") * ratio)).alias("passed"))
+
+
+def batch_report(rows: DataFrame, order: list[str], now: Column, fetch_errors: int = 0, stale_days: int = 14, reports: DataFrame | None = None, listed: int | None = None, **limits) -> DataFrame:
+    """name, severity, n_failed, passed for each check. reports: those of earlier batches (validated_at, run_id, listed); ``listed``: records of this one, new or not.
+
+    limits: min_bytes, max_bytes, max_error_rate, drop_ratio.
+    """
     spark = rows.sparkSession
-    counts = failed_records(rows, order).groupBy("name").agg(F.count("*").alias("n"))
-    rate = fetch_error_rate(rows.agg(F.count("*").alias("n_ok")).withColumn("n_err", F.lit(fetch_errors))).select(F.lit("fetch_error_rate").alias("name"), (~F.col("passed")).cast("long").alias("n"))
-    stale = freshness(rows, now, stale_days).select(F.lit("freshness").alias("name"), (~F.col("passed")).cast("long").alias("n"))
+    counts = failed_records(rows, order, limits.get("min_bytes", 1024), limits.get("max_bytes", 52_428_800)).groupBy("name").agg(F.count("*").alias("n"))
+    one = lambda df, name: df.select(F.lit(name).alias("name"), (~F.col("passed")).cast("long").alias("n"))
+    rate = fetch_error_rate(rows.agg(F.count("*").alias("n_ok")).withColumn("n_err", F.lit(fetch_errors)), limits.get("max_error_rate", 0.2))
+    single = one(rate, "fetch_error_rate").unionByName(one(freshness(rows, now, stale_days), "freshness"))
+    if reports is not None:
+        single = single.unionByName(one(volume_now(F.lit(listed), reports, limits.get("drop_ratio", 0.3)), "volume_vs_trailing"))
     values = ", ".join(f"('{n}', '{s}')" for n, s in CHECKS.items())
     checks = spark.sql(f"SELECT * FROM VALUES {values} AS checks(name, severity)")
-    joined = checks.join(counts.unionByName(rate).unionByName(stale), "name", "left")
+    joined = checks.join(counts.unionByName(single), "name", "left")
     n = F.coalesce("n", F.lit(0))
     return joined.select("name", "severity", n.alias("n_failed"), (n == 0).alias("passed"))
 
@@ -154,6 +168,6 @@ def batch_status(report: DataFrame) -> DataFrame:
     return report.agg(F.when(failed("error"), "failed").when(failed("warn"), "warn").otherwise("passed").alias("status"))
 
 
-def to_quarantine(rows: DataFrame, order: list[str]) -> DataFrame:
+def to_quarantine(rows: DataFrame, order: list[str], **limits) -> DataFrame:
     """The records that fail any check."""
-    return failed_records(rows, order).select("record_key").distinct()
+    return failed_records(rows, order, **limits).select("record_key").distinct()

@@ -13,6 +13,7 @@ def ensure_version(registry: DataFrame, row: DataFrame) -> DataFrame:
 
 def activate(registry: DataFrame, version: str, now: Column) -> DataFrame:
     """Exactly one version is active afterwards; an unknown name is an error when the rows are read."""
+    # one row: how often the name is known
     known = registry.agg(F.count_if(F.col("index_version") == version).alias("_known"))
     checked = registry.join(F.broadcast(known)).where(F.when(F.col("_known") == 0, F.raise_error(F.lit(f"unknown index version {version}")).cast("boolean")).otherwise(True)).drop("_known")
     chosen = F.col("index_version") == version

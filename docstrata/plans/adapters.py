@@ -133,14 +133,6 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 CHUNKS = RAW_CHUNKS + ", chunks AS (SELECT * FROM raw_chunks QUALIFY row_number() OVER (PARTITION BY chunk_config_version, chunk_id ORDER BY chunked_at DESC) = 1)"
 
 
-def ascii_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of ASCII characters only, for patterns whose word borders differ between engines."""
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
-ASCII = r"ascii_documents AS (SELECT * FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))"
-
-
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """conversations as chunks of documents: system turns are the chunks that are no text."""
     return table(spark, d, "conversations").select(

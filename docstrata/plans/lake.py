@@ -225,18 +225,24 @@ def val_volume_trailing(spark, d):
 
 
 def _batch(spark, d):
-    return manifest(spark, d).where("run_id = 'run-3'").withColumn("content", F.col("text"))
+    """Every record, as one batch."""
+    return manifest(spark, d).withColumn("content", F.col("text"))
 
 
 def _report(spark, d):
-    return quality.batch_report(_batch(spark, d), ["record_key"], F.lit("2026-04-10").cast("date"), fetch_errors=2)
+    """The batch after a report for each day of events."""
+    reports = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id")).agg((F.count("*") * 1000).alias("listed")).withColumn("validated_at", F.col("run_id"))
+    batch = _batch(spark, d)
+    return quality.batch_report(batch, ["record_key"], F.lit("2026-04-10").cast("date"), fetch_errors=2, reports=reports, listed=batch.count())
 
 
-REPORT = f"""{MANIFEST}, b AS (SELECT * FROM manifest WHERE run_id = 'run-3'),
+REPORT = f"""{MANIFEST}, b AS (SELECT * FROM manifest),
 sig AS (SELECT record_key FROM b WHERE extension = 'pdf' AND NOT starts_with(text, '%PDF-')), small AS (SELECT record_key FROM b WHERE NOT bytes BETWEEN 1024 AND 52428800), hint AS (SELECT record_key FROM b WHERE size_hint <> 0 AND size_hint <> bytes),
+days AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) * 1000 AS listed FROM events GROUP BY 1), last_days AS (SELECT listed FROM days ORDER BY run_id DESC LIMIT 10),
 report AS (SELECT *, n_failed = 0 AS passed FROM (VALUES ('required_fields_not_null', 'error', 0), ('unique_source_id', 'error', 0), ('object_hash_matches_manifest', 'error', 0),
 ('file_signature_matches_extension', 'warn', (SELECT count(*) FROM sig)), ('size_within_bounds', 'warn', (SELECT count(*) FROM small)), ('download_size_matches_source', 'warn', (SELECT count(*) FROM hint)),
-('fetch_error_rate', 'error', (SELECT CASE WHEN 2 > 0.2 * (count(*) + 2) THEN 1 ELSE 0 END FROM b)), ('freshness', 'warn', 0)) t(name, severity, n_failed))"""
+('fetch_error_rate', 'error', (SELECT CASE WHEN 2 > 0.2 * (count(*) + 2) THEN 1 ELSE 0 END FROM b)), ('freshness', 'warn', 0),
+('volume_vs_trailing', 'warn', (SELECT CASE WHEN count(*) < 3 OR (SELECT count(*) FROM b) >= 0.3 * avg(listed) THEN 0 ELSE 1 END FROM last_days))) t(name, severity, n_failed))"""
 
 
 @query(f"WITH {REPORT} SELECT * FROM report")

@@ -1,4 +1,4 @@
-"""The whole run over a lake: land, validate, gate, parse and route, chunk, gate, index, search.
+"""The whole run over a lake: land, validate, gate, parse and route, chunk, gate, index, search, answer, evaluate.
 
 Every step reads what is published and appends what is new, under deterministic keys: a step that ran
 before does nothing, and one that failed is run again. A batch that fails validation is not published.
@@ -6,27 +6,38 @@ before does nothing, and one that failed is run again. A batch that fails valida
 
 from __future__ import annotations
 
+import json
+import logging
+import signal
+import threading
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.config import settings
-from docstrata.functions.text import chunk_id, context_header, find_docket, index_version
-from docstrata.operators import marts, pages, quality, retrieval, silver
+from docstrata.functions.text import cache_key, chunk_id, context_header, find_docket, index_version
+from docstrata.operators import evaluation, marts, pages, quality, retrieval, silver
 from docstrata.operators.chunking import Chunking, chunk_pages
 from docstrata.sources import lake as lakes
+from docstrata.storage import materialize
 
+log = logging.getLogger(__name__)
+MODES = {"dense": None, "hybrid": "exact", "rerank": "rare"}
 EXTRA = {
     "bronze/objects": "object_uri string, content binary, run_id string",
-    "bronze/reports": "source string, status string, listed long, landed long, fetch_errors long, validated_at string, run_id string",
+    "bronze/reports": "source string, status string, listed long, landed long, fetch_errors long, validated_at string, checks_json string, run_id string",
     "bronze/failed": "record_key string, name string, run_id string",
     "staging/pages": "record_key string, page_no int, text string, tables array<string>, n_pages_total int, raw boolean, error string, run_id string",
-    "gold/chunks": "index_version string, chunk_id string, doc_id string, ordinal int, chunk_type string, page_start int, page_end int, text string, context string, source string, docket string, published_at string, embedding array<double>, run_id string",
+    "gold/chunks": "index_version string, chunk_id string, doc_id string, ordinal int, chunk_type string, page_start int, page_end int, section string, text string, context string, source string, source_id string, title string, docket string, published_at string, url string, embedding array<double>, run_id string",
+    "gold/embeddings": "model string, text_hash string, embedding array<double>, run_id string",
+    "gold/answers": "key string, created_at string, answer string, cited array<int>, run_id string",
     "gold/versions": "index_version string, chunk_config_version string, model string, created_at string, activated_at string, is_active boolean, n_chunks long, run_id string",
 }
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType())}
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType())}
 lakes.SCHEMAS |= {k: T.StructType([T.StructField(n, _KINDS[t]) for n, t in map(str.split, v.split(", "))]) for k, v in EXTRA.items()}
 lakes.PARTITIONS["gold/chunks"] = ["index_version", "run_id"]
 
@@ -43,19 +54,28 @@ class Pipeline:
         return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in lakes.SCHEMAS[table]))
 
     # bronze
-    def ingest(self, listed: DataFrame, run_id: str, now: str, fetch_errors: int = 0) -> dict:
-        """listed: record columns and ``content`` (binary). Returns the batch's status and counts."""
+    def ingest(self, listed: DataFrame, run_id: str, now: str, fetch_errors: int = 0, errors: DataFrame | None = None) -> dict:
+        """listed: record columns and ``content`` (binary); errors: source, source_id, url, error of what could not be fetched. Returns the batch's status and counts."""
         v = self.settings["validation"]
+        if errors is not None:
+            failed = errors.withColumn("error", F.substring("error", 1, 500)).withColumn("failed_at", F.lit(now)).withColumn("run_id", F.lit(run_id))
+            self.lake.append("bronze/fetch_errors", self._fit(failed, "bronze/fetch_errors"))
+            fetch_errors += errors.count()
         fresh = silver.new_listings(listed, self.lake.read("bronze/manifest"), ["source", "source_id"], ["registered_at"])
         landed = lakes.land(fresh, run_id, now[:10]).withColumn("fetched_at", F.lit(now)).withColumn("record_key", F.concat_ws(":", "source", "source_id")).cache()
         try:
-            report = quality.batch_report(landed, ["record_key"], F.lit(now[:10]).cast("date"), fetch_errors, v["stale_days"])
-            status = quality.batch_status(report).first()["status"]
-            counts = {"status": status, "listed": listed.count(), "landed": landed.count()}
-            row = self.lake.spark.createDataFrame([(None, status, counts["listed"], counts["landed"], fetch_errors, now, run_id)], lakes.SCHEMAS["bronze/reports"])
+            counts = {"listed": listed.count(), "landed": landed.count()}
+            before = self.lake.read("bronze/reports").where(F.col("run_id") != run_id)
+            limits = {k: v[k] for k in ("min_bytes", "max_bytes", "max_error_rate", "drop_ratio")}
+            report = quality.batch_report(landed, ["record_key"], F.lit(now[:10]).cast("date"), fetch_errors, v["stale_days"], before, counts["listed"], **limits)
+            checks = [r.asDict() for r in report.collect()]  # one row for each check
+            bad = {c["severity"] for c in checks if not c["passed"]}
+            status = "failed" if "error" in bad else "warn" if bad else "passed"
+            counts = {"status": status, **counts}
+            row = self.lake.spark.createDataFrame([(None, status, counts["listed"], counts["landed"], fetch_errors, now, json.dumps(checks), run_id)], lakes.SCHEMAS["bronze/reports"])
             self.lake.append("bronze/reports", row)
             if status != "failed":
-                self.lake.append("bronze/failed", quality.failed_records(landed, ["record_key"]).withColumn("run_id", F.lit(run_id)))
+                self.lake.append("bronze/failed", quality.failed_records(landed, ["record_key"], v["min_bytes"], v["max_bytes"]).withColumn("run_id", F.lit(run_id)))
                 self.lake.append("bronze/objects", self._fit(landed.where("duplicate_of IS NULL"), "bronze/objects"))
                 self.lake.append("bronze/manifest", self._fit(landed, "bronze/manifest"))
         finally:
@@ -79,9 +99,13 @@ class Pipeline:
         parsed = pages.parse_files(files.withColumn("key", F.col("record_key")), s["max_pages"])
         # parsing is the expensive part: its result is written once and read by all that follows
         lake.append("staging/pages", parsed.withColumnRenamed("key", "record_key").withColumn("run_id", F.lit(run_id)))
-        found = lake.read("staging/pages").where(F.col("run_id") == run_id)
+        found = pages.finished(lake.read("staging/pages").where(F.col("run_id") == run_id))
         text = found.groupBy("record_key").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("text"), F.count("page_no").cast("int").alias("n_pages"), F.max("error").alias("error")
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("text"),
+            F.count("page_no").cast("int").alias("n_pages"),
+            F.max("n_pages_total").alias("n_pages_total"),
+            F.sum(F.coalesce(F.size("tables"), F.lit(0))).cast("int").alias("n_tables"),
+            F.max("error").alias("error"),
         )
         rows = work.join(text, "record_key", "left")
         # a record that could not be parsed has no text; its reason is the parser's
@@ -90,7 +114,7 @@ class Pipeline:
         routed = routed.withColumn("reason", F.when(parse_failed & (F.col("stage") == "parse"), F.col("error")).otherwise(F.col("reason")))
         landing = F.coalesce(F.get_json_object("extra_json", "$.landing_url"), F.col("url"))
         docs = routed.where("status <> 'quarantined'").withColumn("docket", F.coalesce("docket", find_docket(F.substring("text", 1, 5000)))).withColumn("landing_url", landing)
-        docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_pages_total", F.col("n_pages")).withColumn("parser", F.col("extension")).withColumn("parsed_at", F.lit(now))
+        docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("parser", F.col("extension")).withColumn("parsed_at", F.lit(now))
         # pages go first and documents last: a run that stops between them is done again as a whole
         ok = docs.where("status = 'ok'").select("record_key", "doc_id")
         full = pages.with_headings(found.where("page_no IS NOT NULL").join(ok, "record_key"))
@@ -98,6 +122,7 @@ class Pipeline:
         lake.append("silver/pages", self._fit(stored, "silver/pages"))
         lake.append("silver/quarantine", self._fit(routed.where("status = 'quarantined'").withColumn("quarantined_at", F.lit(now)), "silver/quarantine"))
         lake.append("silver/documents", self._fit(docs, "silver/documents"))
+        lake.clear("staging/pages")
         made = self.rechunk(run_id, now)
         counts = {r["status"]: r["count"] for r in lake.read("silver/documents").where(F.col("run_id") == run_id).groupBy("status").count().collect()}
         quarantined = lake.read("silver/quarantine").where(F.col("run_id") == run_id).count()
@@ -121,8 +146,8 @@ class Pipeline:
         return lake.chunks_of(config.version).where(F.col("chunked_at") == now).count()
 
     # the SQL gate
-    def gate(self) -> None:
-        """Stops the run if a rule of the silver tables is broken."""
+    def gate(self) -> list[str]:
+        """Stops the run if a rule of the silver tables is broken; returns what is only worth a warning."""
         lake, g = self.lake, self.settings["gate"]
         docs, chunks = lake.read("silver/documents"), lake.chunks_of(self.chunking.version)
         rules = {
@@ -140,6 +165,8 @@ class Pipeline:
         broken = [name for name, rows in rules.items() if not rows.isEmpty()]
         if broken:
             raise GateError("; ".join(broken))
+        full = self.health().where(F.col("quarantine_rate") > g["max_quarantine_rate"]).select("run_id", "quarantine_rate").collect()  # a row for each run
+        return [f"{r['quarantine_rate']:.0%} of {r['run_id']} are in quarantine" for r in sorted(full)]
 
     def health(self) -> DataFrame:
         key = F.concat_ws(":", "source", "source_id").alias("record_key")
@@ -147,13 +174,22 @@ class Pipeline:
 
     # gold
     def gold(self, run_id: str, now: str, model: str = "hash-64", embed: Callable[[Column], Column] = retrieval.hash_embedding) -> int:
-        """Embed and index the chunks that the version lacks; then the version is active. Returns how many were new."""
+        """Embed and index the chunks that the version lacks; then the version is active. Returns how many were new.
+
+        Texts that the model has embedded before, for whatever version, are taken from the cache.
+        """
         lake = self.lake
         name = index_version(F.lit(self.chunking.version), F.lit(model))
         rows = lake.chunks_of(self.chunking.version).withColumn("index_version", name)
         have = lake.read("gold/chunks", "index_version", "chunk_id")
-        fresh = rows.join(have, ["index_version", "chunk_id"], "left_anti").withColumn("embedding", embed(F.concat_ws("\n", F.nullif("context", F.lit("")), "text"))).withColumn("run_id", F.lit(run_id))
-        lake.merge("gold/chunks", self._fit(fresh, "gold/chunks"), ["index_version", "chunk_id"])
+        read = F.concat_ws("\n", F.nullif("context", F.lit("")), "text")
+        fresh = rows.join(have, ["index_version", "chunk_id"], "left_anti").withColumn("embedded", read).withColumn("text_hash", F.sha2("embedded", 256))
+        missing = retrieval.cache_misses(fresh.select("text_hash", F.col("embedded").alias("text")), lake.read("gold/embeddings"), model)
+        new = missing.select(F.lit(model).alias("model"), "text_hash", embed(F.col("text")).alias("embedding"), F.lit(run_id).alias("run_id"))
+        lake.merge("gold/embeddings", self._fit(new, "gold/embeddings"), ["model", "text_hash"])
+        vectors = lake.read("gold/embeddings").where(F.col("model") == model).select("text_hash", "embedding")
+        indexed = fresh.join(vectors, "text_hash").withColumn("run_id", F.lit(run_id))
+        lake.merge("gold/chunks", self._fit(indexed, "gold/chunks"), ["index_version", "chunk_id"])
         version = self.lake.spark.range(1).select(name.alias("v")).first()["v"]
         n = lake.read("gold/chunks").where((F.col("index_version") == version) & (F.col("run_id") == run_id)).count()
         self.activate(version, now, model)
@@ -175,30 +211,168 @@ class Pipeline:
         rows = [tuple({**r, "is_active": v == version, "run_id": now}.get(f.name) for f in schema) for v, r in known.items()]
         self.lake.append("gold/versions", self.lake.spark.createDataFrame(rows, schema))
 
-    def search(self, questions: DataFrame, embed: Callable[[Column], Column] = retrieval.hash_embedding, **filters) -> DataFrame:
-        """questions: query_id, qtext. Hits of the active version: vectors and rare terms fused, with neighbours."""
+    def active(self) -> str:
+        found = self.versions().where("is_active").select("index_version").first()
+        if found is None:
+            raise ValueError("no index version is active")
+        return found["index_version"]
+
+    def search(self, questions: DataFrame, embed: Callable[[Column], Column] = retrieval.hash_embedding, mode: str = "rerank", score: Callable[[DataFrame], Column] = retrieval.overlap_score, **filters) -> DataFrame:
+        """questions: query_id, qtext. Hits of the active version with their neighbours.
+
+        ``dense`` ranks by vectors alone, ``hybrid`` fuses them with the codes of a question, ``rerank`` takes candidates from vectors and
+        rare terms and ranks them by ``score``.
+        """
+        if mode not in MODES:
+            raise ValueError(f"mode must be one of {sorted(MODES)}, not {mode!r}")
         s = self.settings["search"]
-        active = self.versions().where("is_active").select("index_version")
-        pool = self.lake.read("gold/chunks").join(F.broadcast(active), "index_version")
-        pool = retrieval.filtered(pool, **filters).withColumn("lexical", F.concat_ws(" ", "context", "text"))
-        dense = retrieval.dense_top(pool, questions.select("query_id", embed(F.col("qtext")).alias("qvec")), max(retrieval.CANDIDATES, s["k"]))
-        rare = retrieval.rare_terms(questions, retrieval.document_frequency(pool, "lexical"), pool.count())
-        lexical = retrieval.bm25_top(pool, rare.select("query_id", "term"), text="lexical")
-        hits = retrieval.materialize_hits(retrieval.fuse([dense, lexical], s["k"]), pool.drop("embedding", "lexical")).withColumn("ordinal", F.col("ordinal").cast("long"))
-        wide = lambda df: df.withColumn("page_start", F.col("page_start").cast("long")).withColumn("page_end", F.col("page_end").cast("long")).withColumn("ordinal", F.col("ordinal").cast("long"))
+        index = self.lake.read("gold/chunks").where(F.col("index_version") == self.active())
+        pool = retrieval.filtered(index, **filters).withColumn("lexical", F.concat_ws(" ", "context", "text"))
+        asked = questions.withColumn("qvec", embed(F.col("qtext")))
+        # what is rare is a matter of all chunks of the version, filtered or not
+        n = index.count() if MODES[mode] == "rare" else None
+        found = retrieval.search(pool.select("chunk_id", "lexical", "embedding"), asked, s["candidates"] if mode == "rerank" else s["k"], MODES[mode], n)
+        hits = retrieval.materialize_hits(found, pool.drop("embedding", "lexical"))
+        if mode == "rerank":
+            # as for any hit, the score shown is the last one
+            hits = retrieval.rerank(hits.join(questions, "query_id"), score, s["k"]).drop("score", "qtext", "first_rank").withColumnRenamed("rescored", "score")
+        # read for the hits and for their places
+        hits = materialize(hits, "hits")
+        wide = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("page_start", "page_end", "ordinal")})
         places = wide(hits).dropDuplicates(["doc_id", "ordinal"]).drop("query_id", "rank", "score")
         expanded = retrieval.expand(places, wide(pool.drop("embedding", "lexical")), s["window"])
         return hits.select("query_id", "rank", "score", "chunk_id").join(expanded, "chunk_id").join(questions, "query_id")
 
-    def answer(self, questions: DataFrame, **filters) -> DataFrame:
-        found = self.search(questions, **filters)
-        return retrieval.extractive_answer(found.select("query_id", "qtext", F.col("rank").alias("n"), "context_text"))
+    def answer(self, questions: DataFrame, now: str | None = None, mode: str = "rerank", generate: Callable[[DataFrame], DataFrame] | None = None, model: str = "extractive", use_cache: bool = True, **filters) -> DataFrame:
+        """query_id, answer, cited, cache (hit or miss).
+
+        ``generate`` makes query_id, answer, cited and, if it may fall back on something poorer, degraded, from query_id, qtext, n, context_text; without it
+        the answer is extracted. Answers are kept for a time under a key of the question and all that can change them; degraded
+        ones are not kept.
+        """
+        now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        s = self.settings["search"]
+        scope = {"v": self.active(), "m": model, "k": str(s["k"]), "f": json.dumps({k: v for k, v in filters.items() if v}, sort_keys=True), "r": mode, "x": str(s["window"]), "c": str(s["candidates"])}
+        keyed = questions.withColumn("key", cache_key(F.col("qtext"), **{k: F.lit(v) for k, v in scope.items()}))
+        age = F.unix_timestamp(F.lit(now), "yyyy-MM-dd'T'HH:mm:ss'Z'") - F.unix_timestamp("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        valid = self.lake.read("gold/answers").where(age.between(0, self.settings["answers"]["ttl_seconds"]))
+        known = valid.groupBy("key").agg(F.max_by(F.struct("answer", "cited"), "created_at").alias("a"))
+        hits = keyed.join(known, "key").select("query_id", "a.answer", "a.cited", F.lit("hit").alias("cache"))
+        missing = materialize(keyed.join(known, "key", "left_anti") if use_cache else keyed, "asked")
+        if missing.isEmpty():
+            return hits
+        found = self.search(missing.drop("key"), mode=mode, **filters).select("query_id", "qtext", F.col("rank").alias("n"), "context_text")
+        made = (generate or retrieval.extractive_answer)(found)
+        made = materialize(made if "degraded" in made.columns else made.withColumn("degraded", F.lit(False)), "answers")
+        if use_cache:
+            kept = made.where("NOT degraded").join(missing.select("query_id", "key"), "query_id").dropDuplicates(["key"])
+            rows = kept.withColumn("created_at", F.lit(now)).withColumn("run_id", F.lit(now))
+            self.lake.merge("gold/answers", self._fit(rows, "gold/answers"), ["key", "created_at"])
+        fresh = made.select("query_id", "answer", "cited", F.lit("miss").alias("cache"))
+        return hits.unionByName(fresh) if use_cache else fresh
+
+    # views for whoever runs the lake
+    def status(self) -> dict:
+        """Counts of each table, the active version, high-water marks and the last report."""
+        docs = {r["status"]: r["count"] for r in self.lake.read("silver/documents", "status").groupBy("status").count().collect()}
+        known = self.versions().where("is_active").select("index_version").first()
+        return {
+            "active_index": known and known["index_version"],
+            "chunk_config_version": self.chunking.version,
+            "bronze_records": self.lake.read("bronze/manifest", "source_id").count(),
+            "documents_ok": docs.get("ok", 0),
+            "duplicates": docs.get("duplicate", 0),
+            "quarantined": self.lake.read("silver/quarantine", "record_key").count(),
+            "chunks": self.lake.chunks_of(self.chunking.version).select("chunk_id").distinct().count(),
+            "watermarks": {r["source"]: r["high_water"] for r in self.watermark().collect()},
+            "latest_validation": next((r.asDict() for r in lakes.latest_report(self.lake.read("bronze/reports")).collect() if r["run_id"]), None),
+        }
+
+    def quarantine(self) -> DataFrame:
+        """Records in quarantine with their titles, the newest first."""
+        named = self.lake.read("bronze/manifest", "source", "source_id", "title", "url")
+        rows = self.lake.read("silver/quarantine").join(named, ["source", "source_id"], "left")
+        return rows.select("source_id", "stage", "reason", "quarantined_at", "title", "url").orderBy(F.desc("quarantined_at"), "source_id")
+
+    def documents(self, contains: str = "", most: int = 100) -> DataFrame:
+        return marts.document_search(self.lake.read("silver/documents"), contains, most)
 
-    def run(self, listed: DataFrame, run_id: str, now: str) -> dict:
-        """All steps; a failed batch or a broken rule stops before the index is touched."""
-        bronze = self.ingest(listed, run_id, now)
+    def evaluate(self, golden: DataFrame, mode: str = "rerank", name: str = "dev", now: str | None = None) -> dict:
+        """golden: id, question, expected_source_ids, answer_contains. The report is written as JSON and as Markdown below eval/.
+
+        All questions are searched and answered as one batch after a first one that warms up; a question's time is its share of the batch's.
+        """
+        asked = golden.select(F.xxhash64("id").alias("query_id"), "id", F.col("question").alias("qtext"))
+        queries = asked.select("query_id", "qtext")
+        self.search(queries.limit(1), mode=mode).count()
+        n, begin = max(1, queries.count()), time.monotonic()
+        found = materialize(self.search(queries, mode=mode), "eval-hits")
+        searched = time.monotonic()
+        answers = materialize(retrieval.extractive_answer(found.select("query_id", "qtext", F.col("rank").alias("n"), "context_text")), "eval-answers")
+        told = time.monotonic()
+        results = found.join(asked.select("query_id", "id"), "query_id").select(F.col("id").alias("question_id"), "rank", "source_id", F.col("context_text").alias("context"))
+        expected = golden.select(F.col("id").alias("question_id"), F.explode("expected_source_ids").alias("source_id"))
+        needles = golden.select(F.col("id").alias("question_id"), F.explode("answer_contains").alias("needle"))
+        first, evidence = evaluation.first_ranks(results, expected), evaluation.needle_ranks(results, needles)
+        said = answers.join(asked, "query_id").select(F.col("id").alias("question_id"), F.lit(1).alias("rank"), F.col("answer").alias("context"), "cited")
+        right = evaluation.needle_ranks(said, needles).select("question_id", F.col("answer_rank").isNotNull().alias("answer_right"))
+        cited = said.select("question_id", F.explode("cited").alias("rank")).join(results, ["question_id", "rank"]).join(expected, ["question_id", "source_id"], "left_semi").select("question_id").distinct().withColumn("cited_expected", F.lit(True))
+        rows = golden.select(F.col("id").alias("question_id"), "question").join(first, "question_id", "left").join(evidence, "question_id", "left").join(right, "question_id", "left").join(cited, "question_id", "left")
+        none = F.lit(None).cast("long")
+        rows = rows.withColumns({"cited_expected": F.coalesce("cited_expected", F.lit(False)), "retrieval_ms": F.lit((searched - begin) * 1000 / n), "total_ms": F.lit((told - begin) * 1000 / n), "error": F.lit(None).cast("string"), "read_tokens": none, "written_tokens": none, "input_tokens": none})
+        rows = materialize(rows, "eval-rows")
+        summary = {"set": name, "mode": mode, "index_version": self.active(), **evaluation.report(rows, self.settings["search"]["k"]).first().asDict()}
+        lines = [r.asDict() for r in rows.orderBy("question_id").collect()]  # a golden set is written by hand
+        stamp = (now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).replace(":", "").replace("-", "")
+        self.lake.write_text(json.dumps({"summary": summary, "rows": lines}, indent=2, default=str), f"eval/{stamp}_{mode}_{name}.json")
+        self.lake.write_text(evaluation.to_markdown(summary, lines, f"{mode} on {name}"), f"eval/latest_{mode}_{name}.md")
+        return summary
+
+    def run(self, listed: DataFrame, run_id: str, now: str, checked: bool = True, retries: int = 2) -> dict:
+        """All steps, each after the ones that it needs; a failed batch or a broken rule stops before the index is touched. A step that fails otherwise is tried again."""
+        bronze = attempt(lambda: self.ingest(listed, run_id, now), retries)
         if bronze["status"] == "failed":
             raise GateError("the batch failed validation")
-        made = self.silver(run_id, now)
-        self.gate()
-        return {"bronze": bronze, "silver": made, "indexed": self.gold(run_id, now)}
+        made = attempt(lambda: self.silver(run_id, now), retries)
+        warnings = self.gate() if checked else []
+        return {"bronze": bronze, "silver": made, "warnings": warnings, "indexed": attempt(lambda: self.gold(run_id, now), retries)}
+
+    def watch(self, poll: Callable[[], DataFrame | None], every: float = 900.0, once: bool = False, stop: threading.Event | None = None) -> int:
+        """Take in what ``poll`` lists, again and again, until SIGTERM or ``stop``; returns the number of polls.
+
+        A poll that fails is left to the next one: every step may be done again. The rules of the silver tables are left to the daily run.
+        """
+        stop = stop or threading.Event()
+        if threading.current_thread() is threading.main_thread():
+            signal.signal(signal.SIGTERM, lambda *_: stop.set())
+        polls = 0
+        while not stop.is_set():
+            begin, polls = time.monotonic(), polls + 1
+            now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            try:
+                listed = poll()
+                if listed is not None:
+                    made = self.run(listed, f"watch-{now}-{polls}", now, checked=False, retries=0)
+                    log.info("%d new records", made["bronze"]["landed"])
+            except Exception:
+                log.exception("the poll failed; the next one tries again")
+            if once:
+                break
+            stop.wait(max(MIN_WAIT, every - (time.monotonic() - begin)))
+        return polls
+
+
+MIN_WAIT = 5.0
+
+
+def attempt(step: Callable[[], dict | int], retries: int):
+    """Run a step, and again if it fails for another reason than a gate."""
+    for left in range(retries, -1, -1):
+        try:
+            return step()
+        except GateError:
+            raise
+        except Exception:
+            if not left:
+                raise
+            log.exception("a step failed; %d tries left", left)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 from docstrata.operators import evaluation, retrieval
-from docstrata.plans.adapters import ASCII, MANIFEST, TURNS, ascii_documents, manifest, query, table, turns
+from docstrata.plans.adapters import MANIFEST, TURNS, manifest, query, table, turns
+from docstrata.storage import materialize
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
@@ -15,9 +16,21 @@ def sql_terms(text: str) -> str:
     return f"list_filter(regexp_extract_all(lower({text}), '{T.TERM}'), lambda x: NOT list_contains({STOP}, x))"
 
 
-@query("WITH " + ASCII + r" SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '­', '', 'g'), '([\w])-\n([\w])', '\1\2', 'g'), '[ \t ]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS clean FROM ascii_documents")
+# Word characters and white space of any script, as the engines' own classes differ beyond ASCII.
+WORD, SPACE = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\v\x{85}\p{Z}"
+
+
+def sql_squeeze(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '[{SPACE}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def sql_normalized(text: str) -> str:
+    return sql_squeeze(f"regexp_replace(lower({text}), '[^{WORD}{SPACE}.-]', '', 'g')")
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '([{WORD}])-\n([{WORD}])', '\1\2', 'g'), '[ \t' || chr(160) || ']+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS clean FROM documents")
 def clean_text(spark, d):
-    return ascii_documents(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 @query()
@@ -26,15 +39,16 @@ def clean_text_all(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query(f"WITH {MANIFEST} SELECT record_key, nullif(regexp_extract(title, 'EB-[0-9]{{4}}-[0-9]{{4}}'), '') AS in_title, coalesce(nullif(regexp_extract(substr(text, 1, 5000), 'EB-[0-9]{{4}}-[0-9]{{4}}'), ''), '12345') AS in_text FROM manifest")
+@query(f"WITH {MANIFEST} SELECT record_key, nullif(regexp_extract(title, 'EB-[0-9]{{4}}-[0-9]{{4}}'), '') AS in_title, coalesce(nullif(regexp_extract(text, 'EB-[0-9]{{4}}-[0-9]{{4}}'), ''), '12345') AS in_text FROM manifest")
 def find_docket(spark, d):
+    """The first case number of a title, and of a whole text (else of a sentence that has one)."""
     rows = manifest(spark, d)
-    return rows.select("record_key", T.find_docket(F.col("title")).alias("in_title"), T.find_docket(F.substring("text", 1, 5000), F.lit("see proceeding ID 12345 now")).alias("in_text"))
+    return rows.select("record_key", T.find_docket(F.col("title")).alias("in_title"), T.find_docket(F.col("text"), F.lit("see proceeding ID 12345 now")).alias("in_text"))
 
 
-@query(r"WITH " + ASCII + r" SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[^a-z0-9_\s.-]', '', 'g'), '\s+', ' ', 'g')) AS q FROM ascii_documents")
+@query(f"SELECT doc_id, {sql_normalized('text')} AS q FROM documents")
 def normalize_question(spark, d):
-    return ascii_documents(spark, d).select("doc_id", T.normalize_question(F.substring("text", 1, 300)).alias("q"))
+    return table(spark, d, "documents").select("doc_id", T.normalize_question(F.col("text")).alias("q"))
 
 
 @query()
@@ -70,9 +84,9 @@ def citation_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.citations(answer, F.lit(4)), ",").alias("cited"))
 
 
-@query("SELECT count(DISTINCT (lower(regexp_replace(trim(text), '[^A-Za-z0-9_\\s.-]', '', 'g')), conv_id % 2)) AS keys FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]|\\s\\s')")
+@query(f"SELECT count(DISTINCT ({sql_normalized(chr(39) + ' ' + chr(39) + ' || upper(text) || ' + chr(39) + '?' + chr(39))}, conv_id % 2)) AS keys FROM conversations")
 def cache_key(spark, d):
-    return _distinct_keys(table(spark, d, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]|\s\s")))
+    return _distinct_keys(table(spark, d, "conversations"))
 
 
 @query()
@@ -122,9 +136,16 @@ def rare_terms(spark, d):
     return retrieval.rare_terms(_questions(spark, d), retrieval.document_frequency(docs), docs.count())
 
 
-@query("WITH " + ASCII + ", m AS (SELECT doc_id, regexp_extract_all(text, '" + T.EXACT_TERM + "') AS found FROM ascii_documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(found, lambda x: upper(x) NOT IN ('OEB', 'THE')), lambda x: lower(trim(x, '.,'))), lambda x: x <> ''))), ' ') AS terms FROM m")
+def sql_exact_terms(text: str) -> str:
+    """Letters beyond ASCII count as word characters, and in no term of the given texts: as an underscore they end words as they do there."""
+    plain = f"regexp_replace({text}, '[^\\x00-\\x7F]', '_', 'g')"
+    found = f"list_filter(regexp_extract_all({plain}, '{T.EXACT_TERM}'), lambda x: upper(x) NOT IN ('OEB', 'THE'))"
+    return f"list_sort(list_distinct(list_filter(list_transform({found}, lambda x: lower(trim(x, '.,'))), lambda x: x <> '')))"
+
+
+@query(f"SELECT doc_id, array_to_string({sql_exact_terms('text')}, ' ') AS terms FROM documents")
 def exact_terms(spark, d):
-    return ascii_documents(spark, d).select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
 
 
 @query()
@@ -142,8 +163,7 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 def _lexical(spark, d, n=50):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    asked = _questions(spark, d).select("query_id", F.explode(F.array_distinct(T.terms(F.col("qtext")))).alias("term"))
-    return retrieval.bm25_top(docs, asked, n)
+    return retrieval.bm25_top(docs, retrieval.question_terms(_questions(spark, d)), n)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10")
@@ -184,22 +204,79 @@ def rrf_fuse(spark, d):
     return retrieval.fuse([first, second], 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-HYBRID = f"""{BM25}, hash_terms AS (SELECT item_id AS query_id, {sql_terms('text')} AS terms FROM benchmark),
-picked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM (SELECT DISTINCT query_id, chunk_id FROM lexical WHERE chunk_id % 2 = 0) QUALIFY rank <= 50),
-f AS (SELECT query_id, chunk_id, p.rank AS ra, l.rank AS rb, round(coalesce(1.0::DOUBLE / (60 + p.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0), 9) AS score FROM picked p FULL JOIN lexical l USING (query_id, chunk_id)),
-hybrid AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM f QUALIFY rank <= 6)"""
+# Search as the index has it: a chunk's text has its title before it, and a question may name a case.
+def _pool(spark, d):
+    rows = manifest(spark, d).select(F.col("doc_id").cast("long").alias("chunk_id"), "text", F.col("title").alias("context"), F.col("record_type").alias("lang"), "published_at")
+    return rows.withColumn("lexical", F.concat_ws(" ", "context", "text"))
+
+
+def _asked(spark, d):
+    case = F.concat(F.lit(" in EB-2025-"), F.lpad((F.col("query_id") % 50).cast("string"), 4, "0"))
+    rows = _questions(spark, d).withColumn("qtext", F.when(F.col("query_id") % 4 > 0, F.concat("qtext", case)).otherwise(F.col("qtext")))
+    return rows.withColumn("qvec", retrieval.hash_embedding(F.col("qtext")))
+
+
+def _search(spark, d, mode, k=6, **filters):
+    pool = _pool(spark, d)
+    part = retrieval.filtered(pool, **filters)
+    vectors = part.select("chunk_id", "lexical", retrieval.hash_embedding(F.col("text")).alias("embedding"))
+    return retrieval.search(vectors, _asked(spark, d), k, mode, pool.count() if mode == "rare" else None)
 
 
-def _hybrid(spark, d, k=6):
-    lexical = _lexical(spark, d)
-    other = retrieval.top(lexical.where("chunk_id % 2 = 0").select("query_id", "chunk_id").distinct(), 50, F.asc("chunk_id"))
-    return retrieval.fuse([other, lexical], k)
+def sql_vector(text: str) -> str:
+    places = f"list_transform({sql_terms(text)}, lambda t: ('0x' || substr(md5(t), 1, 2))::INT % 64)"
+    counts = f"list_transform([{places}], lambda of: list_transform(range(64), lambda i: len(list_filter(of, lambda x: x = i))::DOUBLE))[1]"
+    return f"list_transform([{counts}], lambda v: list_transform(v, lambda x: CASE WHEN list_inner_product(v, v) > 0 THEN x / sqrt(list_inner_product(v, v)) ELSE 0 END))[1]"
 
 
-@query(f"WITH {HYBRID} SELECT h.query_id, h.chunk_id, h.score, h.rank, d.lang FROM hybrid h JOIN documents d ON d.doc_id = h.chunk_id")
+def sql_search(mode: str | None, k: int, where: str = "true") -> str:
+    """The tables of a search; the last one is ``found``."""
+    asked = f"unnest(list_distinct({sql_terms('qtext')}))" if mode != "exact" else f"unnest(list_distinct(flatten(list_transform({sql_exact_terms('qtext')}, lambda t: {sql_terms('t')}))))"
+    limit = "WHERE df <= greatest(25, floor((SELECT count(*) FROM documents) * 0.005))" if mode == "rare" else ""
+    second = "lexical" if mode else "(SELECT * FROM lexical WHERE false)"
+    return f"""{MANIFEST}, pool AS (SELECT doc_id::BIGINT AS chunk_id, text, title AS context, record_type AS lang, published_at FROM manifest WHERE {where}),
+qs AS (SELECT item_id AS query_id, text || CASE WHEN item_id % 4 > 0 THEN ' in EB-2025-' || lpad((item_id % 50)::VARCHAR, 4, '0') ELSE '' END AS qtext FROM benchmark),
+words AS (SELECT chunk_id, {sql_terms("context || ' ' || text")} AS terms FROM pool), stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM words),
+tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS dl, unnest(terms) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+asked AS (SELECT a.query_id, a.term, f.df FROM (SELECT query_id, {asked} AS term FROM qs) a JOIN df f USING (term) {limit}),
+scores AS (SELECT a.query_id, t.chunk_id, round(sum(ln(1 + (s.n - a.df + 0.5) / (a.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))), 6) AS score FROM asked a JOIN tf t USING (term), stats s GROUP BY ALL),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM scores WHERE score > 0 QUALIFY rank <= 50),
+vectors AS (SELECT chunk_id, {sql_vector('text')} AS v FROM pool), qvectors AS (SELECT query_id, {sql_vector('qtext')} AS q FROM qs),
+sims AS (SELECT query_id, chunk_id, round(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)) + 1e-9), 6) AS score FROM vectors, qvectors),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= 50),
+fused AS (SELECT query_id, chunk_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM dense a FULL JOIN {second} b USING (query_id, chunk_id)),
+found AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST) AS rank FROM fused QUALIFY rank <= {k})"""
+
+
+def _shown(hits, spark, d):
+    rows = _pool(spark, d).select("chunk_id", "lang")
+    return retrieval.materialize_hits(hits.withColumn("rank", F.col("rank").cast("long")), rows).select("query_id", "chunk_id", "score", "rank", "lang")
+
+
+SHOWN = "SELECT f.query_id, f.chunk_id, f.score, f.rank, p.lang FROM found f JOIN pool p USING (chunk_id)"
+
+
+@query(f"WITH {sql_search('exact', 6)} {SHOWN}")
 def hybrid_topk(spark, d):
-    hits = _hybrid(spark, d).withColumn("rank", F.col("rank").cast("long"))
-    return retrieval.materialize_hits(hits, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")).select("query_id", "chunk_id", "score", "rank", "lang")
+    """Vectors of whole texts and the codes of a question, fused."""
+    return _shown(_search(spark, d, "exact"), spark, d)
+
+
+@query(f"WITH {sql_search('rare', 6)} {SHOWN}")
+def hybrid_rare_topk(spark, d):
+    """Vectors of whole texts and the rare terms of a question, fused."""
+    return _shown(_search(spark, d, "rare"), spark, d)
+
+
+@query(f"""WITH {sql_search("rare", 6).replace("WHERE true)", f"WHERE record_type = 'en' AND published_at >= '2026-01-20')")} {SHOWN}""")
+def hybrid_rare_filtered(spark, d):
+    """The same over part of the chunks: frequencies are those of the part, the threshold is that of all chunks."""
+    return _shown(_search(spark, d, "rare", lang="en", date_from="2026-01-20", date_to=None), spark, d)
+
+
+@query(f"WITH {sql_search(None, 6)} {SHOWN}")
+def dense_mode_topk(spark, d):
+    return _shown(_search(spark, d, None), spark, d)
 
 
 HITS = f"{TURNS}, hits AS (SELECT * FROM turns WHERE ordinal = 2 OR (ordinal = 3 AND doc_id % 4 = 0))"
@@ -234,18 +311,20 @@ def embed_cache_probe(spark, d):
     return retrieval.cache_misses(docs, cache, "small").select("text_hash")
 
 
-@query()
+@query(f"SELECT item_id AS query_id, array_to_string(list_transform({sql_vector('text')}, lambda x: (x * 1000000)::BIGINT), ',') AS vector FROM benchmark")
 def hash_embedding(spark, d):
-    """A stand-in embedder's vectors of the questions, rounded."""
-    return _questions(spark, d).select("query_id", F.transform(retrieval.hash_embedding(F.col("qtext")), lambda x: F.round(x, 6)).alias("vector"))
+    """A stand-in embedder's vectors of the questions, in millionths."""
+    return _questions(spark, d).select("query_id", F.array_join(F.transform(retrieval.hash_embedding(F.col("qtext")), lambda x: F.bround(x * 1_000_000).cast("long")), ",").alias("vector"))
 
 
 def _reranked(spark, d):
-    hits = _hybrid(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("context")), "chunk_id").join(_questions(spark, d), "query_id")
+    """The question's rare terms and vectors give candidates; another score chooses among them."""
+    pool = _pool(spark, d).drop("lexical", "lang")
+    hits = _search(spark, d, "rare", 20).join(pool, "chunk_id").join(_asked(spark, d).drop("qvec"), "query_id")
     return retrieval.rerank(hits, retrieval.overlap_score, 6)
 
 
-RERANK = HYBRID.replace("QUALIFY rank <= 6)", "QUALIFY rank <= 20)") + f""", pairs AS (SELECT h.*, list_distinct({sql_terms('b.text')}) AS q, {sql_terms("d.lang || chr(10) || d.text")} AS t, d.text, b.text AS qtext FROM hybrid h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id),
+RERANK = sql_search("rare", 20) + f""", pairs AS (SELECT h.*, list_distinct({sql_terms('b.qtext')}) AS q, {sql_terms("d.context || chr(10) || d.text")} AS t, d.text, b.qtext FROM found h JOIN pool d USING (chunk_id) JOIN qs b USING (query_id)),
 reranked AS (SELECT query_id, chunk_id, score, text, qtext, round(len(list_intersect(q, t)) / greatest(len(q), 1)::DOUBLE, 6) AS rescored, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(q, t)) / greatest(len(q), 1)::DOUBLE, 6) DESC, rank) AS n FROM pairs QUALIFY n <= 6)"""
 
 
@@ -254,15 +333,24 @@ def rerank_topk(spark, d):
     return _reranked(spark, d).select("query_id", "chunk_id", "rescored", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+ANSWER = rf"""{RERANK}, cut AS (SELECT query_id, qtext, n, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM (SELECT *,
+  string_split(regexp_replace(regexp_replace(text, '([.;:])[{SPACE}]+', '\1' || chr(1), 'g'), '\n([A-Z0-9(])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM reranked WHERE n <= 4)),
+tidy AS (SELECT query_id, qtext, n, place, {sql_squeeze('part')} AS s FROM cut),
+scored AS (SELECT query_id, n, place, s, round(len(list_intersect(list_distinct({sql_terms('qtext')}), {sql_terms('s')})) / (1 + 0.1::DOUBLE * n), 9) AS score FROM tidy WHERE length(s) >= 25),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, place) AS r FROM scored WHERE score > 0 QUALIFY r <= 3),
+told AS (SELECT query_id, '(Extractive answer - no LLM configured.) ' || string_agg(s || ' [' || n || ']', ' ' ORDER BY r) AS answer, list_sort(list_distinct(list(n::INT))) AS cited FROM best GROUP BY 1)"""
+
+
+@query(f"WITH {ANSWER} SELECT q.query_id, coalesce(t.answer, 'The retrieved filings do not appear to answer this question.') AS answer, coalesce(array_to_string(t.cited, ','), '') AS cited FROM (SELECT DISTINCT query_id FROM reranked) q LEFT JOIN told t USING (query_id)")
 def extractive_answer(spark, d):
-    docs = _reranked(spark, d).select("query_id", "qtext", F.col("rank").alias("n"), F.col("text").alias("context_text"))
-    return retrieval.extractive_answer(docs)
+    # read twice, for sentences and for questions without any
+    docs = materialize(_reranked(spark, d).select("query_id", "qtext", F.col("rank").alias("n"), F.col("text").alias("context_text")), "hits")
+    return retrieval.extractive_answer(docs).withColumn("cited", F.array_join("cited", ","))
 
 
 @query(f"WITH {RERANK} SELECT query_id, chunk_id, n, substr(text, 1, 300) AS snippet, strftime(DATE '2026-01-01' + (chunk_id % 90)::INTEGER, '%Y-%m-%d') AS date, round(score, 5) AS score FROM reranked")
 def source_citations(spark, d):
-    hits = _reranked(spark, d).withColumn("published_at", F.concat(F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("chunk_id") % 90).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    hits = _reranked(spark, d).withColumn("published_at", F.concat("published_at", F.lit("T00:00:00Z")))
     return retrieval.source_rows(hits).withColumn("n", F.col("n").cast("long"))
 
 
@@ -272,15 +360,24 @@ FIRST = f"{BM25}, {EXPECTED}, hit AS (SELECT e.question_id, min(l.rank) AS first
 
 
 def _expected(spark, d):
-    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text")
-    # a document can only hold an item if it has all its terms: candidates by the rarest term, then the exact test
-    terms = items.select("item_id", F.col("text").alias("needle"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    counted = terms.join(retrieval.document_frequency(docs), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = counted.groupBy("item_id", "needle").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    # the text stays out of the exploded rows and joins only the candidates
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(rarest, "term").select("item_id", "needle", "doc_id")
-    found = pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle")))
-    return found.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("source_id"))
+    """Documents that hold an item: candidates by its rarest inner term, then the exact test; an item without inner terms meets every document.
+
+    The first and the last term of an item may be parts of longer words of a document, an inner one stands there as it is.
+    """
+    items, docs = table(spark, d, "benchmark").where("text IS NOT NULL"), table(spark, d, "documents").select("doc_id", "text")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(T.TERM), F.lit(0))
+    inner = F.filter(F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0))), lambda t: ~t.isin(T.STOP_WORDS))
+    needles = items.select("item_id", F.col("text").alias("needle"), F.array_distinct(inner).alias("terms"))
+    held = materialize(docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(needles.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi"), "item-terms")
+    counted = needles.select("item_id", F.explode("terms").alias("term")).join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = counted.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    # texts stay out of the exploded rows and join only the candidates
+    pairs = held.join(rarest, "term").select("item_id", "doc_id").join(needles.select("item_id", "needle"), "item_id")
+    some = pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
+    # a stated set of items against all documents, one test for each; only the few short ones come here
+    bare = needles.where(F.size("terms") == 0).select("item_id", "needle")
+    every = docs.join(bare, F.contains(docs["text"], bare["needle"])).select("item_id", "doc_id")
+    return some.unionByName(every).select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("source_id"))
 
 
 def _firsts(spark, d):

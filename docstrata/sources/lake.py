@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from docstrata.storage import drop, exists, write_text
 
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
@@ -43,10 +44,9 @@ class Lake:
     def read(self, table: str, *columns: str, schema: T.StructType | None = None) -> DataFrame:
         """A table by name; one that was never written is empty with its schema."""
         schema = schema or SCHEMAS[table]
-        try:
-            df = self.spark.read.schema(schema).parquet(self.path(table))
-        except AnalysisException:
-            df = self.spark.createDataFrame([], schema)
+        # only a folder that is not there is an empty table; a broken one is an error
+        found = exists(self.spark, self.path(table))
+        df = self.spark.read.schema(schema).parquet(self.path(table)) if found else self.spark.createDataFrame([], schema)
         return df.select(*columns) if columns else df.select(*schema.names)
 
     def append(self, table: str, rows: DataFrame) -> None:
@@ -62,6 +62,10 @@ class Lake:
         schema, parts = SCHEMAS[table], PARTITIONS.get(table, ["run_id"])
         fresh.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(table))
 
+    def clear(self, table: str) -> None:
+        """Delete a staging table whose rows have been read."""
+        drop(self.spark, self.path(table))
+
     def chunks_of(self, version: str) -> DataFrame:
         """One chunk version: only its folder is read."""
         return self.read("silver/chunks").where(F.col("chunk_config_version") == version)
@@ -70,6 +74,10 @@ class Lake:
         """A validation or evaluation report (a few rows) as one JSON file."""
         report.coalesce(1).write.mode("overwrite").json(self.path(name))
 
+    def write_text(self, text: str, name: str) -> None:
+        """A small file, on whatever file system the lake is."""
+        write_text(self.spark, self.path(name), text)
+
     def reports(self, folder: str, schema: T.StructType | str) -> DataFrame:
         """All reports below a folder, with their path."""
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(self.path(folder)).withColumn("path", F.input_file_name())

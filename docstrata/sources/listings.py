@@ -5,10 +5,12 @@ There is no network here: responses are JSON files or rows. ``ListingSource`` ma
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
+import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -84,21 +86,44 @@ def decode_feed(raw: DataFrame, archive_url: str, since: str, until: str, forms:
     )
 
 
+def stored_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Stored search responses, a JSON file each, on any file system that Spark reads: path and hit (JSON), a row for each hit.
+
+    A response that holds an error code stops the read.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    code = F.get_json_object("body", "$.ErrorCode")
+    failed = F.raise_error(F.concat("path", F.lit(": "), code)).cast("string")
+    hits = F.when(code.isNotNull(), failed).when(F.startswith(F.ltrim("body"), F.lit("[")), F.col("body")).otherwise(F.get_json_object("body", "$.Results"))
+    return files.select("path", F.explode(F.from_json(hits, "array<string>")).alias("hit"))
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
 
 
 class _ListingReader(DataSourceReader):
+    """A data source's reader runs outside of Spark, so that files are reached by Arrow's file systems, by scheme."""
+
     def __init__(self, pattern: str) -> None:
         self.pattern = pattern
 
+    def _place(self, path: str):
+        return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
     def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(self.pattern))]
+        system, pattern = self._place(self.pattern)
+        if not any(c in pattern for c in "*?["):
+            return [_File(self.pattern)]
+        found = system.get_file_info(fs.FileSelector(os.path.dirname(pattern)))
+        scheme = self.pattern.split("://")[0] + "://" if "://" in self.pattern else ""
+        return [_File(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.path, pattern)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as f:
-            body = json.load(f)
+        system, path = self._place(partition.path)
+        with system.open_input_stream(path) as f:
+            body = json.loads(f.read())
         if isinstance(body, dict) and body.get("ErrorCode"):
             raise ValueError(f"{partition.path}: {body['ErrorCode']}")
         for hit in body.get("Results", []) if isinstance(body, dict) else body:

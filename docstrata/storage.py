@@ -42,6 +42,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written over."""
+    target, files = _path(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is; one that is gone is no error."""
     _written.pop(path, None)
