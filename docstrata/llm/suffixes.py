@@ -54,35 +54,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = _mixed((np.arange(256, dtype=U) + U(1)) * _MIX[0])
-
-
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each ``width``-byte string of data, by doubling over the bits of width."""
-    if len(data) < width:
+    """A 64-bit hash of each ``width``-byte string of data, taken in words of eight bytes; the last word may overlap the one before."""
+    n = len(data) - width + 1
+    if n <= 0:
         return np.zeros(0, U)
-    power, part = 1, _BYTES[data]
-    out, done = None, 0
-    while True:
-        if width & power:
-            n = len(data) - (done + power) + 1
-            if out is None:
-                out = part[:n].copy()
-            else:
-                out = out[:n]
-                out *= _MIX[1]
-                out += part[done : done + n]
-            done += power
-        if done == width:
-            del part
-            return _mixed(out)
-        n = len(data) - 2 * power + 1
-        longer = part[:n] * _MIX[power % 3]
-        longer += part[power : power + n]
-        part = longer
-        del longer
-        part ^= part >> U(29)
-        power *= 2
+    if width < 8:
+        out = data[:n].astype(U)
+        for i in range(1, width):
+            out = (out << U(8)) | data[i : i + n]
+        return _mixed(out)
+    # the word that starts at each byte, without a copy
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = words[:n] * _MIX[0]
+    for a in [*range(8, width - 8, 8), *([width - 8] if width > 8 else [])]:
+        out ^= out >> U(32)
+        out += words[a : a + n]
+        out *= _MIX[1]
+    return _mixed(out)
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -131,11 +120,12 @@ class Block:
         if n:
             grams = rolling(self.data, GRAM)
             least = sliding_least(grams, width - GRAM + 1)[:n]
-            change = np.flatnonzero(least[1:] != least[:-1]) + 1
+            first = np.ones(n, bool)
+            np.not_equal(least[1:], least[:-1], out=first[1:])
             # runs also break at documents, and the windows that cross an end belong to none
-            edge = self.begin[1:-1]
-            edge = edge[edge < n]
-            self.start = np.unique(np.concatenate([[0], change, edge]))
+            first[self.begin[1:-1][self.begin[1:-1] < n]] = True
+            self.start = np.flatnonzero(first)
+            del first
             stop = np.append(self.start[1:], n)
             self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
             stop = np.minimum(stop, self.begin[self.doc + 1] - width + 1)
@@ -296,33 +286,34 @@ def _send_pieces(width: int, hot: int, buckets: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """The rank of each position's suffix among all, by its first ``width`` bytes: doubled prefixes."""
+def suffix_ranks(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each position's suffix among all, by its first ``width`` bytes (doubled prefixes), and the positions in that order."""
     n = len(data)
     rank, have = data.astype(U), 1
     while have < 4:  # up to four bytes fit in a number as they are
         rank = (rank << U(8 * have)) | np.append(rank[have:], np.zeros(min(have, n), U))[:n]
         have *= 2
+    order = np.argsort(rank) if have >= width else None
     while have < width:
         step = min(have, width - have)
         pair = rank << U(32)
         pair[: n - step] |= rank[step:]
         order = np.argsort(pair)
+        pair = pair[order]
         new = np.ones(n, bool)
-        new[1:] = pair[order][1:] != pair[order][:-1]
+        np.not_equal(pair[1:], pair[:-1], out=new[1:])
         rank = np.empty(n, U)
         rank[order] = np.cumsum(new).astype(U)
         have += step
-    return rank
+    return rank, order
 
 
-def earlier_match(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def earlier_match(rank: np.ndarray, order: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Longest-previous-factor test in suffix order: has a position of the same rank a smaller doc?
 
     In suffix order, positions whose common prefix is long enough are neighbours. A previous or next
     smaller value exists in such a run if its running minimum from either end is smaller.
     """
-    order = np.argsort(rank)
     r, d = rank[order], np.unique(doc, return_inverse=True)[1][order]
     new = np.ones(len(r), bool)
     new[1:] = r[1:] != r[:-1]
@@ -362,7 +353,12 @@ def answer_pieces(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: i
     if held.any():
         part = data[np.repeat(held, count + width - 1)]
         at = _window_starts(count[held], width)
-        out[np.repeat(held, count)] = earlier_match(suffix_ranks(part, width)[at], np.repeat(doc[held], count[held]))
+        rank, order = suffix_ranks(part, width)
+        # the windows, by number, in the order of the suffixes that they begin
+        window = np.full(len(part), -1, np.int64)
+        window[at] = np.arange(len(at))
+        window = window[order]
+        out[np.repeat(held, count)] = earlier_match(rank[at], window[window >= 0], np.repeat(doc[held], count[held]))
     return out
 
 

@@ -56,3 +56,16 @@ def test_as_by_definition(spark, tmp_path, seed, hot, block_bytes):
 def test_empty_table(spark):
     got = remove_repeats(spark.createDataFrame([], "doc_id long, text string"), keep_text=True)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"] and got.count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 7, 8, 9, 16, 24, 50])
+def test_hashes_tell_strings_apart(width):
+    import numpy as np
+
+    from docstrata.llm.suffixes import rolling
+
+    data = np.frombuffer(("abcabcabd" * 40 + "é" * 60 + "x" * 70 + "abcabcabc" * 9).encode(), np.uint8)
+    h = rolling(data, width)
+    strings = [data[i : i + width].tobytes() for i in range(len(data) - width + 1)]
+    assert len(h) == len(strings) and len(set(h.tolist())) == len(set(strings)) == len(set(zip(h.tolist(), strings)))
+    assert len(rolling(data[: width - 1], width)) == 0 and len(rolling(data[:width], width)) == 1
