@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docstrata.functions.text import is_heading
+from docstrata.functions import text as T
 from docstrata.operators import chunking, pages
 from docstrata.plans.adapters import query, table
 from docstrata.sources import listings
@@ -39,11 +39,33 @@ def running_lines(spark, d):
     return pages.strip_running_lines(_pseudo_pages(spark, d))
 
 
-@query()
+def sql_upper(text: str) -> str:
+    """A sharp s has no capital of its own there."""
+    return f"replace(upper({text}), 'ß', 'SS')"
+
+
+def sql_headings(lines: str) -> str:
+    """Tables over ``lines`` (with a text): the last one, ``judged``, tells which are headings."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    share = lambda keep: f"len(list_filter(words, lambda w: {keep})) / len(words)"
+    return rf"""trimmed AS (SELECT *, regexp_replace(text, '^[\s\v\x{{85}}\p{{Z}}]+|[\s\v\x{{85}}\p{{Z}}]+$', '', 'g') AS s FROM {lines}),
+parts AS (SELECT *, regexp_extract(s, {quoted(T.NUMBERED)}, 1) AS number, regexp_extract(s, {quoted(T.NUMBERED)}, 2) AS title FROM trimmed),
+cut AS (SELECT *, regexp_extract_all(title, '[A-Za-z][A-Za-z''’\-]*') AS words, regexp_matches(title, '\p{{L}}') AND {sql_upper('title')} = title AS loud_title, regexp_matches(s, '\p{{L}}') AND {sql_upper('s')} = s AS loud FROM parts),
+judged AS (SELECT *, coalesce(length(s) BETWEEN 4 AND 100 AND NOT regexp_matches(s, {quoted(T.NOT_HEADING)}) AND CASE WHEN number <> '' THEN
+  len(words) BETWEEN 1 AND 12 AND NOT regexp_matches(title, '[.,;]\s*$') AND length(title) - length(replace(title, ',', '')) <= 2
+  AND ({share('upper(w) = w AND length(w) > 1')} >= 0.7 OR ({share(f"regexp_matches(w, '^[A-Z]') OR list_contains({listed(T.SMALL_WORDS)}, lower(w))")} >= 0.8 AND regexp_matches(words[1], '^[A-Z]')))
+  AND (regexp_matches(number, '^\d') OR loud_title)
+  ELSE loud AND length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) >= 6 AND len(regexp_extract_all(s, '[^\s\v\x{{85}}\p{{Z}}]+')) <= 10 AND NOT regexp_matches(s, '\d{{4}}')
+  AND list_has_any(list_transform(regexp_extract_all(s, '[A-Za-z]+'), lambda w: lower(w)), {listed(T.HEADING_WORDS)}) END, false) AS heading FROM cut)"""
+
+
+@query(f"""WITH whole AS (SELECT doc_id, string_split('1. Summary of Findings' || chr(10) || {sql_upper('substr(text, 1, 40)')} || chr(10) || text || chr(10) || 'DECISION AND ORDER', chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS text FROM whole), {sql_headings('lines')} SELECT doc_id, line, text FROM judged WHERE heading""")
 def headings(spark, d):
     """Lines that are section headings, among lines made from documents and fixed samples."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.concat_ws("\n", F.lit("1. Summary of Findings"), F.upper(F.substring("text", 1, 40)), "text", F.lit("DECISION AND ORDER")), "\n")).alias("line", "text"))
-    return lines.where(is_heading(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), "text")
+    return lines.where(T.is_heading(F.col("text"))).select("doc_id", F.col("line").cast("long").alias("line"), "text")
 
 
 @query()
@@ -53,7 +75,15 @@ def chunk_greedy(spark, d):
     return chunking.chunk_lines(docs, chunking.Chunking(max_tokens=120, overlap_tokens=20))
 
 
-@query()
+ORDER_TABLES = r"""WITH RECURSIVE lines AS (SELECT o_custkey::VARCHAR AS doc_id, '| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_totalprice || ' |' AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+counted AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS n FROM lines),
+packed AS (SELECT doc_id, i, line, 0 AS part, 8 + n AS total FROM counted WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.i, c.line, p.part + (p.total + c.n > 100)::INT, CASE WHEN p.total + c.n > 100 THEN 8 + c.n ELSE p.total + c.n END FROM packed p JOIN counted c ON c.doc_id = p.doc_id AND c.i = p.i + 1)
+SELECT doc_id, '{version}' AS chunk_config_version, part AS ordinal, 'table' AS chunk_type, NULL::VARCHAR AS section, 1 AS page_start, 1 AS page_end, max(total)::INT AS n_tokens,
+  '| key | priority | price |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM packed GROUP BY doc_id, part"""
+
+
+@query(ORDER_TABLES.format(version=chunking.Chunking(max_table_tokens=100).version))
 def chunk_tables(spark, d):
     """Table chunks of each customer's orders: the head repeats, rows that are too long are cut."""
     rows = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_totalprice"))).alias("r"))

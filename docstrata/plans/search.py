@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 from docstrata.operators import evaluation, retrieval
-from docstrata.plans.adapters import MANIFEST, TURNS, manifest, query, table, turns
+from docstrata.plans.adapters import MANIFEST, ORACLES, TURNS, manifest, query, table, turns
 from docstrata.storage import materialize
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
@@ -33,9 +33,9 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query()
+@query(ORACLES["clean_text"])
 def clean_text_all(spark, d):
-    """clean_text over every document; SQL's patterns cannot follow beyond ASCII."""
+    """The same under the name that tests hold against plain Python."""
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
@@ -51,7 +51,7 @@ def normalize_question(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize_question(F.col("text")).alias("q"))
 
 
-@query()
+@query(ORACLES["normalize_question"])
 def normalize_question_all(spark, d):
     """normalize_question over every document, whole."""
     return table(spark, d, "documents").select("doc_id", T.normalize_question(F.col("text")).alias("q"))
@@ -89,7 +89,7 @@ def cache_key(spark, d):
     return _distinct_keys(table(spark, d, "conversations"))
 
 
-@query()
+@query(ORACLES["cache_key"])
 def cache_key_all(spark, d):
     """cache_key over every turn."""
     return _distinct_keys(table(spark, d, "conversations"))
@@ -148,7 +148,7 @@ def exact_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
 
 
-@query()
+@query(ORACLES["exact_terms"])
 def exact_terms_all(spark, d):
     """exact_terms over every document."""
     return table(spark, d, "documents").select("doc_id", F.array_join(T.exact_terms(F.col("text")), " ").alias("terms"))
