@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,18 +68,29 @@ def _dense(asked: pa.Table, n: int):
         norm = np.sqrt((q * q).sum(axis=1))
         kept: list[tuple[np.ndarray, np.ndarray]] | None = None
         for batch in batches:
+            vectors = batch.column("embedding")
+            usable = pc.equal(pc.list_value_length(vectors), q.shape[1]).fill_null(False)
+            batch = batch.filter(usable)
             if not batch.num_rows:
                 continue
+            vectors = batch.column("embedding")
+            if vectors.flatten().null_count:
+                whole = np.ones(batch.num_rows, bool)
+                whole[np.flatnonzero(vectors.flatten().is_null().to_numpy(zero_copy_only=False)) // q.shape[1]] = False
+                batch = batch.filter(pa.array(whole))
+                if not batch.num_rows:
+                    continue
             x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             scores = (q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9)
             scores = np.round(scores, 6)
+            kind = batch.column("chunk_id").type
             new = [_best(ids, s, n) for s in scores]
             kept = new if kept is None else [_best(np.concatenate([a, c]), np.concatenate([b, d]), n) for (a, b), (c, d) in zip(kept, new)]
         if kept is not None:
             sizes = [len(a) for a, _ in kept]
             query = asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(kept)), sizes)))
-            found = pa.array(np.concatenate([a for a, _ in kept]), batch.column("chunk_id").type)
+            found = pa.array(np.concatenate([a for a, _ in kept]), kind)
             yield pa.RecordBatch.from_arrays([query, found, pa.array(np.concatenate([b for _, b in kept]))], names=["query_id", "chunk_id", "score"])
 
     return run
@@ -99,9 +111,8 @@ def dense_top(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, block:
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if not own.num_rows:
             continue
-        dim = len(own["qvec"][0])
-        usable = chunks.select("chunk_id", "embedding").where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
-        parts.append(usable.mapInArrow(_dense(own, n), schema))
+        # what is usable is seen in the batches: a filter here would make the vectors once more
+        parts.append(chunks.select("chunk_id", "embedding").mapInArrow(_dense(own, n), schema))
     scored = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return top(scored, n, F.desc("score"), F.asc("chunk_id"))
 
@@ -277,14 +288,22 @@ def source_rows(hits: DataFrame) -> DataFrame:
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """A stand-in embedder without a model: counts of terms by hash, scaled to length 1. The text is cut into terms once."""
-    place = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int"), F.lit(dim))
-    # an array of one array, so that what is made of the terms has a name and is not made anew for each place
-    once = F.array(F.transform(terms(text), place))
-    counts = F.transform(once, lambda of: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(of, lambda x: x == i)).cast("double")))
-    unit = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform(F.transform(counts, lambda raw: F.struct(raw.alias("raw"), unit(raw).alias("norm"))), lambda r: F.transform(r["raw"], lambda x: F.when(r["norm"] > 0, x / r["norm"]).otherwise(0.0)))
-    return F.element_at(scaled, 1)
+    """A stand-in embedder without a model: counts of terms by hash, scaled to length 1. The text is cut into terms once.
+
+    The terms' places become one string with a character for each term, so that counting a place is a plain search in it.
+    """
+    if not 0 < dim <= 64:
+        raise ValueError("there are 64 places at most")
+    digit = lambda h, i: F.instr(F.lit("123456789abcdef"), F.substring(h, i, 1))
+    place = lambda h: F.char((digit(h, 1) * 16 + digit(h, 2)) % dim + 48)
+    hashes = F.transform(terms(text), lambda t: F.substring(F.md5(t.cast("binary")), 1, 2))
+    # an array of one string, so that it has a name and is not made anew for each place
+    once = F.array(F.array_join(F.transform(hashes, place), ""))
+    count = lambda s, i: (F.length(s) - F.length(F.replace(s, F.char(i + 48), F.lit("")))).cast("double")
+    counts = F.transform(once, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(s, i)))
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    named = F.transform(counts, lambda raw: F.struct(raw.alias("raw"), norm(raw).alias("norm")))
+    return F.element_at(F.transform(named, lambda r: F.transform(r["raw"], lambda x: F.when(r["norm"] > 0, x / r["norm"]).otherwise(0.0))), 1)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
