@@ -61,6 +61,18 @@ UNLICENSE = (
     "For more information, please refer to <{url}>"
 )
 
+BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, "
+    "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+    "subject to the following:\n\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, "
+    "in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+    "processor.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND "
+    "NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
 # Other wordings of the same licences.
 _PLAIN = str.maketrans({"1": "*", "2": "*", "3": "*"})
 VARIANTS = [
@@ -69,6 +81,7 @@ VARIANTS = [
     ("BSD-3-Clause", (_BSD + _BSD_1 + _BSD_2 + _BSD_3).translate(_PLAIN) + _BSD_END),
     ("ISC", KNOWN["ISC"].replace("and/or distribute", "and distribute")),
     ("MIT", _GRANT + _NOTICE.replace("notice shall", "notice (including the next paragraph) shall") + _AS_IS),
+    ("BSL-1.0", BOOST),
     ("Unlicense", UNLICENSE.format(url="http://unlicense.org/")),
     ("Unlicense", UNLICENSE.format(url="https://unlicense.org")),
 ]
@@ -78,6 +91,7 @@ TITLES = {
     "0BSD": ["0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "BSD Zero Clause License (0BSD)"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", "The BSD License", "BSD License", 'BSD 2-Clause "Simplified" License', "FreeBSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "The BSD License", "BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0", "Boost Software License", "BSL-1.0"],
     "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "(The MIT License)", "Expat License", "MIT License (Expat)"],
     "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT License", "The MIT No Attribution License"],

@@ -3,8 +3,9 @@
 The canonical form is lower case, without copyright lines, with one spelling for equivalent words, and
 with every run of other characters than a-z and 0-9 as one blank.
 
-Defined results: a null text counts as empty; the empty canonical form matches nothing; repeated rows are
-scanned alike; an empty table gives an empty one; further columns are ignored.
+Defined results: a null text counts as empty; the empty canonical form matches nothing; texts of any length are read
+whole, in time that grows with their length; no two known licences have one form, so there are no ties; repeated
+rows and ids are scanned each for itself; an empty table gives an empty one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ from docstrata.llm.licence_texts import KNOWN, LONG, TITLES, VARIANTS
 # Equivalent spellings, (pattern, spelling), applied in this order to lower-case text.
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|[(]c[)]|©)[^a-z0-9\n]*([(]c[)]|©|[0-9]{4}|by |the )[^\n]*"
 RESERVED = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*"
+# The same lines for an engine that tries again with fewer characters: whatever stands before a mark is taken once and never given
+# back, so a line's time grows with its length. Before the first mark may stand other signs; a © may be that mark itself.
+_SIGNS, _SIGNS_OR_C = r"(?:[^a-z0-9\n©(]|[(](?!c[)]))*+", r"(?:[^a-z0-9\n(]|[(](?!c[)]))*+"
+_SECOND = rf"{_SIGNS}(?:[(]c[)]|©|[0-9]{{4}}|by |the )[^\n]*+"
+COPYRIGHT_ONCE = rf"(^|\n)(?:{_SIGNS_OR_C}(?:copyright|[(]c[)]){_SECOND}|{_SIGNS}©{_SECOND})"
+RESERVED_ONCE = r"(^|\n)[^a-z0-9\n]*+all rights reserved[^a-z0-9\n]*+"
 SPELLINGS = [
     ("licence", "license"),
     ("sub-license", "sublicense"),
@@ -67,7 +74,7 @@ SPELLINGS = [
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "\n"), RESERVED, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_ONCE, "\n"), RESERVED_ONCE, "\n")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))

@@ -31,3 +31,30 @@ def test_usual_files(spark):
     assert got == {**dict(enumerate(texts)), 100: None, 101: None}
     digests = all_digests()
     assert len({d for _, d in digests}) == len(digests) and set(known_digests()) <= set(digests)
+
+
+def test_lines_are_taken_out_as_stated(spark):
+    """The pattern that reads each line once takes out what the plain one does."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from docstrata.llm.licences import canonical
+
+    r = random.Random(2)
+    bits = ["©", "(c)", "(", ")", "c)", "copyright", "2020", "20", "by ", "the ", " ", "*", "\n", "all rights reserved", "x", "é", "-", "Copyright (C) 2019 A\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(4000)] + ["©copyright 2020", "(c)(c)", "((c) 1999", "© © x", "©" * 9, "©©\nx"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical(F.col("t")).alias("f")).collect()
+    assert [x.f for x in sorted(rows)] == [canonical_text(t) for t in texts]
+    begin = time.time()
+    long = ["©" * 100_000, "(" * 100_000, "(c" * 50_000, "\n©" * 50_000, "copyright" + " " * 100_000, "-" * 100_000]
+    assert scan_licences(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).where("licence IS NULL").count() == len(long)
+    assert time.time() - begin < 10
+
+
+def test_boost(spark):
+    from docstrata.llm.licence_texts import BOOST
+
+    rows = [(1, "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BOOST), (2, BOOST.replace("license", "licence"))]
+    assert [x.licence for x in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == ["BSL-1.0"] * 2
