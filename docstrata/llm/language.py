@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstrata.llm.workers import make_room
+
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
 _LIKELY = re.compile(r"[^\W\d_]")
@@ -117,6 +119,7 @@ def _predict(net: ByteNet | None, kept: int = 0, most_rows: int = 512):
         return [net.languages[i] for i in p.argmax(axis=1)], p.max(axis=1).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language")
         for batch in batches:
             pred, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             waiting, parts, held = [], [], 0

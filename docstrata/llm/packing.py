@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.storage import materialize
+from docstrata.llm.workers import hold, make_room
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LOCAL_BITS = 33
@@ -118,11 +119,13 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    make_room("packing")
     if path not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
+        hold("packing", _encoders.clear)
     return _encoders[path]
 
 

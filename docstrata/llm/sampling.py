@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docstrata.llm.workers import hold, make_room
+
 BLANK = "▁"
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -152,8 +154,10 @@ _lattices: dict[tuple, Lattice] = {}
 
 
 def lattice(path: str, alpha: float) -> Lattice:
+    make_room("sampling")
     if (path, alpha) not in _lattices:
         _lattices[path, alpha] = Lattice(path, alpha)
+        hold("sampling", _lattices.clear)
     return _lattices[path, alpha]
 
 

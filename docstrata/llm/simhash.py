@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from docstrata.llm.components import cell_starts, connected, gathered, in_tiles, local_roots, whole_cells
 from docstrata.llm.storage import materialize, partitions_for
+from docstrata.llm.workers import make_room
 
 SEED = 42
 
@@ -53,6 +54,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("simhash")
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "print"])

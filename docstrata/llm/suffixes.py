@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.llm.storage import materialize, scan_blocks
+from docstrata.llm.workers import make_room
 
 GRAM = 24
 U = np.uint64
@@ -166,6 +167,7 @@ class Block:
 
 
 def _block(group: pa.Table, width: int, hot: int) -> Block:
+    make_room("suffixes")
     return Block(group["doc_id"].to_numpy(), [t.as_py() for t in group["bytes"]], width, hot)
 
 
@@ -358,12 +360,16 @@ def answer_pieces(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: i
         window = np.full(len(part), -1, np.int64)
         window[at] = np.arange(len(at))
         window = window[order]
-        out[np.repeat(held, count)] = earlier_match(rank[at], window[window >= 0], np.repeat(doc[held], count[held]))
+        del order, part
+        window = window[window >= 0]
+        rank = rank[at]
+        out[np.repeat(held, count)] = earlier_match(rank, window, np.repeat(doc[held], count[held]))
     return out
 
 
 def _answer_pieces(width: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        make_room("suffixes")
         group = group.sort_by("block")
         data, _ = _joined(group["bytes"], np.uint8)
         count, per = _joined(group["sizes"], np.int32)

@@ -205,3 +205,14 @@ assert materialize(spark.range(5).selectExpr("id"), "z").count() == 5
 """
     subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
     assert not list((tmp_path / "docstrata").iterdir())
+
+
+def test_an_operator_makes_room_in_its_worker():
+    from docstrata.llm.workers import make_room
+
+    packing._encoders.clear()
+    first = packing.encoder(PATH)
+    assert packing.encoder(PATH) is first
+    make_room("suffixes")
+    assert not packing._encoders and packing.encoder(PATH) is not first
+    assert packing.encoder(PATH).encode("a b") == first.encode("a b")
