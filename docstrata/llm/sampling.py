@@ -13,7 +13,7 @@ of bounded size.
 
 Defined results: a null text counts as empty; the empty text has one segmentation, of no pieces, with
 probability and inclusion 1; a text with fewer than k segmentations gives all of them, each with inclusion 1; rows with
-equal keys and texts get equal samples; an empty table gives an empty one; further columns are ignored.
+equal keys and texts get equal samples; a null key is a key like any other; texts of any length are read whole; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -63,3 +63,16 @@ def test_rows(spark):
         assert all(0 < r.inclusion <= 1 and r.log_prob <= 1e-9 for r in own)
     assert [(r.ids, r.inclusion) for r in got if r.k == 1] == [([], 1.0)]
     assert sample_segmentations(spark.createDataFrame([], "k long, text string"), ["k"], MODEL).count() == 0
+
+
+def test_null_keys_and_long_texts(spark):
+    import public_tokenizers
+
+    from docstrata.llm.sampling import decode_ids, sample_segmentations
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(None, 1, "a b c"), (None, 1, "a b c"), (2, None, None), (3, 1, "word " * 4_000 + "é")]
+    got = decode_ids(sample_segmentations(spark.createDataFrame(rows, "k long, t long, text string").selectExpr("*", "1 AS sample"), ["k", "t"], path, k=2), path).collect()
+    same = [r.ids for r in got if r.k is None and r["sample"] == 1]
+    assert len(same) == 2 and same[0] == same[1] and [r.ids for r in got if r.k == 2] == [[]]
+    assert all(r.decoded == rows[3][2] for r in got if r.k == 3) and sum(r.k == 3 for r in got) == 2
