@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import embeddings, licences
+from docstrata.llm import conversation_trie, embeddings, fill_in_middle, licences
 from docstrata.llm.embeddings import embedding_groups
 from docstrata.llm.html import extract_pages
 from docstrata.llm.language import identify_languages
@@ -18,6 +18,7 @@ from docstrata.llm.sampling import decode_ids, sample_segmentations
 from docstrata.llm.simhash import simhash_groups
 from docstrata.llm.storage import table
 from docstrata.llm.suffixes import remove_repeats
+from docstrata.llm.token_store import token_report
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,6 +72,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_extraction,
@@ -83,10 +96,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_near_dedup,
         op9_media_columns,
         op10_pii,
+        op11_orc_token_store,
+        op12_conversation_trie,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The licence scan and the comparison of vectors are SQL; the others are held against brute force, round trips or held-out rows in tests/llm."""
-    return {"op4_embedding_near_dedup": embeddings.oracle(), "op6_licence_scan": licences.oracle()}
+    """What SQL can express; the other operators are held against brute force, round trips or held-out rows in tests/llm."""
+    return {"op12_conversation_trie": conversation_trie.oracle(), "op13_fill_in_middle": fill_in_middle.oracle(), "op4_embedding_near_dedup": embeddings.oracle(), "op6_licence_scan": licences.oracle()}

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.storage import _written, drop, intermediates, materialize, note, release, shared_dir
+from docstrata.storage import _shuffles_dropped as shuffles_dropped
+from docstrata.storage import _written, drop, intermediates, materialize, note, release, scratch, shared_dir
 
-__all__ = ["_written", "drop", "input_bytes", "intermediates", "materialize", "note", "partitions_for", "release", "scan_blocks", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["_written", "drop", "input_bytes", "intermediates", "materialize", "note", "partitions_for", "release", "scan_blocks", "scratch", "shared_dir", "shuffle_partitions", "shuffles_dropped", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
