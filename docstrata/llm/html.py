@@ -2,14 +2,17 @@
 
 Markup is stripped to rows, one for each block of text (a line break inside a block is white space). A row's length is that
 of its text less the text of links. Zones that are never main text (menus, footers, adverts, forms, reader
-comments and the like, by tag or by class, id and role words) have length 0: a row where the zone begins, and one for each block in it.
+comments and the like, by tag or by the head word of a class, id or role) have length 0: a row where the zone begins, and one for each block in it.
+A form or an element with such a word that holds nearly all of the page's text is the page's frame and no zone; a zone without an
+end does not reach beyond the article that begins in it.
 
 Lengths are summed over a sliding window of rows. The page's own distribution of these sums sets the threshold: a share
 of the largest one. A block surges at the first window that reaches it and dives after the last one that
 does so without a break; the rows of its windows are its text, with short lines, titles say, next to long ones. An article
 or main element around such a block is known by its author to begin and end there, so its borders take the place of
-the surge and the dive; of several, the one with the largest sum between them is the page's text, and what
-lies outside of it is not.
+the surge and the dive. Of several, and of the blocks outside of any, that with the largest sum is the page's text and what
+lies outside of it is not; but the blocks outside of articles, which may be what zones have left over, count only if they have a
+paragraph's length and twice the sum of the largest article, which is a card or a teaser then.
 
 Defined results: a null or empty page gives the empty text; so does a page without a row that has a length, except
 that an article of nothing but links has its links; of articles with equal sums the first is
@@ -43,6 +46,11 @@ ZONE_WORDS = frozenset(
 # Words that an article element carries for the layout around it, and first words of names that only tell about it.
 LAYOUT_WORDS = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation share sharing sidebar social topbar toolbar".split())
 TELLING = frozenset("has no with without".split())
+# Last words of names that tell about a zone's shape; the word before them is the head.
+SHAPES = frozenset(
+    "area articles bar block body bottom box buttons container content form group icons inner inline item items left link links list main module outer panel post posts primary region right row secondary "
+    "section slot text thread title top unit widgets wrap wrapper".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -54,6 +62,9 @@ CLOSES_P = BLOCKS
 
 # Window of rows, and share of the largest window sum that a block has to reach.
 WINDOW, SHARE = 3, 0.01
+# Share of the page's text beyond which a zone by its name, or a form, is the page's frame; what blocks outside of articles need to be the main text: characters, and times the largest article.
+FRAME, PARAGRAPH, TIMES = 0.9, 200, 2
+FRAMES = frozenset(["form", "fieldset"])
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
 # The rest of a tag; an attribute's value may hold > in quotes.
@@ -71,28 +82,12 @@ class Row:
     linked: int
 
 
-class _Open:
-    """Open elements from the outermost inwards, with a count of each name, so that an end tag without a start costs nothing."""
-
-    def __init__(self) -> None:
-        self.names: list[str] = []
-        self.count: dict[str, int] = {}
-
-    def push(self, name: str) -> None:
-        self.names.append(name)
-        self.count[name] = self.count.get(name, 0) + 1
-
-    def close(self, name: str) -> bool:
-        """End the innermost element of that name and all in it; False if none is open."""
-        if not self.count.get(name):
-            return False
-        while (inner := self.names.pop()) != name:
-            self.count[inner] -= 1
-        self.count[name] -= 1
-        return True
-
-    def clear(self) -> None:
-        self.names, self.count = [], {}
+@dataclass
+class _Zone:
+    parent: int
+    judged: bool  # by its share of the text
+    closed: bool = False
+    limit: int | None = None  # the row from which it does not hold if it is never closed
 
 
 @dataclass
@@ -100,10 +95,16 @@ class _Stripper:
     rows: list[Row] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    zone: _Open = field(default_factory=_Open)  # from the outermost zone inwards
-    articles: int = 0
-    inside: _Open = field(default_factory=_Open)  # article elements
     link: bool = False
+    zones: list[_Zone] = field(default_factory=lambda: [_Zone(0, False)])  # the first stands for none
+    of: list[int] = field(default_factory=list)  # each row's innermost zone
+    begins: list[bool] = field(default_factory=list)  # whether a row stands for its zone's begin
+    unbounded: list[int] = field(default_factory=list)
+    # open articles and zones and what is open in them: name, zone and whether it is an article; and how many by name
+    open: list[tuple[str, int, bool]] = field(default_factory=list)
+    count: dict[str, int] = field(default_factory=dict)
+    articles: int = 0
+    inside: int = 0  # open articles
 
     def text(self, part: str) -> None:
         if part:
@@ -111,14 +112,24 @@ class _Stripper:
             if self.link:
                 self.linked += len(part.strip())
 
+    def row(self, text: str, linked: int, begins: bool = False) -> None:
+        self.rows.append(Row(text, False, self.articles if self.inside else 0, linked))
+        self.of.append(self.zone())
+        self.begins.append(begins)
+
+    def zone(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            self.rows.append(Row(text, bool(self.zone.names), self._article(), self.linked))
+            self.row(text, self.linked)
         self.parts, self.linked = [], 0
 
-    def _article(self) -> int:
-        return self.articles if self.inside.names else 0
+    def push(self, name: str, zone: int, article: bool = False) -> None:
+        self.open.append((name, zone, article))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.inside += article
 
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
@@ -129,42 +140,84 @@ class _Stripper:
             self.link = True
         if name in VOID:
             return
-        words = _ON_ARTICLE if name in ARTICLES else _IN_ARTICLE if self.inside.names else ZONE_WORDS
-        marked = name in ZONES or name == "header" and not self.inside.names or bool(attributes) and name not in ("html", "body") and _marked(attributes, words)
-        if name in ARTICLES and not marked and not (self.zone.names and self.inside.names):
+        words = _ON_ARTICLE if name in ARTICLES else _IN_ARTICLE if self.inside else ZONE_WORDS
+        named = bool(attributes) and name not in ("html", "body") and _marked(attributes, words)
+        marked = name in ZONES or name == "header" and not self.inside or named
+        if name in ARTICLES and not marked and not (self.zone() and self.inside):
             self.flush()
-            self.zone.clear()  # a zone that was never closed
-            self.articles += not self.inside.names
-            self.inside.push(name)
+            for z in self.unbounded:
+                self.zones[z].limit = len(self.rows)
+            self.unbounded = []
+            self.articles += not self.inside
+            self.push(name, self.zone(), True)
             return
-        if self.zone.names and self.zone.names[-1] == "p" and name in CLOSES_P:
-            self.zone.close("p")
-        if self.zone.names:
-            self.zone.push(name)
-        elif marked:
+        if self.zone() and self.open[-1][0] == "p" and name in CLOSES_P:
+            self.end("p")
+        if marked:
             self.flush()
-            self.zone.push(name)
-            self.rows.append(Row("", True, self._article(), 0))
+            self.zones.append(_Zone(self.zone(), name in FRAMES or name not in ZONES and named))
+            self.unbounded.append(len(self.zones) - 1)
+            self.push(name, len(self.zones) - 1)
+            self.row("", 0, True)
+        elif self.zone():
+            self.push(name, self.zone())
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
         elif name == "a":
             self.link = False
-        if self.zone.count.get(name):
-            if self.zone.names[0] == name and self.zone.count[name] == 1:
-                self.flush()  # what is pending belongs to the zone
-            self.zone.close(name)
-        elif self.inside.count.get(name):
-            self.inside.close(name)
-            self.zone.clear()
+        if not self.count.get(name):
+            return
+        zone, inner = self.zone(), None
+        while inner != name:
+            inner, own, article = self.open.pop()
+            self.count[inner] -= 1
+            self.inside -= article
+            if own != self.zone():
+                if own == zone and self.parts:  # what is pending belongs to the zone
+                    self.open.append((inner, own, article))
+                    self.flush()
+                    self.open.pop()
+                self.zones[own].closed = inner == name
+
+    def judged(self) -> list[Row]:
+        """The rows, and which of them lie in zones."""
+        limits = [-1] + [len(self.rows) if z.closed or z.limit is None else z.limit for z in self.zones[1:]]
+        always = [-1] * len(limits)
+        for i, z in enumerate(self.zones[1:], 1):
+            always[i] = max(always[z.parent], -1 if z.judged else limits[i])
+        mass, place = [0] * len(limits), list(range(len(limits)))
+        for i, (row, z) in enumerate(zip(self.rows, self.of)):
+            if i >= always[z]:
+                path = []
+                while z and i >= limits[z]:  # a zone that has ended for good
+                    path.append(z)
+                    z = place[z] if place[z] != z else self.zones[z].parent
+                for x in path:
+                    place[x] = z
+                mass[z] += max(0, len(row.text) - row.linked)
+        for i in range(len(mass) - 1, 0, -1):
+            mass[self.zones[i].parent] += mass[i]
+        until = [-1] * len(limits)
+        for i, z in enumerate(self.zones[1:], 1):
+            frame = z.judged and mass[i] > FRAME * mass[0]
+            until[i] = max(until[z.parent], -1 if frame else limits[i])
+        out = []
+        for i, (row, z, begins) in enumerate(zip(self.rows, self.of, self.begins)):
+            row.noise = i < until[z]
+            if not begins or row.noise and i >= until[self.zones[z].parent]:
+                out.append(row)
+        return out
 
 
 def _marked(attributes: str, words: frozenset[str]) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = _WORD.findall(name)
-            if parts and parts[0] not in TELLING and not words.isdisjoint(parts):
+            while len(parts) > 1 and parts[-1] in SHAPES:
+                parts.pop()
+            if parts and parts[0] not in TELLING and parts[-1] in words:
                 return True
     return False
 
@@ -206,7 +259,7 @@ def rows_of(page: str) -> list[Row]:
             at = len(page) if close < 0 else close
     out.text(page[at:])
     out.flush()
-    return out.rows
+    return out.judged()
 
 
 def surges(lengths: list[int], window: int = WINDOW, share: float = SHARE) -> list[tuple[int, int]]:
@@ -232,21 +285,22 @@ def extract_main_text(page: str | None, window: int = WINDOW, share: float = SHA
         plain = [len(x.text) if x.article and not x.noise else 0 for x in rows]
     blocks = surges(plain, window, share)
     mass: dict[int, int] = {}
-    seen = 0  # blocks may share rows at their ends
+    free, seen = 0, 0  # blocks may share rows at their ends
     for a, b in blocks:
         for i in range(max(a, seen), b):
             if rows[i].article:
                 mass[rows[i].article] = mass.get(rows[i].article, 0) + plain[i]
+            else:
+                free += plain[i]
         seen = b
-    if mass := {article: n for article, n in mass.items() if n}:
-        best = max(mass, key=lambda article: (mass[article], -article))
+    best = max(mass, key=lambda article: (mass[article], -article), default=0)
+    if best and mass[best] and not free > max(PARAGRAPH, TIMES * mass[best]):
         kept = [x for x in rows if x.article == best]
     else:
-        inside, end = [], 0
+        kept, end = [], 0
         for a, b in blocks:
-            inside += rows[max(a, end) : b]
+            kept += (x for x in rows[max(a, end) : b] if not x.article)
             end = b
-        kept = inside
     return "\n".join(x.text for x in kept if x.text and not x.noise)
 
 
