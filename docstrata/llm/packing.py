@@ -49,6 +49,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        blank = self.tokenizer.encode(" x", add_special_tokens=False).tokens[0][0]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
@@ -101,12 +104,23 @@ class Encoder:
             out[w] = ids
         if pending:
             fresh = list({core for _, core, _ in pending})
-            got = dict(zip(fresh, [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in fresh], add_special_tokens=False)]))
+            got = dict(zip(fresh, self._fresh(fresh)))
             out.update(got)
             for w, core, end in pending:
                 out[w] = got[core] + end
         return out
 
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a blank before each, encoded as one text: a token with a blank in front begins a word."""
+        if all(words):
+            (one,) = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
+            ids = np.array(one.ids, "<u4")
+            begins = np.flatnonzero(self.begins[ids]).tolist()
+            if len(begins) == len(words):
+                data = ids.tobytes()
+                return [data[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)])]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+
 
 def _bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)
