@@ -60,33 +60,23 @@ def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _dense(asked: pa.Table, n: int):
-    """Per task, the n best chunks of each query: one matrix product for each batch, and what was best so far."""
+def _dense(asked: pa.Table, n: int, scores_at_once: int = 1 << 24):
+    """Per task, the n best chunks of each query: matrix products of bounded size, and what was best so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = np.array(asked["qvec"].to_pylist(), dtype=np.float64)
         norm = np.sqrt((q * q).sum(axis=1))
         kept: list[tuple[np.ndarray, np.ndarray]] | None = None
-        for batch in batches:
-            vectors = batch.column("embedding")
-            usable = pc.equal(pc.list_value_length(vectors), q.shape[1]).fill_null(False)
-            batch = batch.filter(usable)
-            if not batch.num_rows:
-                continue
-            vectors = batch.column("embedding")
-            if vectors.flatten().null_count:
-                whole = np.ones(batch.num_rows, bool)
-                whole[np.flatnonzero(vectors.flatten().is_null().to_numpy(zero_copy_only=False)) // q.shape[1]] = False
-                batch = batch.filter(pa.array(whole))
-                if not batch.num_rows:
+        rows = max(1, scores_at_once // len(q))
+        for whole in batches:
+            for batch in (whole.slice(a, rows) for a in range(0, whole.num_rows, rows)):
+                ids, x = _usable(batch, q.shape[1])
+                if not len(x):
                     continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            scores = (q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9)
-            scores = np.round(scores, 6)
-            kind = batch.column("chunk_id").type
-            new = [_best(ids, s, n) for s in scores]
-            kept = new if kept is None else [_best(np.concatenate([a, c]), np.concatenate([b, d]), n) for (a, b), (c, d) in zip(kept, new)]
+                scores = np.round((q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9), 6)
+                kind = batch.column("chunk_id").type
+                new = [_best(ids, s, n) for s in scores]
+                kept = new if kept is None else [_best(np.concatenate([a, c]), np.concatenate([b, d]), n) for (a, b), (c, d) in zip(kept, new)]
         if kept is not None:
             sizes = [len(a) for a, _ in kept]
             query = asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(kept)), sizes)))
@@ -96,11 +86,24 @@ def _dense(asked: pa.Table, n: int):
     return run
 
 
+def _usable(batch: pa.RecordBatch, dim: int, column: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows that have a whole vector of that length."""
+    good = pc.equal(pc.list_value_length(batch.column(column)), dim).fill_null(False)
+    batch = batch.filter(good)
+    flat = batch.column(column).flatten()
+    if flat.null_count:
+        whole = np.ones(batch.num_rows, bool)
+        whole[np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False)) // dim] = False
+        batch = batch.filter(pa.array(whole))
+        flat = batch.column(column).flatten()
+    return batch.column("chunk_id").to_numpy(zero_copy_only=False), flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+
 def dense_top(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = 4096) -> DataFrame:
     """query_id, chunk_id, score, rank by cosine similarity, exact. queries: query_id, qvec; a stated query set.
 
-    Queries are counted and go to the tasks in blocks of about ``block``; a block costs one scan of the chunks, one matrix
-    product for each Arrow batch, and only the n best of a task for a query leave it. Chunks without a vector, or with one of another
+    Queries are counted and go to the tasks in blocks of about ``block``, one after another if there are more: a block is on the driver at a time, and costs one
+    scan of the chunks and products of bounded size; only the n best of a task for a query leave it. Chunks without a vector, or with one of another
     length than the first query's, are not found.
     """
     spark = chunks.sparkSession
@@ -112,9 +115,9 @@ def dense_top(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, block:
         if not own.num_rows:
             continue
         # what is usable is seen in the batches: a filter here would make the vectors once more
-        parts.append(chunks.select("chunk_id", "embedding").mapInArrow(_dense(own, n), schema))
-    scored = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    return top(scored, n, F.desc("score"), F.asc("chunk_id"))
+        scored = top(chunks.select("chunk_id", "embedding").mapInArrow(_dense(own, n), schema), n, F.desc("score"), F.asc("chunk_id"))
+        parts.append(scored if blocks == 1 else materialize(scored, "dense"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
 
 
 def document_frequency(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -131,10 +134,11 @@ def rare_terms(queries: DataFrame, df: DataFrame, n_chunks: Column | int, share:
 
 @dataclass
 class Postings:
-    """Where asked terms occur (chunk_id, dl, term, tf), read from the texts once; ``stats`` has one row: n, avgdl."""
+    """Where asked terms occur (chunk_id, dl, term, tf); ``stats`` has one row: n, avgdl. ``few``: the asked terms were counted, and are few enough to be broadcast."""
 
     rows: DataFrame
     stats: DataFrame
+    few: bool = False
 
     def frequency(self) -> DataFrame:
         """term, df of the asked terms that occur."""
@@ -175,8 +179,10 @@ def bm25(found: Postings, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2
     """query_id, chunk_id, score, rank. asked: distinct (query_id, term), all of them asked of the postings. Scores are summed map-side first."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # the statistics are one row
-    weighted = found.rows.join(found.frequency(), "term").join(F.broadcast(found.stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
+    # the statistics are one row; frequencies and asked terms are as many as were counted
+    small = F.broadcast if found.few else lambda df: df
+    asked = small(asked)
+    weighted = found.rows.join(small(found.frequency()), "term").join(F.broadcast(found.stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
     scores = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scores, n, F.desc("score"), F.desc("chunk_id"))
 
@@ -186,19 +192,21 @@ def bm25_top(chunks: DataFrame, asked: DataFrame, n: int = CANDIDATES, k1: float
     return bm25(postings(chunks, asked, text), asked, n, k1, b)
 
 
-def search(pool: DataFrame, queries: DataFrame, k: int, lexical: str | None = None, n_chunks: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
+def search(pool: DataFrame, queries: DataFrame, k: int, lexical: str | None = None, n_chunks: int | None = None, candidates: int = CANDIDATES, index=None, part: DataFrame | None = None, dense: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the dense list, alone or fused with a lexical one.
 
     pool: chunk_id, embedding and ``lexical`` (the searched text), filtered as wanted; queries: query_id, qtext, qvec. ``lexical``: ``exact``
     for the codes of a question, ``rare`` for its terms that few of ``n_chunks`` chunks have (all of the index; of the pool, if not told).
+    ``index``: a TextIndex of the pool's ``lexical``, or of more, with ``part`` the pool's ids then; without one the pool's texts are cut into terms. ``dense``: another
+    search by vectors (queries, how many), over cells say.
     """
     if lexical not in (None, "exact", "rare"):
         raise ValueError(f"lexical must be exact, rare or None, not {lexical!r}")
     most = max(candidates, k)
-    lists = [dense_top(pool, queries, most)]
+    lists = [dense(queries, most) if dense else dense_top(pool, queries, most)]
     if lexical:
         asked = question_terms(queries, "exact" if lexical == "exact" else "all")
-        found = postings(pool, asked, "lexical")
+        found = index.postings(asked, part) if index else postings(pool, asked, "lexical")
         if lexical == "rare":
             asked = found.rare(asked, pool.count() if n_chunks is None else n_chunks)
         lists.append(bm25(found, asked, most))

@@ -22,6 +22,7 @@ from docstrata.config import settings
 from docstrata.functions.text import cache_key, chunk_id, context_header, find_docket, index_version
 from docstrata.operators import evaluation, marts, pages, quality, retrieval, silver
 from docstrata.operators.chunking import Chunking, chunk_pages
+from docstrata.operators.text_index import TextIndex
 from docstrata.sources import lake as lakes
 from docstrata.storage import materialize
 
@@ -122,7 +123,7 @@ class Pipeline:
         lake.append("silver/pages", self._fit(stored, "silver/pages"))
         lake.append("silver/quarantine", self._fit(routed.where("status = 'quarantined'").withColumn("quarantined_at", F.lit(now)), "silver/quarantine"))
         lake.append("silver/documents", self._fit(docs, "silver/documents"))
-        lake.clear("staging/pages")
+        lake.clear("staging/pages", run_id=run_id)
         made = self.rechunk(run_id, now)
         counts = {r["status"]: r["count"] for r in lake.read("silver/documents").where(F.col("run_id") == run_id).groupBy("status").count().collect()}
         quarantined = lake.read("silver/quarantine").where(F.col("run_id") == run_id).count()
@@ -191,10 +192,20 @@ class Pipeline:
         indexed = fresh.join(vectors, "text_hash").withColumn("run_id", F.lit(run_id))
         lake.merge("gold/chunks", self._fit(indexed, "gold/chunks"), ["index_version", "chunk_id"])
         version = self.lake.spark.range(1).select(name.alias("v")).first()["v"]
+        # what a run before has left out is taken in, too: the index knows its chunks
+        self.text_index(version).add(self._lexical(lake.read("gold/chunks").where(F.col("index_version") == version)), run_id)
         n = lake.read("gold/chunks").where((F.col("index_version") == version) & (F.col("run_id") == run_id)).count()
         self.activate(version, now, model)
         return n
 
+    @staticmethod
+    def _lexical(chunks: DataFrame) -> DataFrame:
+        return chunks.withColumn("lexical", F.concat_ws(" ", "context", "text"))
+
+    def text_index(self, version: str) -> TextIndex:
+        """The inverted index of an index version; it grows by a segment for each run."""
+        return TextIndex(self.lake.spark, self.lake.path(f"gold/terms/{version}"))
+
     def versions(self) -> DataFrame:
         """The latest state of each version; states are appended, so activation rewrites nothing."""
         return silver.latest(self.lake.read("gold/versions"), ["index_version"], [F.desc("run_id")]).orderBy("created_at", "index_version")
@@ -226,13 +237,15 @@ class Pipeline:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {sorted(MODES)}, not {mode!r}")
         s = self.settings["search"]
-        index = self.lake.read("gold/chunks").where(F.col("index_version") == self.active())
-        pool = retrieval.filtered(index, **filters).withColumn("lexical", F.concat_ws(" ", "context", "text"))
+        version = self.active()
+        pool = retrieval.filtered(self.lake.read("gold/chunks").where(F.col("index_version") == version), **filters)
         asked = questions.withColumn("qvec", embed(F.col("qtext")))
-        # what is rare is a matter of all chunks of the version, filtered or not
-        n = index.count() if MODES[mode] == "rare" else None
-        found = retrieval.search(pool.select("chunk_id", "lexical", "embedding"), asked, s["candidates"] if mode == "rerank" else s["k"], MODES[mode], n)
-        hits = retrieval.materialize_hits(found, pool.drop("embedding", "lexical"))
+        # the terms come from the index of the version; what is rare is a matter of all its chunks, filtered or not
+        terms = self.text_index(version)
+        part = pool.select("chunk_id") if any(filters.values()) else None
+        n = terms.size() if MODES[mode] == "rare" else None
+        found = retrieval.search(pool.select("chunk_id", "embedding"), asked, s["candidates"] if mode == "rerank" else s["k"], MODES[mode], n, index=terms, part=part)
+        hits = retrieval.materialize_hits(found, pool.drop("embedding"))
         if mode == "rerank":
             # as for any hit, the score shown is the last one
             hits = retrieval.rerank(hits.join(questions, "query_id"), score, s["k"]).drop("score", "qtext", "first_rank").withColumnRenamed("rescored", "score")
@@ -240,7 +253,7 @@ class Pipeline:
         hits = materialize(hits, "hits")
         wide = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("page_start", "page_end", "ordinal")})
         places = wide(hits).dropDuplicates(["doc_id", "ordinal"]).drop("query_id", "rank", "score")
-        expanded = retrieval.expand(places, wide(pool.drop("embedding", "lexical")), s["window"])
+        expanded = retrieval.expand(places, wide(pool.drop("embedding")), s["window"])
         return hits.select("query_id", "rank", "score", "chunk_id").join(expanded, "chunk_id").join(questions, "query_id")
 
     def answer(self, questions: DataFrame, now: str | None = None, mode: str = "rerank", generate: Callable[[DataFrame], DataFrame] | None = None, model: str = "extractive", use_cache: bool = True, **filters) -> DataFrame:

@@ -6,8 +6,29 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 from docstrata.operators import evaluation, retrieval
+from docstrata.operators.cells import CellIndex
+from docstrata.operators.text_index import TextIndex
 from docstrata.plans.adapters import MANIFEST, ORACLES, TURNS, manifest, query, table, turns
-from docstrata.storage import materialize
+from docstrata.storage import exists, materialize, scratch
+
+# Index versions of the given tables: written at the first search of an application, and read by all that follow.
+_VERSIONS: dict[tuple[str, str, str], str] = {}
+
+
+def _version(spark, d, name, write):
+    """Where the named index version of the tables in ``d`` lies; ``write`` makes it if it is not there."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _VERSIONS or not exists(spark, _VERSIONS[key]):
+        path = scratch(spark, name)
+        write(path)
+        _VERSIONS[key] = path
+    return _VERSIONS[key]
+
+
+def _text_index(spark, d, name, chunks):
+    """The inverted index of ``chunks`` (chunk_id, lexical)."""
+    return TextIndex(spark, _version(spark, d, name, lambda path: TextIndex(spark, path, "bigint").add(chunks(), "first")), "bigint")
+
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
@@ -161,9 +182,13 @@ scores AS (SELECT a.query_id, t.chunk_id, round(sum(ln(1 + (s.n - f.df + 0.5) /
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM scores QUALIFY rank <= 50)"""
 
 
+def _document_index(spark, d):
+    return _text_index(spark, d, "document-terms", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("lexical")))
+
+
 def _lexical(spark, d, n=50):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.bm25_top(docs, retrieval.question_terms(_questions(spark, d)), n)
+    asked = retrieval.question_terms(_questions(spark, d))
+    return retrieval.bm25(_document_index(spark, d).postings(asked), asked, n)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM lexical WHERE rank <= 10")
@@ -192,6 +217,20 @@ def dense_topk_filtered(spark, d):
     return _dense(spark, d, 6, label=3, date_from=None).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def ann_topk(spark, d):
+    """The nearest by cells: approximate, with the number of probes that finds 0.95 of the nearest of a sample; tests hold it against dense_topk."""
+    rows = table(spark, d, "embeddings")
+
+    def write(path):
+        index = CellIndex(spark, path, "bigint")
+        index.add(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), "first")
+        index.tune()
+
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return CellIndex(spark, _version(spark, d, "vector-cells", write), "bigint").search(asked, 6).withColumn("rank", F.col("rank").cast("long"))
+
+
 LISTS = "a AS (SELECT item_id % 10 AS query_id, item_id AS chunk_id, row_number() OVER (PARTITION BY item_id % 10 ORDER BY length(text), item_id) AS rank FROM benchmark), b AS (SELECT item_id % 10 AS query_id, item_id AS chunk_id, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id DESC) AS rank FROM benchmark WHERE item_id % 3 > 0)"
 
 
@@ -217,10 +256,14 @@ def _asked(spark, d):
 
 
 def _search(spark, d, mode, k=6, **filters):
+    """Over the index version of the pool: its vectors and its terms are written once, and a search reads them."""
     pool = _pool(spark, d)
-    part = retrieval.filtered(pool, **filters)
-    vectors = part.select("chunk_id", "lexical", retrieval.hash_embedding(F.col("text")).alias("embedding"))
-    return retrieval.search(vectors, _asked(spark, d), k, mode, pool.count() if mode == "rare" else None)
+    made = _version(spark, d, "pool-vectors", lambda path: pool.select("chunk_id", "lang", "published_at", retrieval.hash_embedding(F.col("text")).alias("embedding")).write.parquet(path))
+    vectors = retrieval.filtered(spark.read.parquet(made), **filters)
+    index = _text_index(spark, d, "pool-terms", lambda: pool.select("chunk_id", "lexical")) if mode else None
+    part = vectors.select("chunk_id") if any(filters.values()) else None
+    asked = materialize(_asked(spark, d), "questions")
+    return retrieval.search(vectors, asked, k, mode, index.size() if mode == "rare" else None, index=index, part=part)
 
 
 def sql_vector(text: str) -> str:
@@ -408,6 +451,12 @@ def eval_percentiles(spark, d):
     return evaluation.percentiles_nearest(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "kind"), "kind", "o_totalprice", p50=50, p95=95)
 
 
+@query(f"WITH {DF} SELECT term, df FROM df")
+def index_terms(spark, d):
+    """Terms and their document frequencies from the inverted index."""
+    return _document_index(spark, d).frequency()
+
+
 @query(f"WITH {DF}, n AS (SELECT count(*) AS n FROM documents) SELECT greatest(25, floor(n * 0.005))::BIGINT AS threshold, count(*) AS terms, count(*) FILTER (df <= greatest(25, floor(n * 0.005))) AS rare FROM df, n GROUP BY 1")
 def rare_threshold(spark, d):
     docs = table(spark, d, "documents")

@@ -62,9 +62,10 @@ class Lake:
         schema, parts = SCHEMAS[table], PARTITIONS.get(table, ["run_id"])
         fresh.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(table))
 
-    def clear(self, table: str) -> None:
-        """Delete a staging table whose rows have been read."""
-        drop(self.spark, self.path(table))
+    def clear(self, table: str, run_id: str | None = None) -> None:
+        """Delete a staging table whose rows have been read, or only what one run has staged."""
+        part = f"/run_id={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)}" if run_id is not None else ""
+        drop(self.spark, self.path(table) + part)
 
     def chunks_of(self, version: str) -> DataFrame:
         """One chunk version: only its folder is read."""

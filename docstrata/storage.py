@@ -115,6 +115,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (file bytes for a scan); no job runs. Unknown sizes count as nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialized table that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
