@@ -55,7 +55,7 @@ def summary(ranks: DataFrame, k: int = 6) -> DataFrame:
 
 def report(rows: DataFrame, k: int = 6) -> DataFrame:
     """One row of an evaluation. rows: one for each question, with first, answer_rank, retrieval_ms, total_ms, and where there is an answer: answer_right, cited_expected,
-    read_tokens, written_tokens, input_tokens; ``error`` where the question failed, which counts for nothing else."""
+    read_tokens, written_tokens, input_tokens, and, if it was judged, judge_correct; ``error`` where the question failed, which counts for nothing else."""
     done = F.col("error").isNull()
     rate = lambda c: F.round(F.avg(F.when(done, F.coalesce(c, F.lit(False)).cast("double"))), 6)
     known = lambda c: F.round(F.avg(F.when(done & F.col(c).isNotNull(), F.col(c).cast("double"))), 6)
@@ -72,6 +72,7 @@ def report(rows: DataFrame, k: int = 6) -> DataFrame:
         F.round(F.avg(F.when(done, F.col("retrieval_ms"))), 6).alias("retrieval_ms_mean"),
         known("answer_right").alias("answer_acc"),
         known("cited_expected").alias("cited_expected_rate"),
+        *([known("judge_correct").alias("answer_acc_judged"), F.count_if(done & F.col("judge_correct").isNotNull()).alias("judge_graded")] if "judge_correct" in rows.columns else []),
         read.alias("read_tokens"),
         written.alias("written_tokens"),
         fresh.alias("uncached_input_tokens"),

@@ -258,10 +258,12 @@ def expand(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
 def rerank(hits: DataFrame, score: Callable[[DataFrame], Column], k: int, rank: str = "rank") -> DataFrame:
     """The k best hits of each query by another score; equal scores stay in the order of the first rank.
 
-    ``score`` gets the hits (with qtext, context, text) and returns a column: built-in functions or a pandas UDF.
+    ``score`` gets the hits (with qtext, context, text) and returns a column: built-in functions or a pandas UDF; or it is a BatchModel for pairs.
     """
-    rescored = hits.withColumn("rescored", score(hits)).withColumnRenamed(rank, "first_rank")
-    return top(rescored, k, F.desc("rescored"), F.asc("first_rank"), rank=rank)
+    from docstrata.operators.models import rescored
+
+    scored = rescored(hits, score).withColumnRenamed(rank, "first_rank")
+    return top(scored, k, F.desc("rescored"), F.asc("first_rank"), rank=rank)
 
 
 def overlap_score(hits: DataFrame) -> Column:

@@ -22,15 +22,18 @@ from docstrata.config import settings
 from docstrata.functions.text import cache_key, chunk_id, context_header, find_docket, index_version
 from docstrata.operators import evaluation, marts, pages, quality, retrieval, silver
 from docstrata.operators.chunking import Chunking, chunk_pages
+from docstrata.operators.models import BatchModel, embedded, judged, rescored
 from docstrata.operators.text_index import TextIndex
 from docstrata.sources import lake as lakes
-from docstrata.storage import materialize
+from docstrata.storage import exists, materialize
+from docstrata.streaming import marks
 
 log = logging.getLogger(__name__)
 MODES = {"dense": None, "hybrid": "exact", "rerank": "rare"}
 EXTRA = {
     "bronze/objects": "object_uri string, content binary, run_id string",
     "bronze/reports": "source string, status string, listed long, landed long, fetch_errors long, validated_at string, checks_json string, run_id string",
+    "bronze/runs": "source string, run_id string, status string, registered_at string",
     "bronze/failed": "record_key string, name string, run_id string",
     "staging/pages": "record_key string, page_no int, text string, tables array<string>, n_pages_total int, raw boolean, error string, run_id string",
     "gold/chunks": "index_version string, chunk_id string, doc_id string, ordinal int, chunk_type string, page_start int, page_end int, section string, text string, context string, source string, source_id string, title string, docket string, published_at string, url string, embedding array<double>, run_id string",
@@ -79,15 +82,18 @@ class Pipeline:
                 self.lake.append("bronze/failed", quality.failed_records(landed, ["record_key"], v["min_bytes"], v["max_bytes"]).withColumn("run_id", F.lit(run_id)))
                 self.lake.append("bronze/objects", self._fit(landed.where("duplicate_of IS NULL"), "bronze/objects"))
                 self.lake.append("bronze/manifest", self._fit(landed, "bronze/manifest"))
+            # last, so that a mark never moves before its records are there: a row for each source of the run
+            run = landed.groupBy("source").agg(F.max("registered_at").alias("registered_at")).select("source", F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), "registered_at")
+            self.lake.append("bronze/runs", run)
         finally:
             landed.unpersist()
         return counts
 
     def watermark(self) -> DataFrame:
-        """The high-water mark of each source: published batches have not failed."""
-        from docstrata.streaming.feed import high_water
-
-        return high_water(self.lake.read("bronze/manifest"), "source", "registered_at")
+        """The high-water mark of each source, moved by the runs that have passed since it was asked for last; the manifest is not read."""
+        if not exists(self.lake.spark, self.lake.path("bronze/runs")):
+            return marks.marks(self.lake.spark, self.lake.path("state/marks"))
+        return marks.advance(self.lake.spark, self.lake.path("bronze/runs"), self.lake.path("state/marks"))
 
     # silver
     def silver(self, run_id: str, now: str) -> dict:
@@ -174,7 +180,7 @@ class Pipeline:
         return marts.pipeline_health(self.lake.read("bronze/manifest").select("*", key), self.lake.read("silver/documents"), self.lake.read("silver/quarantine"))
 
     # gold
-    def gold(self, run_id: str, now: str, model: str = "hash-64", embed: Callable[[Column], Column] = retrieval.hash_embedding) -> int:
+    def gold(self, run_id: str, now: str, model: str = "hash-64", embed: Callable[[Column], Column] | BatchModel = retrieval.hash_embedding) -> int:
         """Embed and index the chunks that the version lacks; then the version is active. Returns how many were new.
 
         Texts that the model has embedded before, for whatever version, are taken from the cache.
@@ -186,7 +192,7 @@ class Pipeline:
         read = F.concat_ws("\n", F.nullif("context", F.lit("")), "text")
         fresh = rows.join(have, ["index_version", "chunk_id"], "left_anti").withColumn("embedded", read).withColumn("text_hash", F.sha2("embedded", 256))
         missing = retrieval.cache_misses(fresh.select("text_hash", F.col("embedded").alias("text")), lake.read("gold/embeddings"), model)
-        new = missing.select(F.lit(model).alias("model"), "text_hash", embed(F.col("text")).alias("embedding"), F.lit(run_id).alias("run_id"))
+        new = embedded(missing, embed, "text").select(F.lit(model).alias("model"), "text_hash", "embedding", F.lit(run_id).alias("run_id"))
         lake.merge("gold/embeddings", self._fit(new, "gold/embeddings"), ["model", "text_hash"])
         vectors = lake.read("gold/embeddings").where(F.col("model") == model).select("text_hash", "embedding")
         indexed = fresh.join(vectors, "text_hash").withColumn("run_id", F.lit(run_id))
@@ -228,7 +234,7 @@ class Pipeline:
             raise ValueError("no index version is active")
         return found["index_version"]
 
-    def search(self, questions: DataFrame, embed: Callable[[Column], Column] = retrieval.hash_embedding, mode: str = "rerank", score: Callable[[DataFrame], Column] = retrieval.overlap_score, **filters) -> DataFrame:
+    def search(self, questions: DataFrame, embed: Callable[[Column], Column] | BatchModel = retrieval.hash_embedding, mode: str = "rerank", score: Callable[[DataFrame], Column] | BatchModel = retrieval.overlap_score, **filters) -> DataFrame:
         """questions: query_id, qtext. Hits of the active version with their neighbours.
 
         ``dense`` ranks by vectors alone, ``hybrid`` fuses them with the codes of a question, ``rerank`` takes candidates from vectors and
@@ -239,7 +245,7 @@ class Pipeline:
         s = self.settings["search"]
         version = self.active()
         pool = retrieval.filtered(self.lake.read("gold/chunks").where(F.col("index_version") == version), **filters)
-        asked = questions.withColumn("qvec", embed(F.col("qtext")))
+        asked = embedded(questions, embed, "qtext", "qvec")
         # the terms come from the index of the version; what is rare is a matter of all its chunks, filtered or not
         terms = self.text_index(version)
         part = pool.select("chunk_id") if any(filters.values()) else None
@@ -310,37 +316,70 @@ class Pipeline:
     def documents(self, contains: str = "", most: int = 100) -> DataFrame:
         return marts.document_search(self.lake.read("silver/documents"), contains, most)
 
-    def evaluate(self, golden: DataFrame, mode: str = "rerank", name: str = "dev", now: str | None = None) -> dict:
+    def evaluate(self, golden: DataFrame, mode: str = "rerank", name: str = "dev", now: str | None = None, generate: Callable[[DataFrame], DataFrame] | None = None, judge: BatchModel | None = None) -> dict:
         """golden: id, question, expected_source_ids, answer_contains. The report is written as JSON and as Markdown below eval/.
 
-        All questions are searched and answered as one batch after a first one that warms up; a question's time is its share of the batch's.
+        Questions are asked one after another, after a first one that warms up, and each is timed: a golden set is written by hand. One
+        that fails is an error of its own and counts for nothing else; after three failures in a row the rest is left.
+        ``generate`` as for ``answer``; it may also give read_tokens, written_tokens and input_tokens. ``judge`` grades answers beside the exact match.
         """
-        asked = golden.select(F.xxhash64("id").alias("query_id"), "id", F.col("question").alias("qtext"))
-        queries = asked.select("query_id", "qtext")
-        self.search(queries.limit(1), mode=mode).count()
-        n, begin = max(1, queries.count()), time.monotonic()
-        found = materialize(self.search(queries, mode=mode), "eval-hits")
-        searched = time.monotonic()
-        answers = materialize(retrieval.extractive_answer(found.select("query_id", "qtext", F.col("rank").alias("n"), "context_text")), "eval-answers")
-        told = time.monotonic()
-        results = found.join(asked.select("query_id", "id"), "query_id").select(F.col("id").alias("question_id"), "rank", "source_id", F.col("context_text").alias("context"))
-        expected = golden.select(F.col("id").alias("question_id"), F.explode("expected_source_ids").alias("source_id"))
-        needles = golden.select(F.col("id").alias("question_id"), F.explode("answer_contains").alias("needle"))
-        first, evidence = evaluation.first_ranks(results, expected), evaluation.needle_ranks(results, needles)
-        said = answers.join(asked, "query_id").select(F.col("id").alias("question_id"), F.lit(1).alias("rank"), F.col("answer").alias("context"), "cited")
-        right = evaluation.needle_ranks(said, needles).select("question_id", F.col("answer_rank").isNotNull().alias("answer_right"))
-        cited = said.select("question_id", F.explode("cited").alias("rank")).join(results, ["question_id", "rank"]).join(expected, ["question_id", "source_id"], "left_semi").select("question_id").distinct().withColumn("cited_expected", F.lit(True))
-        rows = golden.select(F.col("id").alias("question_id"), "question").join(first, "question_id", "left").join(evidence, "question_id", "left").join(right, "question_id", "left").join(cited, "question_id", "left")
-        none = F.lit(None).cast("long")
-        rows = rows.withColumns({"cited_expected": F.coalesce("cited_expected", F.lit(False)), "retrieval_ms": F.lit((searched - begin) * 1000 / n), "total_ms": F.lit((told - begin) * 1000 / n), "error": F.lit(None).cast("string"), "read_tokens": none, "written_tokens": none, "input_tokens": none})
-        rows = materialize(rows, "eval-rows")
+        spark, asked = self.lake.spark, [(r["id"], r["question"]) for r in golden.orderBy("id").select("id", "question").collect()]
+        one = lambda i, text: spark.createDataFrame([(i, text)], "query_id long, qtext string")
+        found, said, lines, failures = [], [], [], 0
+        for i, (key, text) in enumerate([*asked[:1], *asked]):
+            row = {"question_id": key, "error": None, "retrieval_ms": None, "total_ms": None, "read_tokens": None, "written_tokens": None, "input_tokens": None}
+            begin = time.monotonic()
+            try:
+                hits = self.search(one(i, text), mode=mode).collect()  # k rows
+                row["retrieval_ms"] = (time.monotonic() - begin) * 1000
+                docs = spark.createDataFrame([(i, text, h["rank"], h["context_text"]) for h in hits], "query_id long, qtext string, n int, context_text string")
+                told = [r.asDict() for r in (generate or retrieval.extractive_answer)(docs).collect()]
+                row["total_ms"] = (time.monotonic() - begin) * 1000
+                if any(t.get("degraded") for t in told):
+                    raise RuntimeError("the answer is a fallback")
+                failures = 0
+            except Exception as e:
+                hits, told, failures = [], [], failures + 1
+                row["error"] = repr(e)[:300]
+            if not i:  # the warm-up
+                failures = 0
+                continue
+            for t in told:
+                row |= {k: t.get(k) for k in ("read_tokens", "written_tokens", "input_tokens")}
+                said.append((key, t["answer"], t["cited"]))
+            found += [(key, h["rank"], h["source_id"], h["context_text"]) for h in hits]
+            lines.append(row)
+            if failures == 3:
+                break
+        timed = spark.createDataFrame([tuple(r.values()) for r in lines], "question_id string, error string, retrieval_ms double, total_ms double, read_tokens long, written_tokens long, input_tokens long")
+        results = spark.createDataFrame(found, "question_id string, rank int, source_id string, context string")
+        answers = spark.createDataFrame(said, "question_id string, answer string, cited array<int>")
+        rows = materialize(self._graded(golden, timed, results, answers, judge), "eval-rows")
         summary = {"set": name, "mode": mode, "index_version": self.active(), **evaluation.report(rows, self.settings["search"]["k"]).first().asDict()}
-        lines = [r.asDict() for r in rows.orderBy("question_id").collect()]  # a golden set is written by hand
+        shown = [r.asDict() for r in rows.orderBy("question_id").collect()]
+        if all(r["error"] for r in shown) and shown:
+            raise RuntimeError(f"every question failed; first error: {shown[0]['error']}")
         stamp = (now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).replace(":", "").replace("-", "")
-        self.lake.write_text(json.dumps({"summary": summary, "rows": lines}, indent=2, default=str), f"eval/{stamp}_{mode}_{name}.json")
-        self.lake.write_text(evaluation.to_markdown(summary, lines, f"{mode} on {name}"), f"eval/latest_{mode}_{name}.md")
+        self.lake.write_text(json.dumps({"summary": summary, "rows": shown}, indent=2, default=str), f"eval/{stamp}_{mode}_{name}.json")
+        self.lake.write_text(evaluation.to_markdown(summary, shown, f"{mode} on {name}"), f"eval/latest_{mode}_{name}.md")
         return summary
 
+    @staticmethod
+    def _graded(golden: DataFrame, timed: DataFrame, results: DataFrame, answers: DataFrame, judge: BatchModel | None) -> DataFrame:
+        """A row for each question that was asked: ranks, whether the answer holds a phrase and cites an expected source, and the judge's verdict."""
+        questions = golden.select(F.col("id").alias("question_id"), "question", "expected_source_ids", "answer_contains")
+        expected = questions.select("question_id", F.explode("expected_source_ids").alias("source_id"))
+        needles = questions.select("question_id", F.explode("answer_contains").alias("needle"))
+        ranks = evaluation.first_ranks(results, expected).join(evaluation.needle_ranks(results, needles), "question_id", "full")
+        said = answers.select("question_id", F.lit(1).alias("rank"), F.col("answer").alias("context"))
+        right = evaluation.needle_ranks(said, needles).select("question_id", F.col("answer_rank").isNotNull().alias("answer_right"))
+        cited = answers.select("question_id", F.explode("cited").alias("rank")).join(results, ["question_id", "rank"]).join(expected, ["question_id", "source_id"], "left_semi").select("question_id", F.lit(True).alias("cited_expected")).distinct()
+        rows = timed.join(questions.select("question_id", "question"), "question_id").join(ranks, "question_id", "left").join(right, "question_id", "left").join(cited, "question_id", "left").withColumn("cited_expected", F.coalesce("cited_expected", F.lit(False)))
+        if judge is None:
+            return rows
+        asked = questions.select("question_id", "question", F.array_join("answer_contains", "\n").alias("reference")).join(answers.select("question_id", "answer"), "question_id")
+        return rows.join(judged(asked, judge).select("question_id", "judge_correct", "judge_reason"), "question_id", "left")
+
     def run(self, listed: DataFrame, run_id: str, now: str, checked: bool = True, retries: int = 2) -> dict:
         """All steps, each after the ones that it needs; a failed batch or a broken rule stops before the index is touched. A step that fails otherwise is tried again."""
         bronze = attempt(lambda: self.ingest(listed, run_id, now), retries)
@@ -356,8 +395,16 @@ class Pipeline:
         A poll that fails is left to the next one: every step may be done again. The rules of the silver tables are left to the daily run.
         """
         stop = stop or threading.Event()
-        if threading.current_thread() is threading.main_thread():
-            signal.signal(signal.SIGTERM, lambda *_: stop.set())
+        main, before = threading.current_thread() is threading.main_thread(), None
+        if main:
+            before = signal.signal(signal.SIGTERM, lambda *_: stop.set())
+        try:
+            return self._polls(poll, every, once, stop)
+        finally:
+            if main:
+                signal.signal(signal.SIGTERM, before)
+
+    def _polls(self, poll: Callable[[], DataFrame | None], every: float, once: bool, stop: threading.Event) -> int:
         polls = 0
         while not stop.is_set():
             begin, polls = time.monotonic(), polls + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import evaluation, retrieval
+from docstrata.operators import evaluation, models, retrieval
 from docstrata.operators.cells import CellIndex
 from docstrata.operators.text_index import TextIndex
 from docstrata.plans.adapters import MANIFEST, ORACLES, TURNS, manifest, query, table, turns
@@ -438,6 +438,30 @@ def eval_summary(spark, d):
     return evaluation.summary(_firsts(spark, d))
 
 
+@query(f"""WITH {ANSWER}, {EXPECTED}, right_ AS (SELECT q.query_id, coalesce(contains({sql_squeeze("lower(t.answer)")}, {sql_squeeze("lower(b.text)")}), false) AS answer_right FROM (SELECT DISTINCT query_id FROM reranked) q JOIN benchmark b ON b.item_id = q.query_id LEFT JOIN told t USING (query_id)),
+cites AS (SELECT DISTINCT r.query_id FROM told t JOIN reranked r ON r.query_id = t.query_id AND list_contains(t.cited, r.n::INT) JOIN expected e ON e.question_id = r.query_id AND e.source_id = r.chunk_id)
+SELECT count(*) AS n_questions, round(avg(answer_right::INT), 6) AS answer_acc, round(avg((c.query_id IS NOT NULL)::INT), 6) AS cited_expected_rate FROM right_ LEFT JOIN cites c USING (query_id)""")
+def eval_answers(spark, d):
+    """Whether extracted answers hold the item, and whether they cite a document that does."""
+    hits = materialize(_reranked(spark, d), "hits")
+    answers = retrieval.extractive_answer(hits.select("query_id", "qtext", F.col("rank").alias("n"), F.col("text").alias("context_text"))).withColumnRenamed("query_id", "question_id")
+    items = _questions(spark, d).select(F.col("query_id").alias("question_id"), F.col("qtext").alias("needle"))
+    said = answers.select("question_id", F.lit(1).alias("rank"), F.col("answer").alias("context"))
+    right = evaluation.needle_ranks(said, items).select("question_id", F.col("answer_rank").isNotNull().alias("answer_right"))
+    cited = answers.select("question_id", F.explode("cited").alias("rank")).join(hits.select(F.col("query_id").alias("question_id"), "rank", F.col("chunk_id").alias("source_id")), ["question_id", "rank"])
+    cites = cited.join(_expected(spark, d), ["question_id", "source_id"], "left_semi").select("question_id", F.lit(True).alias("cited_expected")).distinct()
+    rows = answers.select("question_id").join(right, "question_id", "left").join(cites, "question_id", "left").withColumn("cited_expected", F.coalesce("cited_expected", F.lit(False)))
+    nothing = {c: F.lit(None).cast("long") for c in ("first", "answer_rank", "retrieval_ms", "total_ms", "read_tokens", "written_tokens", "input_tokens")}
+    return evaluation.report(rows.withColumns({**nothing, "error": F.lit(None).cast("string")})).select("n_questions", "answer_acc", "cited_expected_rate")
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({sql_vector('text')}, lambda x: (x * 1000000)::BIGINT), ',') AS vector FROM documents")
+def batched_embedding(spark, d):
+    """Vectors of whole documents by a model class behind Arrow batches, in millionths."""
+    made = models.embedded(table(spark, d, "documents").select("doc_id", "text"), models.BatchModel("hash-64", models.HashEmbedder), "text")
+    return made.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.bround(x * 1_000_000).cast("long")), ",").alias("vector"))
+
+
 @query(f"WITH {BM25} SELECT b.item_id AS question_id, min(l.rank) FILTER (contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))) AS answer_rank FROM benchmark b LEFT JOIN lexical l ON l.query_id = b.item_id AND l.rank <= 6 LEFT JOIN documents d ON d.doc_id = l.chunk_id GROUP BY 1")
 def eval_answer_hits(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("context"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.plans.adapters import query, table
-from docstrata.streaming import feed
+from docstrata.sources import paged
+from docstrata.streaming import feed, marks
 
 
 def _events(spark, d):
@@ -49,3 +51,42 @@ def stream_microbatch_outcome(spark, d):
     for attempt in ("first", "again"):
         feed.micro_batches(_events(spark, d).where("user_id % 5 > 0"), handle, f"{path}/{attempt}").awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _listing(spark, d):
+    """The events as a listing is kept: a folder for each day, a page for each 1,000."""
+    path = feed.scratch(spark, "listing")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    place = F.row_number().over(Window.partitionBy("registered").orderBy("event_id")) - 1
+    hit = F.to_json(F.struct(F.col("event_id").alias("Uri"), F.col("event_type").alias("Kind")))
+    paged.store_pages(table(spark, d, "events").select(day.alias("registered"), "event_id", hit.alias("hit")).withColumn("place", place), path, 1000)
+    return path
+
+
+def _decoded(hits):
+    h = F.from_json("hit", "Uri bigint, Kind string").alias("h")
+    return hits.select("registered", h).select("registered", F.col("h.Uri").alias("event_id"), F.col("h.Kind").alias("event_type"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS registered, event_id, event_type FROM events WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'")
+def listing_pages_window(spark, d):
+    """A window of days of a paged listing: the source opens its pages only."""
+    return _decoded(paged.window(spark, _listing(spark, d), "2024-01-10", "2024-01-12"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS registered, event_id, event_type FROM events")
+def listing_pages_stream(spark, d):
+    """The same listing as a stream of pages, run twice: what was taken is not taken again."""
+    path, out = _listing(spark, d), feed.scratch(spark, "followed")
+    for _ in range(2):
+        rows = feed.drain(paged.follow(spark, path), out)
+    return _decoded(rows)
+
+
+@query("SELECT event_type AS source, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS high_water FROM events WHERE user_id % 7 <> 2 GROUP BY 1")
+def stream_marks(spark, d):
+    """High-water marks as keyed state, moved by every event as a run of its user; runs of every seventh user have failed."""
+    runs = table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("run_id"), F.when(F.col("user_id") % 7 == 2, "failed").otherwise("passed").alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("registered_at"))
+    path = feed.scratch(spark, "runs")
+    runs.write.parquet(f"{path}/runs")
+    return marks.advance(spark, f"{path}/runs", f"{path}/state")
