@@ -50,6 +50,40 @@ def page_ranges(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.where("page_start < 1 OR page_end < page_start OR page_end > n_pages").select("chunk_id")
 
 
+def suite(documents: DataFrame, chunks: DataFrame, manifest: DataFrame, most_tokens: int, fewest_tokens: int = 0) -> DataFrame:
+    """rule, broken: how much breaks each rule of the silver tables, in one pass over each table.
+
+    documents: doc_id, record_key, text_hash, status, n_pages; chunks, of one version or of more: chunk_config_version, chunk_id, doc_id, page_start, page_end,
+    n_tokens; manifest: record_key. Chunks are counted by id and then by document, and documents meet the counts once; the verdicts are
+    those of the single tests above. A null counts as one more value where values have to be unique.
+    """
+    bad_range = (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start"))
+    bad_tokens = (F.col("n_tokens") <= fewest_tokens) | (F.col("n_tokens") > most_tokens)
+    by_id = chunks.groupBy("chunk_config_version", "chunk_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.count_if(bad_range).alias("ranges"), F.max("page_end").alias("last"), F.count_if(bad_tokens).alias("tokens"))
+    by_doc = by_id.groupBy("doc_id").agg(F.sum("n").alias("chunks"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("ranges").alias("ranges"), F.max("last").alias("last"), F.sum("tokens").alias("tokens"), F.count_distinct("chunk_config_version").alias("versions"))
+    known = manifest.select(F.col("record_key").alias("known_key")).distinct()
+    docs = documents.select("doc_id", "record_key", "text_hash", "status", "n_pages", F.lit(True).alias("is_doc"))
+    met = docs.join(by_doc, "doc_id", "full").join(known, F.col("record_key") == F.col("known_key"), "left").withColumn("is_doc", F.coalesce("is_doc", F.lit(False)))
+    is_doc, ok = F.col("is_doc"), F.col("is_doc") & (F.col("status") == "ok")
+    value = lambda c: F.coalesce(F.col(c), F.lit("\0"))
+    total = lambda c, where=F.lit(True): F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    counts = {
+        "record_key is unique": F.count_if(is_doc) - F.count_distinct(F.when(is_doc, value("record_key"))),
+        "one ok document for a text": F.count_if(ok) - F.count_distinct(F.when(ok, value("text_hash"))),
+        "status is known": F.count_if(is_doc & ~F.col("status").isin("ok", "duplicate")),
+        "n_pages of ok documents": F.count_if(ok & F.col("n_pages").isNull()),
+        "documents have a record": F.count_if(is_doc & F.col("record_key").isNotNull() & F.col("known_key").isNull()),
+        "chunk ids are unique": total("repeated"),
+        "chunks have a document": total("chunks", ~is_doc & F.col("doc_id").isNotNull()),
+        # without any chunk there is no version that could lack some
+        "ok documents have chunks": F.when(total("chunks") > 0, F.count_if(ok & (F.coalesce("versions", F.lit(0)) < F.lit(1)))).otherwise(0),
+        "page ranges": F.count_if(ok & ((F.col("ranges") > 0) | (F.col("last") > F.col("n_pages")))),
+        "token bounds": total("tokens"),
+    }
+    one = met.agg(*(c.cast("long").alias(name) for name, c in counts.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("broken")) for name in counts))).alias("r")).select("r.*")
+
+
 def required_fields(fields: list[str] | None = None) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNull() | (F.col(c).cast("string") == "") for c in fields or REQUIRED))
 

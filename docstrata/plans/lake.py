@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docstrata.operators import marts, quality, registry, silver
 from docstrata.plans.adapters import CHUNKS, MANIFEST, RAW_CHUNKS, SILVER, accepted, chunks, manifest, quarantine, query, raw_chunks, table
 from docstrata.plans.adapters import silver as silver_rows
+from docstrata.storage import materialize
 
 
 @query(f"WITH {SILVER} SELECT source, count(*) AS landed, count(*) FILTER (status = 'ok') AS parsed_ok, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'quarantined') AS quarantined, round(count(*) FILTER (status = 'quarantined') / count(*)::DOUBLE, 4) AS quarantine_rate FROM silver GROUP BY source")
@@ -170,6 +171,19 @@ def dq_quarantine_rate(spark, d):
     return silver.outcome(silver_rows(spark, d), "run_id").where("quarantine_rate > 0.03").select("run_id", "quarantine_rate")
 
 
+@query(f"""WITH {SILVER}, {CHUNKS}, docs AS (SELECT * FROM silver WHERE status <> 'quarantined'), ok AS (SELECT * FROM docs WHERE status = 'ok'),
+by_doc AS (SELECT doc_id, max(page_end) AS last, count(*) FILTER (page_start < 1 OR page_end < page_start) AS ranges FROM chunks GROUP BY 1)
+SELECT unnest(['record_key is unique', 'one ok document for a text', 'status is known', 'n_pages of ok documents', 'documents have a record', 'chunk ids are unique', 'chunks have a document', 'ok documents have chunks', 'page ranges', 'token bounds']) AS rule,
+  unnest([(SELECT count(*) - count(DISTINCT record_key) FROM docs), (SELECT count(*) - count(DISTINCT text_hash) FROM ok), (SELECT count(*) FROM docs WHERE status NOT IN ('ok', 'duplicate')), (SELECT count(*) FROM ok WHERE n_pages IS NULL),
+  (SELECT count(*) FROM docs WHERE record_key NOT IN (SELECT record_key FROM manifest WHERE NOT bad)), (SELECT count(*) FROM (SELECT 1 FROM chunks GROUP BY chunk_config_version, chunk_id HAVING count(*) > 1)),
+  (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs)), (SELECT count(*) FROM ok WHERE doc_id NOT IN (SELECT doc_id FROM chunks)), (SELECT count(*) FROM ok JOIN by_doc b USING (doc_id) WHERE b.ranges > 0 OR b.last > n_pages),
+  (SELECT count(*) FROM chunks WHERE n_tokens <= 0 OR n_tokens > 100)])::BIGINT AS broken""")
+def dq_suite(spark, d):
+    """All rules of the silver tables in one pass over each, as the gate of a run has them."""
+    rows = materialize(silver_rows(spark, d).where("status <> 'quarantined'").select("doc_id", "record_key", "text_hash", "status", "n_pages"), "silver")
+    return quality.suite(rows, chunks(spark, d), manifest(spark, d).where("NOT bad").select("record_key"), 100)
+
+
 # checks of a landed batch
 @query("SELECT doc_id FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '' ELSE lang END AS kind FROM documents) WHERE source IS NULL OR kind IS NULL OR kind = ''")
 def val_required(spark, d):

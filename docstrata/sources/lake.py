@@ -6,11 +6,13 @@ Appends are idempotent without a table format: a run's rows replace what the sam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import quote, unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstrata.storage import drop, exists, write_text
+from docstrata.storage import drop, exists, materialize, names_in, write_text
 
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
@@ -30,6 +32,15 @@ SCHEMAS = {
     "silver/quarantine": _schema("record_key source source_id sha256 object_uri stage reason run_id quarantined_at"),
 }
 PARTITIONS = {"silver/chunks": ["chunk_config_version", "run_id"]}
+# Tables that a run writes together, and readers see together.
+TOGETHER = ["bronze/failed", "bronze/objects", "bronze/manifest"]
+# Tables that are merged into by a key: folders by a hash of it, so that a merge reads those of its own keys.
+BUCKETED = {"gold/embeddings": "text_hash", "gold/answers": "key"}
+BUCKETS = 64
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class Lake:
@@ -47,20 +58,62 @@ class Lake:
         # only a folder that is not there is an empty table; a broken one is an error
         found = exists(self.spark, self.path(table))
         df = self.spark.read.schema(schema).parquet(self.path(table)) if found else self.spark.createDataFrame([], schema)
+        if table in TOGETHER and (open_runs := self.open_runs()):
+            df = df.where(~F.col("run_id").isin(open_runs))
         return df.select(*columns) if columns else df.select(*schema.names)
 
+    # runs that write several tables: a mark that one has begun hides its rows, and goes when all are there
+    def open_runs(self) -> list[str]:
+        """Runs that have begun and are not committed: those that write now, and those that were lost."""
+        return [unquote(n.removesuffix(".open")) for n in names_in(self.spark, self.path("_runs")) if n.endswith(".open")]
+
+    def begin(self, run_id: str) -> None:
+        """From now on the run's rows in the tables written together are not seen; what a lost attempt has left goes."""
+        write_text(self.spark, self.path(f"_runs/{quote(run_id, safe='')}.open"), "")
+        self._sweep(run_id)
+
+    def commit(self, run_id: str) -> None:
+        """All of the run's rows are seen, by the deletion of one small file."""
+        drop(self.spark, self.path(f"_runs/{quote(run_id, safe='')}.open"))
+
+    def _sweep(self, run_id: str) -> None:
+        for table in TOGETHER:
+            self.clear(table, run_id)
+
+    def sweep(self, running: tuple[str, ...] = ()) -> list[str]:
+        """Delete what lost runs have left; returns their names. ``running``: runs that write now."""
+        lost = [r for r in self.open_runs() if r not in running]
+        for run_id in lost:
+            self._sweep(run_id)
+            self.commit(run_id)
+        return lost
+
     def append(self, table: str, rows: DataFrame) -> None:
         """Write a run's rows; run again, they replace themselves. Empty frames leave a readable empty table."""
         schema, parts = SCHEMAS[table], PARTITIONS.get(table, ["run_id"])
         fitted = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+        if table in BUCKETED:
+            raise ValueError(f"{table} is merged into, not appended to")
         fitted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(self.path(table))
 
     def merge(self, table: str, rows: DataFrame, keys: list[str]) -> None:
-        """Insert the rows whose keys are not there yet; nothing is updated."""
-        present = self.read(table, *keys)
-        fresh = rows.dropDuplicates(keys).join(present, keys, "left_anti")
+        """Insert the rows whose keys are not there yet; nothing is updated. A bucketed table is read in the buckets of these rows only."""
         schema, parts = SCHEMAS[table], PARTITIONS.get(table, ["run_id"])
-        fresh.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(table))
+        fitted = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+        by = BUCKETED.get(table)
+        if by is None:
+            fresh = fitted.dropDuplicates(keys).join(self.read(table, *keys), keys, "left_anti")
+        else:
+            parts = ["key_bucket", *parts]
+            own = materialize(fitted.dropDuplicates(keys).withColumn("key_bucket", bucket_of(F.col(by))), "merge")
+            touched = [r["key_bucket"] for r in own.select("key_bucket").distinct().collect()]  # BUCKETS at most
+            fresh = own.join(self.in_buckets(table, touched).select(*keys), keys, "left_anti")
+        fresh.write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(self.path(table))
+
+    def in_buckets(self, table: str, buckets: list[int]) -> DataFrame:
+        """A bucketed table's rows in the folders of these buckets; other folders are not listed among the files to read."""
+        schema = T.StructType([*SCHEMAS[table], T.StructField("key_bucket", _I)])
+        return self.read(table, schema=schema).where(F.col("key_bucket").isin(buckets))
 
     def clear(self, table: str, run_id: str | None = None) -> None:
         """Delete a staging table whose rows have been read, or only what one run has staged."""

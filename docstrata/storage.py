@@ -42,6 +42,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; one that is not there has none."""
+    target, files = _path(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, written over."""
     target, files = _path(spark, path)
