@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.functions.text import squeeze
 
-RANGES = 1024
+RANGES = 128
 
 
-def percentiles_nearest(rows: DataFrame, by: str, value: str, **percents: float) -> DataFrame:
-    """Nearest-rank percentiles of a column (half ranks to even), one column for each name.
+def percentiles_nearest(rows: DataFrame, by: str, value: str, ranges: int = RANGES, **percents: float) -> DataFrame:
+    """Nearest-rank percentiles of a numeric column (half ranks to even), one column for each name; exact.
 
-    Equal values of a group are counted first, and the counts are added up in ranges of values: a group of any size is
-    dealt out, and what is gathered for it is one row for each range.
+    Equal values of a group are counted first. A sketch of the different values (quantiles of those of each group, merged from all tasks)
+    cuts them into ranges that hold about as many each, wherever the values crowd; counts by range tell which range holds a rank,
+    and values are put in order in those ranges only. What is gathered for a group is a row for each range, and what one task orders is a part of about 1/``ranges`` of it.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    # some ranges of equal width for each group, of its own least and greatest value
-    ends = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_n"))
-    share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
-    ranged = counts.join(ends, by).withColumn("_range", F.coalesce(F.floor(share * RANGES), F.lit(0)))
-    below = ranged.groupBy(by, "_range").agg(F.sum("_c").alias("_sum")).withColumn("_before", F.sum("_sum").over(Window.partitionBy(by).orderBy("_range")) - F.col("_sum")).drop("_sum")
-    within = F.sum("_c").over(Window.partitionBy(by, "_range").orderBy(value))
-    ranked = ranged.withColumn("_upto", within).join(below, [by, "_range"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    # the sketch and the number of rows of each group; both are merged from partial ones
+    sketch = counts.groupBy(by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], F.lit(10 * ranges)).alias("_cuts"), F.sum("_c").alias("_n"))
+    ranged = counts.join(sketch, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = ranged.groupBy(by, "_range").agg(F.sum("_c").alias("_sum"), F.max("_n").alias("_n"))
+    below = sums.withColumn("_upto", F.sum("_sum").over(Window.partitionBy(by).orderBy("_range"))).withColumn("_before", F.col("_upto") - F.col("_sum"))
     place = lambda p: F.bround(F.lit(p / 100) * (F.col("_n") - 1)).cast("long") + 1
-    holds = lambda p: (place(p) <= F.col("_upto")) & (place(p) > F.col("_upto") - F.col("_c"))
-    return ranked.groupBy(by).agg(*(F.max(F.when(holds(p), F.col(value))).alias(name) for name, p in percents.items()))
+    within = lambda p, a, b: (place(p) > a) & (place(p) <= b)
+    wanted = below.where(reduce(lambda a, b: a | b, (within(p, F.col("_before"), F.col("_upto")) for p in percents.values()))).select(by, "_range", "_before")
+    here = F.sum("_c").over(Window.partitionBy(by, "_range").orderBy(value))
+    ranked = ranged.join(wanted, [by, "_range"]).withColumn("_upto", here + F.col("_before"))
+    return ranked.groupBy(by).agg(*(F.max(F.when(within(p, F.col("_upto") - F.col("_c"), F.col("_upto")), F.col(value))).alias(name) for name, p in percents.items()))
 
 
 def first_ranks(results: DataFrame, expected: DataFrame) -> DataFrame:

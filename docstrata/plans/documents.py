@@ -75,6 +75,17 @@ def chunk_greedy(spark, d):
     return chunking.chunk_lines(docs, chunking.Chunking(max_tokens=120, overlap_tokens=20))
 
 
+@query()
+def chunk_pages_sql(spark, d):
+    """The same chunks by a table function in SQL; tests hold the two against each other."""
+    from docstrata.sources import table_functions
+
+    table_functions.register(spark, chunking.Chunking(max_tokens=120, overlap_tokens=20))
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), F.concat_ws("\n", F.lit("1. First Findings"), "text", F.lit("2. Closing Order"), F.substring("text", 1, 400)).alias("text"))
+    pages.with_headings(docs).select("doc_id", "page_no", "text", "headings").createOrReplaceTempView("pages_to_chunk")
+    return spark.sql("SELECT * FROM chunk_pages(TABLE(pages_to_chunk) PARTITION BY doc_id ORDER BY page_no)")
+
+
 ORDER_TABLES = r"""WITH RECURSIVE lines AS (SELECT o_custkey::VARCHAR AS doc_id, '| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_totalprice || ' |' AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 counted AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS n FROM lines),
 packed AS (SELECT doc_id, i, line, 0 AS part, 8 + n AS total FROM counted WHERE i = 1

@@ -6,6 +6,7 @@ before does nothing, and one that failed is run again. A batch that fails valida
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import signal
@@ -13,6 +14,7 @@ import threading
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -65,7 +67,9 @@ class Pipeline:
             failed = errors.withColumn("error", F.substring("error", 1, 500)).withColumn("failed_at", F.lit(now)).withColumn("run_id", F.lit(run_id))
             self.lake.append("bronze/fetch_errors", self._fit(failed, "bronze/fetch_errors"))
             fetch_errors += errors.count()
-        fresh = silver.new_listings(listed, self.lake.read("bronze/manifest"), ["source", "source_id"], ["registered_at"])
+        # a run that is done again lands what it has landed before, in its place
+        known = self.lake.read("bronze/manifest").where(F.col("run_id") != run_id)
+        fresh = silver.new_listings(listed, known, ["source", "source_id"], ["registered_at"])
         landed = lakes.land(fresh, run_id, now[:10]).withColumn("fetched_at", F.lit(now)).withColumn("record_key", F.concat_ws(":", "source", "source_id")).cache()
         try:
             counts = {"listed": listed.count(), "landed": landed.count()}
@@ -99,7 +103,8 @@ class Pipeline:
         return marks.advance(self.lake.spark, self.lake.path("bronze/runs"), self.lake.path("state/marks"))
 
     # silver
-    def silver(self, run_id: str, now: str) -> dict:
+    def silver(self, run_id: str, now: str, chunk: bool = True) -> dict:
+        """Parse and route what is new; with ``chunk``, cut it into chunks, too."""
         s, lake = self.settings["silver"], self.lake
         key = F.concat_ws(":", "source", "source_id")
         listed = lake.read("bronze/manifest").withColumn("record_key", key)
@@ -137,7 +142,7 @@ class Pipeline:
         watched = self._fit(docs, "silver/documents").observe(seen, F.count_if(status == "ok").alias("ok"), F.count_if(status == "duplicate").alias("duplicate"), F.count_if((status == "ok") & F.col("n_pages").isNull()).alias("without_pages"))
         lake.append("silver/documents", watched)
         lake.clear("staging/pages", run_id=run_id)
-        made = self.rechunk(run_id, now)
+        made = self.rechunk(run_id, now) if chunk else 0
         counts = seen.get
         if counts["without_pages"]:
             raise GateError(f"{counts['without_pages']} ok documents have no n_pages")
@@ -273,7 +278,9 @@ class Pipeline:
         scope = {"v": self.active(), "m": model, "k": str(s["k"]), "f": json.dumps({k: v for k, v in filters.items() if v}, sort_keys=True), "r": mode, "x": str(s["window"]), "c": str(s["candidates"])}
         keyed = questions.withColumn("key", cache_key(F.col("qtext"), **{k: F.lit(v) for k, v in scope.items()}))
         age = F.unix_timestamp(F.lit(now), "yyyy-MM-dd'T'HH:mm:ss'Z'") - F.unix_timestamp("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        valid = self.lake.read("gold/answers").where(age.between(0, self.settings["answers"]["ttl_seconds"]))
+        # a few questions look into a few buckets of the answers
+        touched = [r["b"] for r in keyed.select(lakes.bucket_of(F.col("key")).alias("b")).distinct().collect()]
+        valid = self.lake.in_buckets("gold/answers", touched).where(age.between(0, self.settings["answers"]["ttl_seconds"]))
         known = valid.groupBy("key").agg(F.max_by(F.struct("answer", "cited"), "created_at").alias("a"))
         hits = keyed.join(known, "key").select("query_id", "a.answer", "a.cited", F.lit("hit").alias("cache"))
         missing = materialize(keyed.join(known, "key", "left_anti") if use_cache else keyed, "asked")
@@ -380,13 +387,18 @@ class Pipeline:
         return rows.join(judged(asked, judge).select("question_id", "judge_correct", "judge_reason"), "question_id", "left")
 
     def run(self, listed: DataFrame, run_id: str, now: str, checked: bool = True, retries: int = 2) -> dict:
-        """All steps, each after the ones that it needs; a failed batch or a broken rule stops before the index is touched. A step that fails otherwise is tried again."""
-        bronze = attempt(lambda: self.ingest(listed, run_id, now), retries)
+        """All steps, each after the ones that it needs; a failed batch or a broken rule stops before the index is touched. A step that fails otherwise is tried again.
+
+        Steps are kept in the run's journal: the same run, started again with the same settings, goes on at the step that did not end.
+        """
+        journal = Journal(self.lake, run_id, {"settings": self.settings, "chunking": self.chunking.version, "checked": checked})
+        bronze = journal.step("bronze", lambda: attempt(lambda: self.ingest(listed, run_id, now), retries))
         if bronze["status"] == "failed":
             raise GateError("the batch failed validation")
-        made = attempt(lambda: self.silver(run_id, now), retries)
-        warnings = self.gate() if checked else []
-        return {"bronze": bronze, "silver": made, "warnings": warnings, "indexed": attempt(lambda: self.gold(run_id, now), retries)}
+        made = journal.step("silver", lambda: attempt(lambda: self.silver(run_id, now, chunk=False), retries))
+        made = {**made, "chunks": journal.step("chunks", lambda: attempt(lambda: self.rechunk(run_id, now), retries))}
+        warnings = journal.step("gate", self.gate) if checked else []
+        return {"bronze": bronze, "silver": made, "warnings": warnings, "indexed": journal.step("gold", lambda: attempt(lambda: self.gold(run_id, now), retries))}
 
     def watch(self, poll: Callable[[], DataFrame | None], every: float = 900.0, once: bool = False, stop: threading.Event | None = None) -> int:
         """Take in what ``poll`` lists, again and again, until SIGTERM or ``stop``; returns the number of polls.
@@ -424,6 +436,27 @@ class Pipeline:
 MIN_WAIT = 5.0
 
 
+class Journal:
+    """The steps of a run that have ended, with their results, below ``state/journal``. A step's fingerprint is that of the settings and of the results of all steps before it."""
+
+    def __init__(self, lake: lakes.Lake, run_id: str, settings: dict) -> None:
+        self.lake, self.place = lake, f"state/journal/{quote(run_id, safe='')}"
+        self.mark = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
+
+    def step(self, name: str, work: Callable[[], object]):
+        kept = self.lake.read_text(f"{self.place}/{name}.json")
+        entry = json.loads(kept) if kept else None
+        if entry is None or entry["needs"] != self.mark:
+            entry = {"needs": self.mark, "result": work()}
+            # a step that refuses the batch is done again
+            if not (isinstance(entry["result"], dict) and entry["result"].get("status") == "failed"):
+                self.lake.write_text(json.dumps(entry), f"{self.place}/{name}.json")
+        else:
+            log.info("%s has been done before", name)
+        self.mark = hashlib.sha256(f"{self.mark}{name}{json.dumps(entry['result'], sort_keys=True)}".encode()).hexdigest()
+        return entry["result"]
+
+
 def attempt(step: Callable[[], dict | int], retries: int):
     """Run a step, and again if it fails for another reason than a gate."""
     for left in range(retries, -1, -1):

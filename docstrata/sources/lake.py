@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstrata.storage import drop, exists, materialize, names_in, write_text
+from docstrata.storage import drop, exists, materialize, names_in, read_text, write_text
 
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
@@ -68,7 +68,7 @@ class Lake:
         return [unquote(n.removesuffix(".open")) for n in names_in(self.spark, self.path("_runs")) if n.endswith(".open")]
 
     def begin(self, run_id: str) -> None:
-        """From now on the run's rows in the tables written together are not seen; what a lost attempt has left goes."""
+        """From now on the run's rows in the tables written together are not seen; what an attempt before has left goes, as this one writes all of it."""
         write_text(self.spark, self.path(f"_runs/{quote(run_id, safe='')}.open"), "")
         self._sweep(run_id)
 
@@ -132,6 +132,10 @@ class Lake:
         """A small file, on whatever file system the lake is."""
         write_text(self.spark, self.path(name), text)
 
+    def read_text(self, name: str) -> str | None:
+        """A small file's text, or None if there is none."""
+        return read_text(self.spark, self.path(name))
+
     def reports(self, folder: str, schema: T.StructType | str) -> DataFrame:
         """All reports below a folder, with their path."""
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(self.path(folder)).withColumn("path", F.input_file_name())

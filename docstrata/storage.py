@@ -48,6 +48,18 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """One small file, or None if it is not there."""
+    target, files = _path(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, written over."""
     target, files = _path(spark, path)

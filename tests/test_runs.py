@@ -105,3 +105,28 @@ def test_a_merge_reads_the_buckets_of_its_keys(spark, tmp_path):
     assert got.count() == 501 and [r.text_hash for r in got.where("run_id = 'r2'").collect()] == ["h900"]
     with pytest.raises(ValueError, match="merged"):
         lake.append("gold/embeddings", rows([1], "r3"))
+
+
+def test_a_run_goes_on_at_the_step_that_did_not_end(spark, tmp_path, monkeypatch):
+    p = Pipeline(Lake(spark, str(tmp_path / "l")), chunking=Chunking(max_tokens=60, overlap_tokens=10, min_tokens=5))
+    done = []
+    for name in ("ingest", "silver", "rechunk", "gate", "gold"):
+        step = getattr(Pipeline, name)
+        monkeypatch.setattr(Pipeline, name, lambda self, *a, _s=step, _n=name, **k: (done.append(_n), _s(self, *a, **k))[1])
+    kill = Pipeline.rechunk
+
+    def lost(self, *a, **k):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Pipeline, "rechunk", lost)
+    with pytest.raises(KeyboardInterrupt):
+        p.run(listed(spark), "run-1", NOW)
+    assert done == ["ingest", "silver"]
+    monkeypatch.setattr(Pipeline, "rechunk", kill)
+    made = Pipeline(p.lake, chunking=p.chunking).run(listed(spark), "run-1", NOW)
+    assert done == ["ingest", "silver", "rechunk", "gate", "gold"]
+    assert made["bronze"]["landed"] == 5 and made["silver"]["documents_ok"] == 2 and made["silver"]["chunks"] == made["indexed"] > 4
+    # ended: nothing is done again; with other settings, everything that depends on them is
+    assert Pipeline(p.lake, chunking=p.chunking).run(listed(spark), "run-1", NOW) == made and len(done) == 5
+    Pipeline(p.lake, {"gate": {"max_quarantine_rate": 0.9}}, p.chunking).run(listed(spark), "run-1", NOW)
+    assert done[5:] == ["ingest", "silver", "rechunk", "gate", "gold"]
