@@ -132,7 +132,8 @@ def _bytes(ids: list[int]) -> bytes:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = 700_000) -> Encoder:
+    """The worker's encoder of a file; one that was made with another memo takes this one's bound from now on."""
     make_room("packing")
     if path not in _encoders:
         import os
@@ -140,6 +141,7 @@ def encoder(path: str) -> Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
         hold("packing", _encoders.clear)
+    _encoders[path].memo = memo
     return _encoders[path]
 
 

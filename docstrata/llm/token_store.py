@@ -26,7 +26,9 @@ from docstrata.llm.storage import scan_blocks, scratch, shuffles_dropped
 ROWS = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 PARTS = "part int, n_docs long, n_tokens long, first_id long, last_id long, start long"
 BLOCK_BYTES = 64 << 20
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
+# Words that a worker remembers, in each of two generations: fewer than for packing, since the files' writer takes memory, too.
+MEMO = 500_000
 
 
 def _encoded(path: str, end_id: int):
@@ -35,7 +37,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(path, MEMO), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[bytes] = []
 
