@@ -6,6 +6,8 @@ stops between its tables leaves readers on the state before it.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +34,19 @@ class Segments:
 
     def commit(self, segment: str, replaces: list[str] | None = None, **facts: object) -> None:
         row = self.spark.createDataFrame([(segment, replaces or [], {k: str(v) for k, v in facts.items()})], COMMIT)
-        row.coalesce(1).write.mode("overwrite").json(f"{self.root}/commits/{segment}")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.root}/commits/{quote(segment, safe='')}")
 
     def path(self, table: str, segment: str) -> str:
-        return f"{self.root}/{table}/{segment}"
+        """A segment is a partition folder, so that a table is one relation however many segments it has."""
+        return f"{self.root}/{table}/segment={quote(segment, safe='')}"
 
     def read(self, table: str, schema: str) -> DataFrame:
         """A table over all committed segments; partition folders below a segment are columns."""
-        parts = [self.spark.read.schema(schema).parquet(p) for s in self.committed() if exists(self.spark, p := self.path(table, s))]
-        whole = parts[0] if parts else self.spark.createDataFrame([], schema)
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        return whole
+        found = list(self.committed())
+        if not found or not exists(self.spark, f"{self.root}/{table}"):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, segment string").parquet(f"{self.root}/{table}")
+        return rows.where(F.col("segment").isin(found)).drop("segment")
 
     def sweep(self) -> list[str]:
         """Delete what merged segments replaced; returns their names. For when no reader of the state before is left."""

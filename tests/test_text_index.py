@@ -30,7 +30,7 @@ def test_search_by_index_and_by_texts(spark, chunks, tmp_path, monkeypatch, few)
     monkeypatch.setattr(text_index, "FEW_TERMS", few)
     index = TextIndex(spark, str(tmp_path / "i"), "long", buckets=8)
     assert index.add(chunks.where("chunk_id < 100"), "s1") == 100
-    assert index.add(chunks, "s2") == len(ROWS) - 100 and index.add(chunks, "s3") == 0
+    assert index.add(chunks, "s:2") == len(ROWS) - 100 and index.add(chunks, "s3") == 0
     q = retrieval.question_terms(asked(spark))
     rank = lambda found: sorted(map(tuple, retrieval.bm25(found, q, 20).collect()))
     want = rank(retrieval.postings(chunks, q, "lexical"))
@@ -38,7 +38,7 @@ def test_search_by_index_and_by_texts(spark, chunks, tmp_path, monkeypatch, few)
     part = chunks.where("chunk_id % 3 = 1")
     assert rank(index.postings(q, part)) == rank(retrieval.postings(part, q, "lexical"))
     index.merge("m")
-    assert list(index.segments.committed()) == ["m"] and rank(index.postings(q)) == want and index.segments.sweep() == ["s1", "s2"]
+    assert list(index.segments.committed()) == ["m"] and rank(index.postings(q)) == want and index.segments.sweep() == ["s1", "s:2"]
     assert rank(index.postings(q)) == want and index.size() == len(ROWS)
     assert sorted(map(tuple, index.frequency().collect())) == sorted(map(tuple, retrieval.document_frequency(chunks, "lexical").collect()))
 
