@@ -84,18 +84,36 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def ordered(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by key, then the others, then the place; only what shares its key is compared further."""
+    order = np.argsort(key)
+    k = key[order]
+    same = k[1:] == k[:-1]
+    tied = np.zeros(len(k), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    own = order[at]
+    order[at] = own[np.lexsort((own, *(t[own] for t in reversed(then)), key[own]))]
+    return order
+
+
 SPAN = 4096
+# Windows hashed at a time: their hashes stay in a core's cache.
+TILE = 1 << 15
 _UP, _DOWN = (np.cumprod(np.concatenate([[U(1)], np.full(SPAN - 1, base, U)]), dtype=U) for base in (_STEP, _STEP_BACK))
 
 
 def _running_total(x: np.ndarray) -> None:
     """In place: the sums of x[0..i] times powers of the step, without an array of powers."""
-    far, leap = 1, pow(int(_STEP), SPAN, 1 << 64)
+    far, leap, total = 1, pow(int(_STEP), SPAN, 1 << 64), U(0)
     for a in range(0, len(x), SPAN):
         part = x[a : a + SPAN]
         part *= _UP[: len(part)] * U(far)
         far = far * leap % (1 << 64)
-    np.cumsum(x, out=x)
+        part[:1] += total
+        np.cumsum(part, out=part)
+        total = part[-1]
 
 
 def _stepped_back(at: np.ndarray) -> np.ndarray:
@@ -119,32 +137,23 @@ class Block:
         self.start = self.stop = self.doc = np.zeros(0, np.int64)
         key = mark = np.zeros(0, U)
         if n:
-            grams = rolling(self.data, GRAM)
-            least = sliding_least(grams, width - GRAM + 1)[:n]
-            first = np.ones(n, bool)
-            np.not_equal(least[1:], least[:-1], out=first[1:])
-            # runs also break at documents, and the windows that cross an end belong to none
-            first[self.begin[1:-1][self.begin[1:-1] < n]] = True
-            self.start = np.flatnonzero(first)
-            del first
+            grams, self.start, key = self._runs(n)
             stop = np.append(self.start[1:], n)
             self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
             stop = np.minimum(stop, self.begin[self.doc + 1] - width + 1)
             real = stop > self.start
-            self.start, self.stop, self.doc = self.start[real], stop[real], self.doc[real]
-            key = least[self.start]
-            del least
+            self.start, self.stop, self.doc, key = self.start[real], stop[real], self.doc[real], key[real]
             _running_total(grams)
             before = np.where(self.start > 0, grams[self.start - 1], U(0))
             mark = (grams[self.stop + width - GRAM - 1] - before) * _stepped_back(self.start)
             mark = _mixed(mark ^ (self.stop - self.start).astype(U))
             del grams
         # distinct pieces by key and hash; the first of each in id order stands for all
-        by = np.lexsort((mark, key))
+        by = ordered(key, mark)
         k, m = key[by], mark[by]
         new = np.ones(len(by), bool)
         new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-        self.first = by[new]  # lexsort is stable and pieces are in id order
+        self.first = by[new]  # equal ones are in their places' order, and pieces in id order
         self.piece = np.empty(len(by), np.int64)  # piece -> distinct piece
         self.piece[by] = np.cumsum(new) - 1
         self.key, self.mark = k[new], m[new]
@@ -155,6 +164,26 @@ class Block:
         # a crowded key is told once, without its pieces
         self.told = np.flatnonzero(~self.crowded | fresh)
 
+    def _runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all short strings, and where runs of windows with one key begin, with their keys."""
+        grams, starts, keys, last = np.empty(len(self.data) - GRAM + 1, U), [], [], None
+        for a in range(0, n, TILE):
+            b = min(a + TILE, n)
+            own = rolling(self.data[a : b + self.width - 1], GRAM)
+            grams[a : a + len(own)] = own
+            least = sliding_least(own, self.width - GRAM + 1)[: b - a]
+            first = np.ones(b - a, bool)
+            np.not_equal(least[1:], least[:-1], out=first[1:])
+            first[0] = least[0] != last if last is not None else True
+            # runs also break at documents, and the windows that cross an end belong to none
+            inner = self.begin[1:-1]
+            first[inner[np.searchsorted(inner, a) : np.searchsorted(inner, b)] - a] = True
+            at = np.flatnonzero(first)
+            starts.append(at + a)
+            keys.append(least[at])
+            last = least[-1]
+        return grams, np.concatenate(starts), np.concatenate(keys)
+
     def owner(self, distinct: np.ndarray) -> np.ndarray:
         return self.ids[self.doc[self.first[distinct]]]
 
@@ -201,7 +230,7 @@ def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
 
 def answer_keys(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, hot: int) -> np.ndarray:
     """For each entry: is its piece new, wholly seen earlier, or are the bytes needed? Least doc: a crowded key."""
-    order = np.lexsort((doc, mark, key))
+    order = ordered(key, mark, doc)
     k, m, d = key[order], mark[order], doc[order]
     new_key = np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
@@ -288,28 +317,6 @@ def _send_pieces(width: int, hot: int, buckets: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rank of each position's suffix among all, by its first ``width`` bytes (doubled prefixes), and the positions in that order."""
-    n = len(data)
-    rank, have = data.astype(U), 1
-    while have < 4:  # up to four bytes fit in a number as they are
-        rank = (rank << U(8 * have)) | np.append(rank[have:], np.zeros(min(have, n), U))[:n]
-        have *= 2
-    order = np.argsort(rank) if have >= width else None
-    while have < width:
-        step = min(have, width - have)
-        pair = rank << U(32)
-        pair[: n - step] |= rank[step:]
-        order = np.argsort(pair)
-        pair = pair[order]
-        new = np.ones(n, bool)
-        np.not_equal(pair[1:], pair[:-1], out=new[1:])
-        rank = np.empty(n, U)
-        rank[order] = np.cumsum(new).astype(U)
-        have += step
-    return rank, order
-
-
 def earlier_match(rank: np.ndarray, order: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Longest-previous-factor test in suffix order: has a position of the same rank a smaller doc?
 
@@ -343,27 +350,46 @@ def may_repeat(h: np.ndarray) -> np.ndarray:
     return (np.bincount(low)[low] > 1) & (np.bincount(high)[high] > 1)
 
 
-def answer_pieces(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows that start at ``at``, which ascend."""
+    out = np.empty(len(at), U)
+    for a in range(0, len(at), TILE):
+        own = at[a : a + TILE]
+        out[a : a + TILE] = rolling(data[own[0] : own[-1] + width], width)[own - own[0]]
+    return out
+
+
+def window_ranks(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each suffix that starts at ``at`` among all of them, by its first ``width`` bytes, and their numbers in that order."""
+    words = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    words[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    words = words.view(">u8").astype(U)
+    order = ordered(*words.T)
+    words = words[order]
+    new = np.ones(len(at), bool)
+    np.any(words[1:] != words[:-1], axis=1, out=new[1:])
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, order
+
+
+def answer_pieces(data: np.ndarray, count: np.ndarray, doc: np.ndarray, width: int, most: int = 500_000) -> np.ndarray:
     """For each window of the concatenated pieces: does an earlier document hold it?
 
-    Pieces in which no window's hash occurs again cannot match and are left out of the suffix order.
+    Windows whose hash does not occur again cannot match and are left out of the suffix order. The others are put in order by their bytes, a range of
+    hashes at a time, since windows of different hashes never match.
     """
     count = count.astype(np.int64)
     out = np.zeros(int(count.sum()), bool)
-    again = may_repeat(rolling(data, width)[_window_starts(count, width)])
-    held = np.logical_or.reduceat(again, np.concatenate([[0], np.cumsum(count)[:-1]]))
-    if held.any():
-        part = data[np.repeat(held, count + width - 1)]
-        at = _window_starts(count[held], width)
-        rank, order = suffix_ranks(part, width)
-        # the windows, by number, in the order of the suffixes that they begin
-        window = np.full(len(part), -1, np.int64)
-        window[at] = np.arange(len(at))
-        window = window[order]
-        del order, part
-        window = window[window >= 0]
-        rank = rank[at]
-        out[np.repeat(held, count)] = earlier_match(rank, window, np.repeat(doc[held], count[held]))
+    at, doc = _window_starts(count, width), np.repeat(doc, count)
+    h = window_hashes(data, at, width)
+    again = np.flatnonzero(may_repeat(h))
+    ranges = 1 + len(again) // most
+    own = ((h[again] >> U(32)) * U(ranges)) >> U(32)
+    for r in range(ranges):
+        some = again[own == U(r)] if ranges > 1 else again
+        if len(some):
+            out[some] = earlier_match(*window_ranks(data, at[some], width), doc[some])
     return out
 
 
@@ -447,7 +473,7 @@ def _carried(out: pa.Table, docs: pa.Table, carry: list[str], order: list[int])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes: int = 2_500_000, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, hot: int = 64, block_bytes: int = 5_000_000, keep_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document; with keep_text, the text that is left.
 
     A character of which only some bytes go is left out of that text whole. ``carry``: columns to add.

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from docstrata.llm.suffixes import remove_repeats
@@ -69,3 +70,28 @@ def test_hashes_tell_strings_apart(width):
     strings = [data[i : i + width].tobytes() for i in range(len(data) - width + 1)]
     assert len(h) == len(strings) and len(set(h.tolist())) == len(set(strings)) == len(set(zip(h.tolist(), strings)))
     assert len(rolling(data[: width - 1], width)) == 0 and len(rolling(data[:width], width)) == 1
+
+
+def test_only_repeated_windows_are_put_in_order(monkeypatch):
+    """The suffix order once held every byte of the pieces; hashes are made in tiles, whose borders change nothing."""
+    from docstrata.llm import suffixes
+
+    rng, width = np.random.default_rng(4), 50
+    texts = [rng.integers(97, 101, 400, dtype=np.uint8).tobytes() for _ in range(60)]
+    texts[40:] = [texts[i][:150] + texts[i + 20][:250] for i in range(20)]
+    data, count = np.frombuffer(b"".join(texts), np.uint8), np.full(60, 351)
+    doc, at = np.arange(60) // 2, suffixes._window_starts(count, width)
+    seen, ranks = [], suffixes.window_ranks
+    monkeypatch.setattr(suffixes, "window_ranks", lambda d, some, w: seen.append(len(some)) or ranks(d, some, w))
+    least = {}
+    for a, d in zip(at.tolist(), np.repeat(doc, 351).tolist()):
+        least.setdefault(data[a : a + width].tobytes(), d)
+    want = [least[data[a : a + width].tobytes()] < d for a, d in zip(at.tolist(), np.repeat(doc, 351).tolist())]
+    for most in (10**6, 500):
+        seen.clear()
+        assert suffixes.answer_pieces(data, count, doc, width, most).tolist() == want and any(want)
+        assert sum(seen) < 0.7 * len(at) and (most > 500 or len(seen) > 5)
+    whole = suffixes.Block(np.arange(60), texts, width, 64)
+    monkeypatch.setattr(suffixes, "TILE", 129)
+    tiled = suffixes.Block(np.arange(60), texts, width, 64)
+    assert all(np.array_equal(getattr(whole, n), getattr(tiled, n)) for n in ("start", "stop", "doc", "key", "mark", "piece", "first"))
