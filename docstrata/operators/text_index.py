@@ -1,16 +1,22 @@
 """An inverted index that is written once for an index version, and read by the buckets of the asked terms.
 
-Postings (term, chunk_id, tf, dl) lie in folders by a hash of their term, sorted by term inside, so that a search reads the
-buckets of its terms, and of those the row groups that may hold them. Chunks that come later are a further segment; merging
-segments reads postings, not texts. A bucket is dealt to several files when it is large, so that a term that very many chunks
-have is not one task's.
+Postings lie in folders by a hash of their term, sorted by term inside, so that a search reads the buckets of its terms, and of
+those the row groups that may hold them. A task counts the terms of a block of texts at a time; a row is a term with the chunks of
+such a block that have it, their counts and lengths, so what is dealt out and sorted are lists, and not single postings. Chunks
+that come later are a further segment; merging segments reads postings, not texts. A bucket is dealt to several files when it is
+large, so that a term that very many chunks have is not one task's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.functions.term_counts import blocks, count_terms
 from docstrata.functions.text import terms
 from docstrata.operators.retrieval import Postings
 from docstrata.sources.segments import Segments
@@ -19,6 +25,7 @@ from docstrata.storage import input_bytes, materialize
 FILE_BYTES = 256 << 20
 # Asked terms up to this number are named in the scan and may be broadcast; more are joined.
 FEW_TERMS = 20_000
+LAYOUT = "lists"
 
 
 def counted_terms(text: Column) -> Column:
@@ -30,41 +37,65 @@ def counted_terms(text: Column) -> Column:
     return F.element_at(F.transform(sorted_, runs), 1)
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, ids, tfs, dls) of each block of (chunk_id, text). The empty term, which no text has, comes with all chunks of a block; of those without a text the length is null."""
+    for rows in blocks(batches):
+        ids, texts = rows["chunk_id"].combine_chunks(), rows["text"].to_pylist()
+        found = count_terms(texts)
+        begin = np.flatnonzero(np.diff(found.term, prepend=-1))
+        ends = pa.array(np.concatenate([[0], len(ids) + np.append(begin, len(found.term))]), pa.int32())
+        lengths = pa.array(found.total, mask=np.array([t is None for t in texts], bool))
+        every = pa.array(np.concatenate([np.arange(len(ids)), found.text]))
+        tfs = pa.array(np.concatenate([np.zeros(len(ids), np.int64), found.tf]))
+        names = pa.concat_arrays([pa.array([""]), found.terms.take(pa.array(found.term[begin])).cast(pa.string())])
+        yield pa.RecordBatch.from_arrays([names, *(pa.ListArray.from_arrays(ends, v) for v in (ids.take(every), tfs, lengths.take(every)))], names=["term", "ids", "tfs", "dls"])
+
+
 class TextIndex:
     """Postings of chunks below ``root``. Chunk ids are unique; ``kind`` is their type."""
 
     def __init__(self, spark: SparkSession, root: str, kind: str = "string", buckets: int = 64) -> None:
         self.spark, self.kind, self.segments = spark, kind, Segments(spark, root)
-        self.buckets = next((int(f["buckets"]) for f in self.segments.committed().values()), buckets)
+        known = self.segments.committed()
+        if any(f.get("layout") != LAYOUT for f in known.values()):
+            raise ValueError(f"the index in {root} has single postings, as written before; it must be written anew")
+        self.buckets = next((int(f["buckets"]) for f in known.values()), buckets)
+
+    @property
+    def lists(self) -> str:
+        return f"term string, ids array<{self.kind}>, tfs array<long>, dls array<long>"
 
     @property
     def schema(self) -> str:
-        return f"term string, chunk_id {self.kind}, tf long, dl long, bucket int"
+        return f"{self.lists}, bucket int"
 
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, segment: str, size: int) -> None:
-        """rows: term, chunk_id, tf, dl. A bucket's files are dealt by chunk when it would be larger than a file should be."""
+        """rows: term, ids, tfs, dls. A bucket's files are dealt by chunk when it would be larger than a file should be."""
         slices = 1 + size // (self.buckets * FILE_BYTES)
-        dealt = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)))
-        out = dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20)
+        dealt = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(slices)))
+        out = dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20)
         out.partitionBy("bucket").parquet(self.segments.path("postings", segment))
 
     def add(self, chunks: DataFrame, segment: str, text: str = "lexical") -> int:
         """Index the chunks (chunk_id and a text) that no committed segment has; returns how many. Under a name that is committed, nothing is done if there are none."""
-        known = self.segments.read("lengths", f"chunk_id {self.kind}, dl long").select("chunk_id")
-        fresh = chunks.select("chunk_id", F.col(text).alias("text")).join(known, "chunk_id", "left_anti")
-        cut = materialize(fresh.select("chunk_id", counted_terms(F.col("text")).alias("terms")).withColumn("dl", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"])), "terms")
+        fresh, committed = chunks.select("chunk_id", F.col(text).cast("string").alias("text")), self.segments.committed()
+        if committed:
+            # without any, texts stay where they are
+            fresh = fresh.join(self.segments.read("lengths", f"chunk_id {self.kind}, dl long").select("chunk_id"), "chunk_id", "left_anti")
+        cut = materialize(fresh.select(F.col("chunk_id").cast(self.kind), "text").mapInArrow(_lists, self.lists), "terms")
+        lengths = cut.where("term = ''").select(F.inline(F.arrays_zip("ids", "dls")).alias("chunk_id", "dl"))
         # a chunk without a text is known, and counts for no mean
-        facts = cut.agg(F.count("*").alias("rows"), F.count("dl").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        facts = lengths.agg(F.count("*").alias("rows"), F.count("dl").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         if not facts["rows"]:
             return 0
-        if segment in self.segments.committed():
+        if segment in committed:
             raise ValueError(f"segment {segment} is committed, and there are {facts['rows']} chunks that it lacks")
-        self._write(cut.select(F.explode("terms").alias("t"), "chunk_id", "dl").select("t.term", "chunk_id", "t.tf", "dl"), segment, input_bytes(cut))
-        cut.select("chunk_id", "dl").write.mode("overwrite").option("compression", "zstd").parquet(self.segments.path("lengths", segment))
-        self.segments.commit(segment, buckets=self.buckets, **facts.asDict())
+        self._write(cut.where("term <> ''"), segment, input_bytes(cut))
+        lengths.write.mode("overwrite").option("compression", "zstd").parquet(self.segments.path("lengths", segment))
+        self.segments.commit(segment, buckets=self.buckets, layout=LAYOUT, **facts.asDict())
         return facts["rows"]
 
     def merge(self, segment: str) -> None:
@@ -76,7 +107,7 @@ class TextIndex:
         self._write(rows.drop("bucket"), segment, input_bytes(rows))
         self.segments.read("lengths", f"chunk_id {self.kind}, dl long").write.mode("overwrite").option("compression", "zstd").parquet(self.segments.path("lengths", segment))
         sums = {k: sum(int(f[k]) for f in old.values()) for k in ("rows", "n", "total")}
-        self.segments.commit(segment, list(old), buckets=self.buckets, **sums)
+        self.segments.commit(segment, list(old), buckets=self.buckets, layout=LAYOUT, **sums)
 
     def postings(self, asked: DataFrame, pool: DataFrame | None = None) -> Postings:
         """What ``retrieval.postings`` makes from texts, read from the index. asked: term; pool: chunk_id of a part of the chunks, or None for all.
@@ -91,20 +122,22 @@ class TextIndex:
             rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in found}))).where(F.col("term").isin(named))
         else:
             rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
-        rows = rows.select("chunk_id", "term", "dl", "tf")
+        counts = rows.groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+        rows = rows.select("term", F.inline(F.arrays_zip("ids", "dls", "tfs")).alias("chunk_id", "dl", "tf")).select("chunk_id", "term", "dl", "tf")
         if pool is None:
             facts = self.segments.committed().values()
             n, total = (sum(int(f[k]) for f in facts) for k in ("n", "total"))
             stats = self.spark.createDataFrame([(n, total / n if n else None)], "n long, avgdl double")
         else:
             part = pool.select("chunk_id")
-            rows = rows.join(part, "chunk_id", "left_semi")
+            # read for frequencies and for scores
+            rows, counts = materialize(rows.join(part, "chunk_id", "left_semi"), "part"), None
             stats = self.segments.read("lengths", f"chunk_id {self.kind}, dl long").join(part, "chunk_id", "left_semi").agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
-        return Postings(rows, stats, few)
+        return Postings(rows, stats, few, counts)
 
     def frequency(self) -> DataFrame:
         """term, df of every term, from the index."""
-        return self.segments.read("postings", self.schema).groupBy("term").agg(F.count("*").alias("df"))
+        return self.segments.read("postings", self.schema).groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
 
     def size(self) -> int:
         """How many chunks are indexed, with or without a text."""

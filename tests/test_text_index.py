@@ -100,3 +100,25 @@ def test_the_lake_searches_by_its_index(spark, tmp_path):
         assert plain == sorted(map(tuple, retrieval.search(pool, asked_, 6, mode, p.text_index(version).size(), index=p.text_index(version)).collect()))
     p.run(listed(spark), "run-2", "2026-03-06T00:00:00Z")
     assert p.text_index(version).size() == chunks.count()
+
+
+def test_a_row_of_the_index_is_a_list(spark, tmp_path, monkeypatch):
+    """Postings were dealt out and sorted one by one, and all texts shuffled for the first segment."""
+    from docstrata.functions import term_counts
+    from docstrata.functions.text import terms
+
+    words = ["The a.b--c. -x- 7", "İstanbul K9 ﬁ Straße naïve", "", None, "... - the", "x.y x.y X.Y. z\tz\nz z", "\x00q\x1fr s"] * 30
+    rows = spark.createDataFrame(list(enumerate(words)), "chunk_id long, lexical string").repartition(3)
+    index = TextIndex(spark, str(tmp_path / "i"), "long", buckets=4)
+    assert index.add(rows, "s") == len(words)
+    lists = spark.read.parquet(index.segments.path("postings", "s"))
+    want = {r.term: r.df for r in retrieval.document_frequency(rows, "lexical").collect()}
+    assert {r.term: r.df for r in index.frequency().collect()} == want and lists.count() <= 3 * len(want) < sum(want.values())
+    plain = {(r.chunk_id, t): r.t.count(t) for r in rows.select("chunk_id", terms(F.col("lexical")).alias("t")).collect() for t in r.t or []}
+    got = index.postings(spark.createDataFrame([(t,) for t in want], "term string")).rows.collect()
+    assert {(r.chunk_id, r.term): r.tf for r in got} == plain and len(got) == len(plain)
+    vectors = term_counts.hash_vectors(words[:7]).to_pylist()
+    made = {r.chunk_id: r.v for r in rows.where("chunk_id < 7").select("chunk_id", retrieval.hash_embedding(F.col("lexical")).alias("v")).collect()}
+    assert [made[i] for i in range(7)] == vectors
+    pieces = list(term_counts.blocks(iter([__import__("pyarrow").record_batch({"text": ["ab" * 5, None, "c", "d" * 30]})] * 2), most=16))
+    assert sum(p.num_rows for p in pieces) == 8 and max(sum(len(t or "") for t in p["text"].to_pylist()[:-1]) for p in pieces) < 16
