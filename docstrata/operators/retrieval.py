@@ -139,10 +139,11 @@ class Postings:
     rows: DataFrame
     stats: DataFrame
     few: bool = False
+    counts: DataFrame | None = None
 
     def frequency(self) -> DataFrame:
         """term, df of the asked terms that occur."""
-        return self.rows.groupBy("term").agg(F.count("*").alias("df"))
+        return self.counts if self.counts is not None else self.rows.groupBy("term").agg(F.count("*").alias("df"))
 
     def rare(self, asked: DataFrame, n_chunks: Column | int, share: float = 0.005, floor: int = 25) -> DataFrame:
         """The asked (query_id, term) that occur, but in no more chunks than the threshold, which is a share of ``n_chunks``: of all chunks, filtered or not."""
@@ -179,14 +180,88 @@ def bm25(found: Postings, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2
     """query_id, chunk_id, score, rank. asked: distinct (query_id, term), all of them asked of the postings. Scores are summed map-side first."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # the statistics are one row; frequencies and asked terms are as many as were counted
-    small = F.broadcast if found.few else lambda df: df
-    asked = small(asked)
-    weighted = found.rows.join(small(found.frequency()), "term").join(F.broadcast(found.stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
+    if found.few:
+        return _bm25_of_few(found, asked, n, k1, b)
+    # the statistics are one row
+    weighted = found.rows.join(found.frequency(), "term").join(F.broadcast(found.stats)).withColumn("idf", idf).select("term", "chunk_id", weight.alias("w"))
     scores = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
     return top(scores, n, F.desc("score"), F.desc("chunk_id"))
 
 
+def _bm25_of_few(found: Postings, asked: DataFrame, n: int, k1: float, b: float) -> DataFrame:
+    """The same for counted, few asked terms: the postings of a chunk come together, and a task scores some chunks at a time for all queries and keeps the n best of each."""
+    pairs = asked.join(found.frequency(), "term").select("query_id", "term", "df").toArrow()
+    stats = found.stats.first()
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", found.rows.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    if not pairs.num_rows or not stats["n"]:
+        return found.rows.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
+    # of the postings' terms, the ones that are asked here
+    own = found.rows.where(F.col("term").isin(pairs["term"].unique().to_pylist()))
+    dealt = own.select("chunk_id", "term", "dl", "tf").repartition("chunk_id").sortWithinPartitions("chunk_id", "term")
+    return top(dealt.mapInArrow(_bm25(pairs, stats["n"], stats["avgdl"], n, k1, b), schema), n, F.desc("score"), F.desc("chunk_id"))
+
+
+def _bm25(pairs: pa.Table, n_chunks: int, avgdl: float, n: int, k1: float, b: float, cells: int = 1 << 21):
+    """Per task, the n best chunks of each query of ``pairs`` (query_id, term, df), from postings in the order of their chunks; of equal scores the larger id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, names = (pairs[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        ask, term = queries.indices.to_numpy(), names.indices.to_numpy()
+        width, order = len(queries.dictionary), np.argsort(term, kind="stable")
+        ask, begin = ask[order], np.searchsorted(term[order], np.arange(len(names.dictionary) + 1))
+        df = pairs["df"].to_numpy()[order][begin[:-1]]
+        idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+        # chunks at a time: so many that neither their scores nor their summands are more than stated
+        most = max(1, min(cells // width, 4 * cells // len(ask)))
+        ids, own, place, scores, seen = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        least = np.zeros(width)
+
+        def score(rows: pa.Table) -> None:
+            nonlocal ids, own, place, scores, seen
+            chunk = rows["chunk_id"].combine_chunks()
+            new = np.ones(len(chunk), bool)
+            new[1:] = pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)
+            doc, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            t, tf, dl = pc.index_in(rows["term"].combine_chunks(), names.dictionary).to_numpy(zero_copy_only=False), rows["tf"].to_numpy(), rows["dl"].to_numpy()
+            w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            times = begin[t + 1] - begin[t]
+            at = np.repeat(begin[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            docs = len(first)
+            sums = np.round(np.bincount(ask[at].astype(np.int64) * docs + np.repeat(doc, times), np.repeat(w, times), width * docs), 6).reshape(width, docs)
+            q, d = np.nonzero((sums > 0) & (sums >= least[:, None]))
+            found = chunk.take(pa.array(first[d]))
+            ids = pa.concat_arrays([ids, found]) if ids is not None else found
+            own, place, scores = np.concatenate([own, q]), np.concatenate([place, seen + d]), np.concatenate([scores, sums[q, d]])
+            seen += docs
+            by = np.lexsort((-place, -scores, own))
+            begins = np.searchsorted(own[by], np.arange(width + 1))
+            rank = np.arange(len(by)) - begins[own[by]]
+            by = by[rank < n]
+            ids, own, place, scores = ids.take(pa.array(by)), own[by], place[by], scores[by]
+            full = np.flatnonzero(np.bincount(own, minlength=width) >= n)
+            least[full] = scores[np.searchsorted(own, full, side="right") - 1]
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None and rest.num_rows else rows
+            chunk = rows["chunk_id"].combine_chunks()
+            ends = 1 + np.flatnonzero(pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False))
+            # the last chunk may go on in the next batch
+            done = 0
+            for end in [*ends[most - 1 :: most].tolist(), *ends[-1:].tolist()]:
+                if end > done:
+                    score(rows.slice(done, end - done))
+                    done = end
+            rest = rows.slice(done)
+        if rest is not None and rest.num_rows:
+            score(rest)
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(own)), ids, pa.array(scores)], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def bm25_top(chunks: DataFrame, asked: DataFrame, n: int = CANDIDATES, k1: float = 1.2, b: float = 0.75, text: str = "text") -> DataFrame:
     """query_id, chunk_id, score, rank. asked: distinct (query_id, term). Statistics are those of the given chunks."""
     return bm25(postings(chunks, asked, text), asked, n, k1, b)

@@ -122,3 +122,23 @@ def test_a_row_of_the_index_is_a_list(spark, tmp_path, monkeypatch):
     assert [made[i] for i in range(7)] == vectors
     pieces = list(term_counts.blocks(iter([__import__("pyarrow").record_batch({"text": ["ab" * 5, None, "c", "d" * 30]})] * 2), most=16))
     assert sum(p.num_rows for p in pieces) == 8 and max(sum(len(t or "") for t in p["text"].to_pylist()[:-1]) for p in pieces) < 16
+
+
+def test_scores_of_few_terms_are_summed_by_chunk(spark, chunks, monkeypatch):
+    """Every pair of a query and a chunk was a row of the shuffle; now a task keeps the best of its chunks, some at a time."""
+    from dataclasses import replace
+
+    q = retrieval.question_terms(spark.createDataFrame([(i, f"alpha beta word{i % 7} x{i % 13}-{i} rare") for i in range(9)], "query_id long, qtext string"))
+    found = retrieval.postings(chunks, q, "lexical")
+    rank = lambda df: sorted(map(tuple, df.collect()))
+    want = rank(retrieval.bm25(found, q, 20))
+    few, run = replace(found, few=True), retrieval._bm25
+    plan = retrieval.bm25(few, q, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(query_id" in plan and "Aggregate(keys=[query_id" not in plan
+    for cells in (1 << 21, 40, 1):
+        monkeypatch.setattr(retrieval, "_bm25", lambda *a, cells=cells: run(*a, cells))
+        assert rank(retrieval.bm25(few, q, 20)) == want and len(want) == 180
+    # of the terms of the postings, only some may be asked
+    some = q.where("term LIKE 'x%'")
+    assert rank(retrieval.bm25(few, some, 20)) == rank(retrieval.bm25(found, some, 20)) != []
+    assert retrieval.bm25(few, q.where("false"), 20).count() == 0
