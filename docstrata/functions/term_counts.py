@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from docstrata.functions.text import STOP_WORDS
 
@@ -69,3 +71,15 @@ def hash_vectors(texts: list[str | None], dim: int = 64) -> pa.Array:
     norm = np.sqrt((counts * counts).sum(axis=1))
     counts /= np.where(norm > 0, norm, 1)[:, None]
     return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(counts.reshape(-1)))
+
+
+def hashed(rows: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
+    """``rows`` with the vectors of ``retrieval.hash_embedding`` in the place of a text column, made a block at a time."""
+    schema = T.StructType([*(f for f in rows.schema if f.name != text), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text):
+            made = hash_vectors(block[text].to_pylist())
+            yield from block.drop_columns([text]).append_column(out, made).to_batches()
+
+    return rows.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
+from docstrata.functions.term_counts import hashed
 from docstrata.operators import evaluation, models, retrieval
 from docstrata.operators.cells import CellIndex
 from docstrata.operators.text_index import TextIndex
@@ -258,12 +259,14 @@ def _asked(spark, d):
 def _search(spark, d, mode, k=6, **filters):
     """Over the index version of the pool: its vectors and its terms are written once, and a search reads them."""
     pool = _pool(spark, d)
-    made = _version(spark, d, "pool-vectors", lambda path: pool.select("chunk_id", "lang", "published_at", retrieval.hash_embedding(F.col("text")).alias("embedding")).write.parquet(path))
+    made = _version(spark, d, "pool-vectors", lambda path: hashed(pool.select("chunk_id", "lang", "published_at", "text")).write.parquet(path))
     vectors = retrieval.filtered(spark.read.parquet(made), **filters)
     index = _text_index(spark, d, "pool-terms", lambda: pool.select("chunk_id", "lexical")) if mode else None
     part = vectors.select("chunk_id") if any(filters.values()) else None
     asked = materialize(_asked(spark, d), "questions")
-    return retrieval.search(vectors, asked, k, mode, index.size() if mode == "rare" else None, index=index, part=part)
+    found = retrieval.search(vectors, asked, k, mode, index.size() if mode == "rare" else None, index=index, part=part)
+    # a few hits of known size, which go to the rows that they are joined with
+    return materialize(found, "found")
 
 
 def sql_vector(text: str) -> str:
@@ -411,11 +414,12 @@ def _expected(spark, d):
     found = F.regexp_extract_all(F.lower("text"), F.lit(T.TERM), F.lit(0))
     inner = F.filter(F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0))), lambda t: ~t.isin(T.STOP_WORDS))
     needles = items.select("item_id", F.col("text").alias("needle"), F.array_distinct(inner).alias("terms"))
-    held = materialize(docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).join(needles.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi"), "item-terms")
-    counted = needles.select("item_id", F.explode("terms").alias("term")).join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = counted.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    # texts stay out of the exploded rows and join only the candidates
-    pairs = held.join(rarest, "term").select("item_id", "doc_id").join(needles.select("item_id", "needle"), "item_id")
+    # which documents have a term is what the index tells; no text is cut for that
+    index, inner = _document_index(spark, d), needles.select("item_id", F.explode("terms").alias("term"))
+    counted = inner.join(index.postings(inner).frequency(), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = materialize(counted.groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rarest")
+    # texts join only the candidates, whose number is known
+    pairs = materialize(index.postings(rarest).rows.select("term", F.col("chunk_id").alias("doc_id")).join(rarest, "term").select("item_id", "doc_id").join(needles.select("item_id", "needle"), "item_id"), "candidates")
     some = pairs.join(docs, "doc_id").where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
     # a stated set of items against all documents, one test for each; only the few short ones come here
     bare = needles.where(F.size("terms") == 0).select("item_id", "needle")
@@ -465,7 +469,7 @@ def batched_embedding(spark, d):
 @query(f"WITH {BM25} SELECT b.item_id AS question_id, min(l.rank) FILTER (contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))) AS answer_rank FROM benchmark b LEFT JOIN lexical l ON l.query_id = b.item_id AND l.rank <= 6 LEFT JOIN documents d ON d.doc_id = l.chunk_id GROUP BY 1")
 def eval_answer_hits(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("context"))
-    results = _lexical(spark, d, 6).join(docs, "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "context")
+    results = materialize(_lexical(spark, d, 6), "results").join(docs, "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "context")
     needles = _questions(spark, d).select(F.col("query_id").alias("question_id"), F.col("qtext").alias("needle"))
     return evaluation.needle_ranks(results, needles).withColumn("answer_rank", F.col("answer_rank").cast("long"))
 
