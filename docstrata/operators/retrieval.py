@@ -60,28 +60,38 @@ def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _dense(asked: pa.Table, n: int, scores_at_once: int = 1 << 24):
+def _dense(asked: pa.Table, n: int, scores_at_once: int = 1 << 21):
     """Per task, the n best chunks of each query: matrix products of bounded size, and what was best so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = np.array(asked["qvec"].to_pylist(), dtype=np.float64)
         norm = np.sqrt((q * q).sum(axis=1))
-        kept: list[tuple[np.ndarray, np.ndarray]] | None = None
-        rows = max(1, scores_at_once // len(q))
+        width, least, kept = len(q), None, None
         for whole in batches:
-            for batch in (whole.slice(a, rows) for a in range(0, whole.num_rows, rows)):
+            for batch in (whole.slice(a, rows) for rows in [max(1, scores_at_once // width)] for a in range(0, whole.num_rows, rows)):
                 ids, x = _usable(batch, q.shape[1])
                 if not len(x):
                     continue
-                scores = np.round((q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9), 6)
-                kind = batch.column("chunk_id").type
-                new = [_best(ids, s, n) for s in scores]
-                kept = new if kept is None else [_best(np.concatenate([a, c]), np.concatenate([b, d]), n) for (a, b), (c, d) in zip(kept, new)]
+                scores = q @ x.T
+                scores /= norm[:, None] * np.sqrt((x * x).sum(axis=1)) + 1e-9
+                np.round(scores, 6, out=scores)
+                # one place among the kept for each query; what is no better than the last one there is left out
+                if kept is None:
+                    kind, kept, least = batch.column("chunk_id").type, (np.zeros(0, np.int64), ids[:0], np.zeros(0)), np.full(width, -np.inf)
+                if np.isneginf(least).any() and len(ids) > n:
+                    least = np.maximum(least, np.nan_to_num(np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n], nan=-np.inf))
+                own, at = np.nonzero(~(scores < least[:, None]))
+                kept = tuple(np.concatenate([a, c]) for a, c in zip(kept, (own, ids[at], scores[own, at])))
+                by = np.lexsort((kept[1], -kept[2], kept[0]))
+                begin = np.searchsorted(kept[0][by], np.arange(width + 1))
+                by = by[np.arange(len(by)) - begin[kept[0][by]] < n]
+                kept = tuple(a[by] for a in kept)
+                sizes = np.bincount(kept[0], minlength=width)
+                full = sizes >= n
+                least = np.where(full, np.nan_to_num(kept[2][np.cumsum(sizes) - 1], nan=-np.inf), -np.inf)
         if kept is not None:
-            sizes = [len(a) for a, _ in kept]
-            query = asked["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(kept)), sizes)))
-            found = pa.array(np.concatenate([a for a, _ in kept]), kind)
-            yield pa.RecordBatch.from_arrays([query, found, pa.array(np.concatenate([b for _, b in kept]))], names=["query_id", "chunk_id", "score"])
+            query = asked["query_id"].combine_chunks().take(pa.array(kept[0]))
+            yield pa.RecordBatch.from_arrays([query, pa.array(kept[1], kind), pa.array(kept[2])], names=["query_id", "chunk_id", "score"])
 
     return run
 

@@ -142,3 +142,26 @@ def test_scores_of_few_terms_are_summed_by_chunk(spark, chunks, monkeypatch):
     some = q.where("term LIKE 'x%'")
     assert rank(retrieval.bm25(few, some, 20)) == rank(retrieval.bm25(found, some, 20)) != []
     assert retrieval.bm25(few, q.where("false"), 20).count() == 0
+
+
+def test_dense_products_are_small():
+    """One task held 128 MB of scores several times for a block of queries."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    x, q = r.integers(-2, 3, (9_000, 4)).astype(float), r.integers(-2, 3, (4_096, 4)).astype(float)
+    lists = lambda a: pa.array(a.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i:05}" for i in range(len(x))]), lists(x)], names=["chunk_id", "embedding"])
+    asked = pa.table({"query_id": np.arange(len(q)), "qvec": lists(q)})
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(retrieval._dense(asked, 5)(iter([batch.slice(0, 3), batch.slice(3)])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and len(got) == 5 * len(q)
+    for i in (0, 17, 4_095):
+        s = np.round((x @ q[i]) / (np.sqrt((q[i] ** 2).sum()) * np.sqrt((x * x).sum(axis=1)) + 1e-9), 6)
+        want = sorted(range(len(x)), key=lambda j: (-s[j], j))[:5]
+        assert [(g["chunk_id"], g["score"]) for g in got if g["query_id"] == i] == [(f"c{j:05}", s[j]) for j in want]
