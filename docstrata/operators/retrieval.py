@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.functions.text import exact_terms, terms
-from docstrata.storage import materialize
+from docstrata.storage import dealt, materialize
 
 RRF_K = 60
 CANDIDATES = 50
+# Postings that a task puts in order at most, about.
+POSTINGS = 1_000_000
 
 
 def filtered(chunks: DataFrame, **filters) -> DataFrame:
@@ -207,8 +209,9 @@ def _bm25_of_few(found: Postings, asked: DataFrame, n: int, k1: float, b: float)
         return found.rows.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
     # of the postings' terms, the ones that are asked here
     own = found.rows.where(F.col("term").isin(pairs["term"].unique().to_pylist()))
-    dealt = own.select("chunk_id", "term", "dl", "tf").repartition("chunk_id").sortWithinPartitions("chunk_id", "term")
-    return top(dealt.mapInArrow(_bm25(pairs, stats["n"], stats["avgdl"], n, k1, b), schema), n, F.desc("score"), F.desc("chunk_id"))
+    counted = sum(pc.cast(pairs.group_by("term").aggregate([("df", "min")])["df_min"], pa.int64()).to_pylist())
+    parts = dealt(own.select("chunk_id", "term", "dl", "tf"), 1 + counted // POSTINGS, "chunk_id").sortWithinPartitions("chunk_id", "term")
+    return top(parts.mapInArrow(_bm25(pairs, stats["n"], stats["avgdl"], n, k1, b), schema), n, F.desc("score"), F.desc("chunk_id"))
 
 
 def _bm25(pairs: pa.Table, n_chunks: int, avgdl: float, n: int, k1: float, b: float, cells: int = 1 << 21):

@@ -20,9 +20,9 @@ from docstrata.functions.term_counts import blocks, count_terms
 from docstrata.functions.text import terms
 from docstrata.operators.retrieval import Postings
 from docstrata.sources.segments import Segments
-from docstrata.storage import input_bytes, materialize
+from docstrata.storage import dealt, input_bytes, materialize
 
-FILE_BYTES = 256 << 20
+FILE_BYTES = 16 << 20
 # Asked terms up to this number are named in the scan and may be broadcast; more are joined.
 FEW_TERMS = 20_000
 LAYOUT = "lists"
@@ -75,8 +75,9 @@ class TextIndex:
     def _write(self, rows: DataFrame, segment: str, size: int) -> None:
         """rows: term, ids, tfs, dls. A bucket's files are dealt by chunk when it would be larger than a file should be."""
         slices = 1 + size // (self.buckets * FILE_BYTES)
-        dealt = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(slices)))
-        out = dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20)
+        named = rows.withColumn("bucket", self._bucket(F.col("term")))
+        # what a task puts in order is about a file's worth
+        out = dealt(named, 1 + size // FILE_BYTES, "bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(slices))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20)
         out.partitionBy("bucket").parquet(self.segments.path("postings", segment))
 
     def add(self, chunks: DataFrame, segment: str, text: str = "lexical") -> int:

@@ -165,3 +165,21 @@ def test_dense_products_are_small():
         s = np.round((x @ q[i]) / (np.sqrt((q[i] ** 2).sum()) * np.sqrt((x * x).sum(axis=1)) + 1e-9), 6)
         want = sorted(range(len(x)), key=lambda j: (-s[j], j))[:5]
         assert [(g["chunk_id"], g["score"]) for g in got if g["query_id"] == i] == [(f"c{j:05}", s[j]) for j in want]
+
+
+def test_more_postings_are_dealt_to_more_tasks(spark, chunks, tmp_path, monkeypatch):
+    """The number of tasks stood still, so that what each of them sorted grew with the input."""
+    from docstrata.operators import text_index
+
+    monkeypatch.setattr(text_index, "FILE_BYTES", 200)
+    monkeypatch.setattr(retrieval, "POSTINGS", 50)
+    index = TextIndex(spark, str(tmp_path / "i"), "long", buckets=8)
+    index.add(chunks, "s")
+    q = retrieval.question_terms(asked(spark))
+    ranked = retrieval.bm25(index.postings(q), q, 20)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, retrieval.bm25(retrieval.postings(chunks, q, "lexical"), q, 20).collect()))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    parts = int(plan.split("RepartitionByExpression [chunk_id")[1].split("], ")[1].split("\n")[0].split(",")[0])
+    assert parts > 10
+    files = spark.read.parquet(index.segments.path("postings", "s")).select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 16
