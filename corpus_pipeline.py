@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.language import UNKNOWN, identify_languages
+from docstrata.llm.language import UNKNOWN, learn, predict_languages
 from docstrata.llm.packing import pack_documents
 from docstrata.llm.pii import redact
 from docstrata.llm.queries import tokenizer_path
@@ -23,17 +23,24 @@ from docstrata.llm.storage import drop, intermediates, note, shared_dir
 from docstrata.llm.suffixes import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# by the stop words of a text, answers from this score on are right more often than the labels that they differ from, those below less often
+SURE = 0.9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language at all go; any answer of the network is accepted.
+    """Documents in no language at all go, and the others have the language by which ``packing`` deals them.
 
-    Null and empty texts and those without a letter go. Texts with letters stay if there was nothing to learn from. Repeated
-    rows stay, each for itself; a null in any other column stays a null.
+    The network's answer is the language of a text without one, and of a text with one that the network has learnt, if the score is ``SURE``
+    or more; a language which it has not learnt stays. Null and empty texts and those without a letter go. Texts with letters stay, with the
+    language that they had, if there was nothing to learn from. Repeated rows stay, each for itself; a null in a column other than lang stays a null.
     """
-    answers = identify_languages(docs.select(*COLUMNS), keep=("doc_id", "text", "lang", "source", "n_chars"))
+    net = learn(docs)
+    answers = predict_languages(docs, net, keep=tuple(COLUMNS))
     accepted = F.col("kept_text").isNotNull() & ((F.col("lang_pred") != UNKNOWN) | F.col("kept_text").rlike(r"\p{L}"))
-    return answers.where(accepted).select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
+    learnt = F.col("kept_lang").cast("string").isin(net.languages if net else [])
+    answered = (F.col("lang_pred") != UNKNOWN) & (F.col("kept_lang").isNull() | (learnt & (F.col("score") >= SURE)))
+    lang = F.when(answered, F.col("lang_pred")).otherwise(F.col("kept_lang"))
+    return answers.where(accepted).withColumn("kept_lang", lang).select(*(F.col(f"kept_{c}").alias(c) for c in COLUMNS))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +71,8 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row in pieces of token sequences; a null or empty text is the end token alone, and a repeated row is packed again."""
-    return pack_documents(docs.select(*COLUMNS), tokenizer_path("byte_bpe_50k.json"))
+    """Every row in pieces of token sequences, each of one language; a null or empty text is the end token alone, and a repeated row is packed again."""
+    return pack_documents(docs.select(*COLUMNS), tokenizer_path("byte_bpe_50k.json"), by="lang")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

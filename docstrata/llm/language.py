@@ -168,7 +168,11 @@ def _held_out(id_col: str):
 
 def identify_languages(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and the columns ``keep`` of the same row, as kept_<name>."""
-    net = learn(docs, sample, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    return predict_languages(docs, learn(docs, sample, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col, keep)
+
+
+def predict_languages(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The answers of a network that ``learn`` gave, in the form of ``identify_languages``."""
     kept = [F.col(c).alias(f"kept_{c}") for c in keep]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(_held_out(id_col), F.lit(False)).alias("held_out"), *kept, F.col(text_col).cast("string").alias("text"))
     schema = T._parse_datatype_string("doc_id long, held_out boolean, lang_pred string, score double")

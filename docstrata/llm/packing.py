@@ -6,9 +6,12 @@ window is opened while fewer than the fixed number are open; otherwise the fulle
 with the head of the piece (documents may be cut freely) and emitted. What is left open at the end
 of the partitions is merged, without cutting, in groups of bounded size.
 
+With ``by``, a sequence holds documents of one value of that column only. A partition then keeps that many open windows
+for each value, and no more than ``most_values`` values open: those of the value that was used least recently are left to the merge.
+
 Defined results: a null text counts as empty and gives the single end token; texts of any length are packed
 whole; every row is packed, so repeated rows (and repeated ids) give pieces each; of equally good
-windows the one opened first is taken; an empty table gives no piece; further columns are
+windows the one opened first is taken; a null of ``by`` is a value of its own; an empty table gives no piece; further columns are
 ignored, whatever their names.
 """
 
@@ -19,6 +22,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -175,48 +179,58 @@ class Windows:
             closed.append(pieces)
 
 
-def _pieces(path: str, length: int, eos: int, windows: int):
+def _pieces(path: str, length: int, eos: int, windows: int, by: str | None, most_values: int):
     end = np.asarray([eos], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        state, number = Windows(length, windows), part << _LOCAL_BITS
-        for batch in batches:
-            rows: list[tuple] = []
+        states: dict[str | None, Windows] = {}  # the value used last is the last one
+        number = part << _LOCAL_BITS
+        rows: list[tuple] = []
 
-            def emit(pieces: list[tuple], still_open: bool) -> None:
-                nonlocal number
-                rows.extend((*p[:5], number, p[5], still_open) for p in pieces)
-                number += 1
+        def emit(pieces: list[tuple], still_open: bool, value: str | None) -> None:
+            nonlocal number
+            rows.extend((*p[:5], number, p[5], still_open, value) for p in pieces)
+            number += 1
 
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for batch in batches:
+            values = batch.column(2).to_pylist() if by else [None] * batch.num_rows
+            for doc, text, value in zip(batch.column(0).to_pylist(), batch.column(1), values):
+                states[value] = state = states.pop(value, None) or Windows(length, windows)
+                if len(states) > most_values:
+                    oldest = next(iter(states))
+                    for _, pieces in states.pop(oldest).open:
+                        emit(pieces, True, oldest)
                 ids = enc.encode(text.as_py() or "") + end
                 total = len(ids) // 4
                 crc = lambda a, n: zlib.crc32(ids[4 * a : 4 * (a + n)])  # noqa: B023, E731
                 full = total // length
                 for k in range(full):
-                    emit([(doc, k * length, length, crc(k * length, length), total, 0)], False)
+                    emit([(doc, k * length, length, crc(k * length, length), total, 0)], False, value)
                 if rest := total - full * length:
                     # only the document in hand is ever cut: its bytes are still here
                     cut = lambda p, n: ((doc, p[1], n, crc(p[1], n), total), (doc, p[1] + n, p[2] - n, crc(p[1] + n, p[2] - n), total))  # noqa: B023, E731
                     for pieces in state.place((doc, full * length, rest, crc(full * length, rest), total), cut):
-                        emit(pieces, False)
-            yield _batch(rows, part)
-        rows = []
-        for _, pieces in state.open:
-            rows.extend((*p[:5], number, p[5], True) for p in pieces)
-            number += 1
-        yield _batch(rows, part)
+                        emit(pieces, False, value)
+            yield _batch(rows, part, by)
+            rows.clear()
+        for value, state in states.items():
+            for _, pieces in state.open:
+                emit(pieces, True, value)
+        yield _batch(rows, part, by)
 
     return run
 
 
-def _batch(rows: list[tuple], part: int) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 8
-    kinds = [pa.int64()] * 7 + [pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + [pa.array([part] * len(rows), pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "still_open", "part"])
+def _batch(rows: list[tuple], part: int, by: str | None) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 9
+    kinds = [pa.int64()] * 7 + [pa.bool_(), pa.string()]
+    arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "still_open", "value", "part"]
+    own = [*range(8), *([8] if by else [])]
+    return pa.RecordBatch.from_arrays([*(arrays[i] for i in own), pa.array([part] * len(rows), pa.int64())], names=[*(names[i] for i in own), "part"])
 
 
 def merge_leftovers(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,27 +254,40 @@ def merge_leftovers(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.
     return number, offset
 
 
-def _merge(length: int):
+def _merge(length: int, by: str | None):
+    own = ["value"] if by else []
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("part", "ascending")])
-        number, offset = merge_leftovers(group["length"].to_numpy(), length)
+        group = group.sort_by([*((v, "ascending") for v in own), ("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("part", "ascending")])
+        lengths, ends = group["length"].to_numpy(), [len(group)]
+        if by:
+            ends = np.cumsum([len(list(run)) for _, run in groupby(group["value"].to_pylist())]).tolist()
+        number, offset, begin, used = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64), 0, 0
+        for end in ends:
+            windows, offset[begin:end] = merge_leftovers(lengths[begin:end], length)
+            number[begin:end] = used + windows
+            begin, used = end, used + int(windows.max()) + 1
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         ids = _MERGED | (np.int64(key[0].as_py()) << _LOCAL_BITS) | number
-        return pa.table([*(group[n] for n in names), pa.array(ids, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
+        return pa.table([*(group[n] for n in names), pa.array(ids, pa.int64()), pa.array(offset, pa.int64()), *(group[v] for v in own)], names=[*names, "sequence_id", "offset", *own])
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, open_windows: int = 32, group_pieces: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece. ``tokenizer``: path of the tokenizer file, there on every machine.
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, open_windows: int = 32, group_pieces: int = 50_000, id_col: str = "doc_id", text_col: str = "text", by: str | None = None, most_values: int = 256) -> DataFrame:
+    """One row per piece. ``tokenizer``: path of the tokenizer file, there on every machine. ``by``: a column, of whose values a sequence holds one only; it comes along, as a string.
 
     The pieces (a few numbers each, no text) are written to the shared folder before the leftovers are
     merged, so that a repeated task cannot pack in another order. ``group_pieces`` bounds how many
     leftover pieces one task merges; with more, there are more groups.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = materialize(rows.mapInArrow(_pieces(tokenizer, length, end_id, open_windows), f"{PIECE_SCHEMA}, still_open boolean, part long"), "packing")
+    own = ["value"] if by else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(by).cast("string").alias(v) for v in own))
+    typed = "".join(f", {v} string" for v in own)
+    packed = materialize(rows.mapInArrow(_pieces(tokenizer, length, end_id, open_windows, by, most_values), f"{PIECE_SCHEMA}, still_open boolean{typed}, part long"), "packing")
     left = packed.where("still_open")
     groups = -(-left.count() // group_pieces) or 1
-    merged = left.withColumn("g", F.pmod("part", F.lit(groups))).groupBy("g").applyInArrow(_merge(length), PIECE_SCHEMA)
-    return packed.where("NOT still_open").drop("still_open", "part").unionByName(merged)
+    # with many values a partition may leave any number of windows, so that these are dealt one by one
+    dealt = F.xxhash64("sequence_id") if by else F.col("part")
+    merged = left.withColumn("g", F.pmod(dealt, F.lit(groups))).groupBy("g").applyInArrow(_merge(length, by), PIECE_SCHEMA + typed)
+    return packed.where("NOT still_open").drop("still_open", "part").unionByName(merged).withColumnsRenamed({v: by for v in own})
