@@ -21,11 +21,12 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 _LOCAL_BITS = 33
 _MERGED = 1 << 62
 _BLANK_PAIR = re.compile(r" \s")
+# A single line break between other characters, and a comma or full stop between a Latin letter or digit and a blank: boundaries of the pre-tokenizer.
+_LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
+_STOP = re.compile("([.,])(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,])(?= |\\Z)")
+_FRESH = 1000
 
 
 class Encoder:
@@ -54,8 +59,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         blank = self.tokenizer.encode(" x", add_special_tokens=False).tokens[0][0]
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+        line = self.tokenizer.encode("\nx", add_special_tokens=False).tokens[0][0]
+        self.begins = {lead: np.zeros(self.tokenizer.get_vocab_size(), bool) for lead in " \n"}
+        for lead, mark in ((" ", blank), ("\n", line)):
+            self.begins[lead][[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(mark)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
@@ -88,12 +95,56 @@ class Encoder:
                 self.old, self.young = self.young, {}
         return b"".join(found)
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
+    def encode_all(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, each with ``end`` after it, and where each text's begin and the last one's end.
+
+        Each different word of all texts is looked up once. Line breaks and stops are words of their own here, with a mark that
+        no blank was before them: a blank and a line break or tab, which do not stand together in a text that is cut into words.
+        """
+        heads: list[str | bytes] = []
+        tails: list[str | None] = []
+        for text in texts:
+            if _BLANK_PAIR.search(text) or any(t in text for t in self.added):
+                heads.append(self.whole(text))
+                tails.append(None)
+            else:
+                head, blank, tail = _STOP.sub(r" \t\1", _LINE.sub(" \n", text)).partition(" ")
+                heads.append(head)  # the first word has no blank before it
+                tails.append(tail if blank else None)
+        first = iter(self.tokenizer.encode_batch_fast([h for h in heads if isinstance(h, str)], add_special_tokens=False))
+        heads = [_bytes(next(first).ids) if isinstance(h, str) else h for h in heads]
+        lists = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, words))
+        if missing := [w for w, ids in zip(words, found) if ids is None]:
+            new = self._words(missing)
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+            self.young |= new
+            if len(self.young) > self.memo:
+                self.old, self.young = self.young, {}
+        # each text: its head, its words, the end
+        ends, n = lists.offsets.to_numpy(), len(texts)
+        own = np.arange(len(words), len(words) + n, dtype=np.int32)
+        codes = np.insert(coded.indices.to_numpy(), np.repeat(ends, 2)[1:-1], np.stack([own, np.full(n, len(words) + n, np.int32)], 1).ravel())
+        found += [*heads, end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        places = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        ids = pa.ListArray.from_arrays(places, np.frombuffer(b"".join(found), "<u4")).take(pa.array(codes))
+        return ids.values.to_numpy(), ids.offsets.to_numpy()[ends + 2 * np.arange(n + 1)].astype(np.int64)
+
+    def _words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of words with a blank before each: from the old generation, or a known core and its end, or fresh."""
-        out, pending, old, young, ends = {}, [], self.old.get, self.young.get, self.ends.get
+        out, pending, lines, old, young, ends = {}, [], [], self.old.get, self.young.get, self.ends.get
         for w in words:
             ids = old(w)
             if ids is None:
+                if w[:1] == "\t":
+                    out[w] = self.ends[w[1:]]
+                    continue
+                if w[:1] == "\n":
+                    lines.append(w)
+                    continue
                 end = ends(w[-1:])
                 if end is not None and w[-2:-1].isalpha():
                     core = w[:-1]
@@ -108,22 +159,28 @@ class Encoder:
             out[w] = ids
         if pending:
             fresh = list({core for _, core, _ in pending})
-            got = dict(zip(fresh, self._fresh(fresh)))
+            got = dict(zip(fresh, self._fresh([f" {w}" for w in fresh])))
             out.update(got)
             for w, core, end in pending:
                 out[w] = got[core] + end
+        out.update(zip(lines, self._fresh(lines)))
         return out
 
     def _fresh(self, words: list[str]) -> list[bytes]:
-        """The ids of words with a blank before each, encoded as one text: a token with a blank in front begins a word."""
-        if all(words):
-            (one,) = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
-            ids = np.array(one.ids, "<u4")
-            begins = np.flatnonzero(self.begins[ids]).tolist()
-            if len(begins) == len(words):
-                data = ids.tobytes()
-                return [data[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)])]
-        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
+        """The ids of words that all begin with a blank or all with a line break, encoded as texts of many: a token with that in front begins a word."""
+        out: list[bytes] = []
+        for k in range(0, len(words), _FRESH):
+            some = words[k : k + _FRESH]
+            if all(len(w) > 1 for w in some):
+                (one,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+                ids = np.array(one.ids, "<u4")
+                begins = np.flatnonzero(self.begins[some[0][0]][ids]).tolist()
+                if len(begins) == len(some):
+                    data = ids.tobytes()
+                    out.extend(data[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)]))
+                    continue
+            out.extend(_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+        return out
 
 
 def _bytes(ids: list[int]) -> bytes:

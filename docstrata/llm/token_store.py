@@ -27,6 +27,9 @@ ROWS = "part int, doc_id long, start long, n_tokens long, ids array<int>"
 PARTS = "part int, n_docs long, n_tokens long, first_id long, last_id long, start long"
 BLOCK_BYTES = 64 << 20
 BATCH_TOKENS = 1 << 18
+# Texts that are encoded together: each different word of them is looked up once.
+BLOCK_CHARS = 2_000_000
+BLOCK_TEXTS = 10_000
 # Words that a worker remembers, in each of two generations: fewer than for packing, since the files' writer takes memory, too.
 MEMO = 500_000
 
@@ -39,32 +42,33 @@ def _encoded(path: str, end_id: int):
 
         enc, part, start = encoder(path, MEMO), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[str] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal start
-            sizes = np.array([len(b) // 4 for b in held], np.int64)
-            ends = np.cumsum(sizes)
-            ids = pa.array(np.frombuffer(b"".join(held), "<i4"), pa.int32())
-            places = pa.array(np.concatenate([[0], ends]), pa.int32())
-            out = [pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(places, ids)]
-            start += int(sizes.sum())
+            ids, at = enc.encode_all(held, end)
+            i = 0
+            while i < len(docs):
+                j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_TOKENS, "right")) - 1)
+                own = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i], pa.int32()), pa.array(ids[at[i] : at[j]].view("<i4")))
+                out = [pa.array([part] * (j - i), pa.int32()), pa.array(docs[i:j], pa.int64()), pa.array(start + at[i:j]), pa.array(np.diff(at[i : j + 1])), own]
+                yield pa.RecordBatch.from_arrays(out, names=["part", "doc_id", "start", "n_tokens", "ids"])
+                i = j
+            start += int(at[-1])
             docs.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays(out, names=["part", "doc_id", "start", "n_tokens", "ids"])
 
         waiting = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py() or "") + end
                 docs.append(doc)
-                held.append(ids)
-                waiting += len(ids) // 4
-                if waiting >= BATCH_TOKENS:
-                    yield flush()
+                held.append(text.as_py() or "")
+                waiting += len(held[-1])
+                if waiting >= BLOCK_CHARS or len(held) >= BLOCK_TEXTS:
+                    yield from flush()
                     waiting = 0
         if docs:
-            yield flush()
+            yield from flush()
 
     return run
 

@@ -43,6 +43,40 @@ def test_tokens_are_those_of_the_plain_tokenizer(spark):
         assert sorted((r.n_tokens, r.ids_crc32) for r in got if r.doc_id == d) == sorted(found)
 
 
+def test_blocks_of_texts_hand_each_core_of_a_word_over_once(monkeypatch):
+    from docstrata.llm.packing import Encoder, _bytes
+
+    enc, handed = Encoder(TOKENIZER), []
+    fresh = enc._fresh
+    monkeypatch.setattr(enc, "_fresh", lambda words: [handed.extend(words), fresh(words)][1])
+    block = ["a core, core. core", "b core\ncore, x", "c core.\ncore.\ncore", "d core,", ""]
+    ids, at = enc.encode_all(block, _bytes([0]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain_ids(t) for t in block]
+    assert sorted(handed) == ["\ncore", " core", " x"]
+
+
+@pytest.mark.parametrize("memo", [3, 500_000])
+def test_blocks_of_texts_have_the_ids_of_the_plain_tokenizer(memo):
+    from docstrata.llm.packing import Encoder, _bytes
+
+    r = np.random.default_rng(11)
+    parts = ["a", "Ab", "é", "日本", "7", "²", "x1", ".", ",", "..", '"', "'s", "\n", "\n\n", "\t", " ", " ", " ", " ", " ", "  ", "\r\n", "\x1c", "\x85", "\u00a0", "\u0301", "\0", "ж", "<|endoftext|>", "🙂", "ª", "_"]
+    enc = Encoder(TOKENIZER, memo)
+    blocks = [["".join(r.choice(parts, r.integers(0, 12))) for _ in range(1500)] for _ in range(3)] + [["", "", ""], ["a\n"], ["\na"], [" a ", " ."], ["a, \tb", "a,", "a.", "a\n.", "a \tb"]]
+    for block in blocks:
+        ids, at = enc.encode_all(block, _bytes([0]))
+        assert len(at) == len(block) + 1 and at[0] == 0 and at[-1] == len(ids)
+        for k, text in enumerate(block):
+            assert ids[at[k] : at[k + 1]].tobytes() == enc.whole(text) + _bytes([0]), repr(text)
+            assert enc.encode(text) == enc.whole(text), repr(text)
+
+
+def test_a_block_is_cut_into_batches_of_few_tokens(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "BATCH_TOKENS", 100)
+    monkeypatch.setattr(token_store, "BLOCK_TEXTS", 7)
+    test_tokens_are_those_of_the_plain_tokenizer(spark)
+
+
 def test_store_prunes_and_reads_single_documents(spark):
     path = scratch(spark, "store")
     docs = spark.createDataFrame([(i, f"document number {i}") for i in range(3000)], "doc_id long, text string").repartition(3)
