@@ -40,6 +40,8 @@ _BLANK_PAIR = re.compile(r" \s")
 # A single line break between other characters, and a comma or full stop between a Latin letter or digit and a blank: boundaries of the pre-tokenizer.
 _LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
 _STOP = re.compile("([.,])(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,])(?= |\\Z)")
+_MARKS = ("\n", "\t")
+# Words of a block that are handed to the tokenizer as one text.
 _FRESH = 1000
 
 
@@ -118,7 +120,10 @@ class Encoder:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.young.get, words))
         if missing := [w for w, ids in zip(words, found) if ids is None]:
-            new = self._words(missing)
+            new = self._marked([w for w in missing if w[:1] in _MARKS])
+            plain = [w for w in missing if w[:1] not in _MARKS]
+            for k in range(0, len(plain), _FRESH):
+                new |= self._words(plain[k : k + _FRESH])
             found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
             self.young |= new
             if len(self.young) > self.memo:
@@ -135,16 +140,10 @@ class Encoder:
 
     def _words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of words with a blank before each: from the old generation, or a known core and its end, or fresh."""
-        out, pending, lines, old, young, ends = {}, [], [], self.old.get, self.young.get, self.ends.get
+        out, pending, old, young, ends = {}, [], self.old.get, self.young.get, self.ends.get
         for w in words:
             ids = old(w)
             if ids is None:
-                if w[:1] == "\t":
-                    out[w] = self.ends[w[1:]]
-                    continue
-                if w[:1] == "\n":
-                    lines.append(w)
-                    continue
                 end = ends(w[-1:])
                 if end is not None and w[-2:-1].isalpha():
                     core = w[:-1]
@@ -159,29 +158,33 @@ class Encoder:
             out[w] = ids
         if pending:
             fresh = list({core for _, core, _ in pending})
-            got = dict(zip(fresh, self._fresh([f" {w}" for w in fresh])))
+            got = dict(zip(fresh, self._fresh(fresh)))
             out.update(got)
             for w, core, end in pending:
                 out[w] = got[core] + end
-        out.update(zip(lines, self._fresh(lines)))
         return out
 
-    def _fresh(self, words: list[str]) -> list[bytes]:
-        """The ids of words that all begin with a blank or all with a line break, encoded as texts of many: a token with that in front begins a word."""
-        out: list[bytes] = []
-        for k in range(0, len(words), _FRESH):
-            some = words[k : k + _FRESH]
-            if all(len(w) > 1 for w in some):
-                (one,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
-                ids = np.array(one.ids, "<u4")
-                begins = np.flatnonzero(self.begins[some[0][0]][ids]).tolist()
-                if len(begins) == len(some):
-                    data = ids.tobytes()
-                    out.extend(data[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)]))
-                    continue
-            out.extend(_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+    def _marked(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of ``encode_all`` that have no blank before them."""
+        old = self.old.get
+        out = {w: self.ends[w[1:]] if w[0] == "\t" else old(w) for w in words}
+        lines = [w for w, ids in out.items() if ids is None]
+        for k in range(0, len(lines), _FRESH):
+            some = lines[k : k + _FRESH]
+            out.update(zip(some, self._fresh([w[1:] for w in some], "\n")))
         return out
 
+    def _fresh(self, words: list[str], lead: str = " ") -> list[bytes]:
+        """The ids of words with a blank (or line break) before each, encoded as one text: a token with that in front begins a word."""
+        if all(words):
+            (one,) = self.tokenizer.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)
+            ids = np.array(one.ids, "<u4")
+            begins = np.flatnonzero(self.begins[lead][ids]).tolist()
+            if len(begins) == len(words):
+                data = ids.tobytes()
+                return [data[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)])]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([f"{lead}{w}" for w in words], add_special_tokens=False)]
+
 
 def _bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)

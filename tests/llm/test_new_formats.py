@@ -48,7 +48,7 @@ def test_blocks_of_texts_hand_each_core_of_a_word_over_once(monkeypatch):
 
     enc, handed = Encoder(TOKENIZER), []
     fresh = enc._fresh
-    monkeypatch.setattr(enc, "_fresh", lambda words: [handed.extend(words), fresh(words)][1])
+    monkeypatch.setattr(enc, "_fresh", lambda words, lead=" ": [handed.extend(lead + w for w in words), fresh(words, lead)][1])
     block = ["a core, core. core", "b core\ncore, x", "c core.\ncore.\ncore", "d core,", ""]
     ids, at = enc.encode_all(block, _bytes([0]))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain_ids(t) for t in block]
